@@ -52,7 +52,7 @@ def count_char(col: Column, char: str) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(" \t\n\r\f\x0b"))
 
 
 def hit(cond: Column, rule: str, score: int | Column, detail: str | Column) -> Column:

@@ -24,7 +24,7 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     """Append the 25 lexical feature columns."""
     u = F.col("_u")
     base = pin(df, {"_u": strip(F.coalesce(F.col(url), F.lit("")))})
-    base = pin(base, {"_full": F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("http://"), u))})
+    base = pin(base, {"_full": F.when(U.has_scheme(u), u).otherwise(F.concat(F.lit("http://"), u))})
     full = F.col("_full")
     base = pin(base, {"_host": U.hostname(full), "_path": U.path(full), "_query": U.query(full)})
     feats = U.lexical_features(u, full, F.col("_host"), F.col("_path"), F.col("_query"))
@@ -62,14 +62,15 @@ def analyze(df: DataFrame, url: str = "url", ascii_host: str | None = None) -> D
         "_root": U.domain_root(dom),
     })
     base = pin(base, {"_folded": U.fold_homoglyphs(F.col("_root"))})
+    base = pin(base, {"_sims": U.brand_similarities(F.col("_root"), F.col("_folded"), official)})
     base = pin(base, {
-        "domain_matches": U.brand_matches(F.col("_root"), F.col("_folded"), official),
+        "domain_matches": U.brand_matches(F.col("_sims")),
         "top_keywords": F.when(norm == "", F.array().cast("array<string>")).otherwise(
             found_words(F.concat(dom, F.lit("/"), F.col("_decoded")), U.RULE_KEYWORDS)),
     })
     rules = U.url_rules(
         norm, dom, F.col("_folded"), F.col("domain_matches"), F.col("top_keywords"), official)
-    return pin(base, {"triggered_rules": rules}).drop("_decoded", "_root", "_folded")
+    return pin(base, {"triggered_rules": rules}).drop("_decoded", "_root", "_folded", "_sims")
 
 
 def score(df: DataFrame, registered=None, age_days=None, self_signed=None, expired=None) -> DataFrame:

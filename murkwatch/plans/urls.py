@@ -115,7 +115,8 @@ def _scored(d: Data):
 
 @query("url1_lexical_features", lexical_select())
 def url1(d: Data):
-    return ops.lexical(d.urls).select("url_id", *[F.round(n, 9).alias(n) for n in U.LEXICAL_FEATURES])
+    return ops.lexical(d.urls).select("url_id", *[
+        F.round(n, 9).alias(n) if "ratio" in n or "entropy" in n else n for n in U.LEXICAL_FEATURES])
 
 
 @query("url2_entropy", f"WITH {NORM}{_ENTROPY} SELECT norm.url_id, round(coalesce(ent, 0.0), 9) AS entropy FROM norm LEFT JOIN ents USING (url_id)")

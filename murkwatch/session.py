@@ -25,7 +25,18 @@ def build_session(app: str = "murkwatch", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    tune(spark)
+    return spark
+
+
+def tune(spark: SparkSession) -> None:
+    """Runtime settings for wide expression stages.
+
+    HotSpot does not compile methods beyond 8000 bytes of bytecode; with this limit Spark
+    splits such a stage into small compiled methods instead of one interpreted giant.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

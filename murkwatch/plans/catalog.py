@@ -1,4 +1,4 @@
 """Imports every query module and exposes the registry."""
 
-from . import inputs, urls  # noqa: F401
+from . import inputs, receipts, urls  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

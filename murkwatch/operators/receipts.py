@@ -13,8 +13,9 @@ from ..functions.exprs import finite, hit_total, pin
 def parse(df: DataFrame, text: str = "ocr_text", app: str = "app") -> DataFrame:
     """Append gate result, references, amount, handles and the app-aware reference check."""
     t = F.col(text)
-    base = pin(df, {"utr_candidates": R.utr_candidates(t), "vpas": R.handles(t), "is_receipt": R.is_receipt(t)})
-    base = pin(base, {
+    # Only columns that later rules read are pinned; the rest is dropped by the optimizer when unused.
+    base = pin(df, {"utr_candidates": R.utr_candidates(t), "vpas": R.handles(t)}).withColumns({
+        "is_receipt": R.is_receipt(t),
         "utr": F.get("utr_candidates", 0),
         "amount": R.parse_amount(t),
         "payee_vpa": R.select_payee(t, F.col("vpas")),

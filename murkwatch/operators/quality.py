@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as LB
 from ..functions import privacy as P
-from ..functions.exprs import pin
+from ..functions.exprs import lit_array, pin
 
 
 def normalize_labels(df: DataFrame, raw: str = "raw_label") -> tuple[DataFrame, DataFrame]:
@@ -27,8 +27,7 @@ def ingestion_summary(df: DataFrame, raw: str = "raw_label", value: str = "path_
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """Issues about missing or overwhelming classes; one row per finding."""
-    spark = df.sparkSession
-    dim = spark.createDataFrame([(n,) for n in LB.LABELS], "class string")
+    dim = df.sparkSession.range(1).select(F.explode(lit_array(LB.LABELS)).alias("class"))
     counts = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
     # At most one row per class on either side; the class list is a literal.
     full = F.broadcast(dim).join(counts, "class", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -62,7 +62,9 @@ def agg6(d: Data):
   'CLEAN' AS ai_verdict, CASE WHEN NOT font_consistent THEN 'font_anomaly' ELSE 'utr_check' END AS indicator FROM (SELECT * FROM ver ORDER BY seen_at DESC, receipt_id DESC LIMIT 50))
   SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM r) ORDER BY ts DESC, event_id DESC LIMIT 50""")
 def agg7(d: Data):
-    return ops.replay_feed(d.alerts, rops.event_rows(rops.score(rops.parse(d.receipts))))
+    # Take the latest receipts before parsing and scoring them, not after.
+    latest = d.receipts.orderBy(F.desc("seen_at"), F.desc("receipt_id")).limit(50)
+    return ops.replay_feed(d.alerts, rops.event_rows(rops.score(rops.parse(latest))))
 
 
 _DIMS = ["split", "label", "app", "forgery_type", "difficulty"]

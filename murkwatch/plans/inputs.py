@@ -138,7 +138,7 @@ FROM {customer}
 
 # Predictions of two models with truth, slices, latency; one row per order line.
 define_input("predictions", """
-SELECT l_orderkey * 10 + l_linenumber AS record_id,
+SELECT record_id,
        CASE WHEN truth = 1 THEN CASE WHEN u1 % 3 = 0 THEN 'SUSPICIOUS' ELSE 'HIGH' END ELSE 'CLEAN' END AS true_label,
        truth, score_a, score_b,
        CASE WHEN score_a < 30 THEN 'CLEAN' WHEN score_a < 60 THEN 'SUSPICIOUS' ELSE 'HIGH' END AS label_a,
@@ -151,7 +151,7 @@ FROM (
   SELECT *, CAST(floor(u1 * (CASE WHEN truth = 1 THEN 99e-2 ELSE 55e-2 END)) AS INT) AS score_a,
          CAST(floor(u2 * (CASE WHEN truth = 1 THEN 9e-1 ELSE 7e-1 END)) AS INT) AS score_b
   FROM (
-    SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS truth,
+    SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice) AS BIGINT) AS record_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS truth,
            (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 101 AS u1,
            (l_orderkey * 6271 + l_linenumber * 50021 + l_suppkey * 17) % 101 AS u2,
            (l_partkey * 13 % 997) / 10e0 + l_linenumber AS latency_ms,
@@ -169,11 +169,11 @@ SELECT record_id, provider,
        CASE WHEN k % 10 = 0 THEN 'unknown' WHEN k % 3 = 0 THEN 'benign' WHEN k % 3 = 1 THEN 'phishing' ELSE 'suspicious' END AS raw_label,
        (k % 50) / 50e0 AS confidence
 FROM (
-  SELECT l_orderkey * 10 + l_linenumber AS record_id, 'vendor_a' AS provider, l_partkey + l_linenumber AS k FROM {lineitem} WHERE l_partkey % 8 <> 0
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice) AS BIGINT) AS record_id, 'vendor_a' AS provider, l_partkey + l_linenumber AS k FROM {lineitem} WHERE l_partkey % 8 <> 0
   UNION ALL
-  SELECT l_orderkey * 10 + l_linenumber, 'vendor_b', l_suppkey * 3 + l_partkey FROM {lineitem} WHERE l_suppkey % 5 <> 0
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice) AS BIGINT), 'vendor_b', l_suppkey * 3 + l_partkey FROM {lineitem} WHERE l_suppkey % 5 <> 0
   UNION ALL
-  SELECT l_orderkey * 10 + l_linenumber, 'vendor_c', l_orderkey + l_suppkey FROM {lineitem} WHERE l_orderkey % 3 <> 0
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice) AS BIGINT), 'vendor_c', l_orderkey + l_suppkey FROM {lineitem} WHERE l_orderkey % 3 <> 0
 ) votes
 """)
 
@@ -211,7 +211,7 @@ FROM {events}
 
 # Receipt training rows: six features and a label, with split and slices.
 define_input("receipt_features", """
-SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice) AS BIGINT) AS id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
        CASE l_orderkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
        CASE l_partkey % 4 WHEN 0 THEN 'phonepay' WHEN 1 THEN 'googlepay' WHEN 2 THEN 'paytm' ELSE 'bhim' END AS app,
        CASE WHEN l_returnflag = 'R' THEN CASE l_suppkey % 3 WHEN 0 THEN 'overlay' WHEN 1 THEN 'font' ELSE 'color' END ELSE NULL END AS forgery_type,

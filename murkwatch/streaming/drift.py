@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SLICE_SECONDS = 21_600
 WINDOW = 500
 ACTIVE = 200
@@ -43,17 +45,27 @@ def numbered(df: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> Data
         *df.columns, "_slice", (F.col("_n0") + F.col("_i")).alias("n"), (F.col("_e0") + F.col("_s")).alias("total_errors"))
 
 
-def _running(df: DataFrame, value: Column, name: str, how) -> DataFrame:
-    """Running min or max of a column per module over n, in two levels."""
-    base = df.withColumn("_v", value)
-    per = base.groupBy("module", "_slice").agg(how("_v").alias("_x"))
+def _running(df: DataFrame, specs: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Append running values per module over n: name -> (column, "min" | "max" | "sum"), in two levels.
+
+    All columns share one aggregation, one window and one join.
+    """
+    fold = {"min": F.min, "max": F.max, "sum": F.sum}
+    base = df.withColumns({f"_v_{k}": v for k, (v, _) in specs.items()})
+    per = base.groupBy("module", "_slice").agg(*[fold[how](f"_v_{k}").alias(f"_p_{k}") for k, (_, how) in specs.items()])
     before = Window.partitionBy("module").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("module", "_slice", how("_x").over(before).alias("_x0"))
+    offsets = per.select("module", "_slice", *[fold[how](f"_p_{k}").over(before).alias(f"_o_{k}") for k, (_, how) in specs.items()])
     inside = Window.partitionBy("module", "_slice").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumn("_l", how("_v").over(inside))
-    pick = F.least if how is F.min else F.greatest
+    local = base.select(*df.columns, *[fold[how](f"_v_{k}").over(inside).alias(f"_l_{k}") for k, (_, how) in specs.items()])
+
+    def both(k: str, how: str) -> Column:
+        a, b = F.col(f"_l_{k}"), F.col(f"_o_{k}")
+        if how == "sum":
+            return F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
+        return F.least(a, b) if how == "min" else F.greatest(a, b)
+
     joined = local.join(offsets, ["module", "_slice"])
-    return joined.withColumn(name, pick("_l", "_x0")).drop("_v", "_l", "_x0")
+    return joined.select(*df.columns, *[both(k, how).alias(k) for k, (_, how) in specs.items()])
 
 
 def error_rates(stream: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -81,7 +93,7 @@ def ddm(rows: DataFrame) -> DataFrame:
     s = F.sqrt(p * (1 - p) / F.col("n"))
     ready = F.col("n") >= DDM_MIN
     level = F.when(ready & (F.col("total_errors") > 0), F.struct((p + s).alias("level"), p.alias("p"), s.alias("s")))
-    out = _running(rows, level, "_best", F.min)
+    out = _running(rows, {"_best": (level, "min")})
     now = p + s
     known = ready & F.col("_best").isNotNull()
     drift = F.coalesce(known & (now > F.col("_best.p") + DDM_DRIFT * F.col("_best.s")), F.lit(False))
@@ -94,14 +106,9 @@ def page_hinkley(rows: DataFrame, delta: float = PH_DELTA, threshold: float = PH
 
     The increments need the running mean only, which numbered rows already carry.
     """
-    base = rows.withColumn("_inc", F.col("error") - F.col("total_errors") / F.col("n") - F.lit(delta))
-    per = base.groupBy("module", "_slice").agg(F.sum("_inc").alias("_t"))
-    before = Window.partitionBy("module").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("module", "_slice", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_m0"))
-    inside = Window.partitionBy("module", "_slice").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    summed = base.withColumn("_m", F.sum("_inc").over(inside)).join(offsets, ["module", "_slice"]).withColumn(
-        "ph_sum", F.col("_m0") + F.col("_m")).drop("_inc", "_m", "_m0")
-    out = _running(summed, F.col("ph_sum"), "_low", F.min)
+    step = F.col("error") - F.col("total_errors") / F.col("n") - F.lit(delta)
+    summed = _running(rows, {"ph_sum": (step, "sum")})
+    out = _running(summed, {"_low": (F.col("ph_sum"), "min")})
     rise = F.col("ph_sum") - F.least("_low", F.lit(0.0))
     return out.withColumn("ph_drift", (F.col("n") >= PH_MIN) & (rise > threshold)).drop("_low")
 
@@ -111,18 +118,18 @@ def majority_vote(votes: DataFrame, active: int = ACTIVE) -> DataFrame:
 
     A vote stays active for ``active`` rows after it was cast.
     """
-    out = votes
-    for d in ("adwin", "ph", "ddm"):
-        out = _running(out, F.when(F.col(d), F.col("n")), f"_last_{d}", F.max)
+    # The input is read by several joins below, so it is written once.
+    names = ("adwin", "ph", "ddm")
+    out = _running(cut_lineage(votes), {f"_last_{d}": (F.when(F.col(d), F.col("n")), "max") for d in names})
     count = sum(
-        F.when(F.col("n") - F.col(f"_last_{d}") <= active, 1).otherwise(0) for d in ("adwin", "ph", "ddm"))
+        F.when(F.col("n") - F.col(f"_last_{d}") <= active, 1).otherwise(0) for d in names)
     out = out.withColumn("active_votes", count)
     status = F.when(F.col("active_votes") >= 2, "drift").when(
         (F.col("active_votes") == 1) | F.col("ddm_warning"), "warning").otherwise("stable")
     action = F.when(F.col("status") == "drift", "retrain").when(F.col("status") == "warning", "alert").otherwise("monitor")
     out = out.withColumn("status", status).withColumn("action", action)
-    return _running(out, F.when(F.col("status") == "drift", F.col("n")), "drift_detected_at", F.min).drop(
-        "_last_adwin", "_last_ph", "_last_ddm")
+    first = {"drift_detected_at": (F.when(F.col("status") == "drift", F.col("n")), "min")}
+    return _running(out.drop("_last_adwin", "_last_ph", "_last_ddm"), first)
 
 
 def detection_report(signals: DataFrame, drift_point: int, detectors: list[str], by: str = "module") -> DataFrame:

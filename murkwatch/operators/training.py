@@ -70,19 +70,25 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], minority: in
     """
     rows = df.where(F.col(label) == minority).select(
         F.col(key).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
-    rows = cut_lineage(rows.withColumn("_v", array_to_vector("_x")))
+    # Equal rows are one point with a count, so copies never pair up inside a hash bucket.
+    points = rows.groupBy("_x").agg(F.count("*").alias("_copies"), F.min("_id").alias("_pid"))
+    points = cut_lineage(points.withColumn("_v", array_to_vector("_x")))
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=3, seed=int(seed))
-    model = lsh.fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, radius, distCol="_d").where(
-        F.col("datasetA._id") != F.col("datasetB._id")).select(
-        F.col("datasetA._id").alias("_id"), F.col("datasetB._x").alias("_y"), "_d", F.col("datasetB._id").alias("_nid"))
-    order = Window.partitionBy("_id").orderBy("_d", "_nid")
+    near = lsh.fit(points).approxSimilarityJoin(points, points, radius, distCol="_d").where(
+        F.col("datasetA._pid") != F.col("datasetB._pid")).select(
+        F.col("datasetA._pid").alias("_pid"), F.col("datasetB._x").alias("_y"), "_d",
+        F.col("datasetB._pid").alias("_nid"), F.col("datasetB._copies").alias("_nc"))
+    order = Window.partitionBy("_pid").orderBy("_d", "_nid")
     top = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    hoods = top.groupBy("_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_r", "_y"))), lambda s: s["_y"]).alias("_near"))
+    others = top.groupBy("_pid").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("_r", "_y", "_nc"))),
+        lambda s: F.array_repeat(s["_y"], F.least(s["_nc"], F.lit(k)).cast("int")))).alias("_others"))
+    own = F.array_repeat("_x", F.least(F.col("_copies") - 1, F.lit(k)).cast("int"))
+    hoods = points.select("_x", "_copies", "_pid").join(others, "_pid", "left").select("_x", F.slice(F.concat(
+        own, F.coalesce("_others", F.array().cast("array<array<double>>"))), 1, k).alias("_near"))
     counts = df.agg(F.count_if(F.col(label) == minority).alias("_m"), F.count_if(F.col(label) != minority).alias("_o"))
     ranked = hash_rank(rows.select("_id", "_x").withColumn("_one", F.lit(1)), ["_one"], md5_bits(f"smote{seed}", "_id"), "_id")
-    base = ranked.join(hoods, "_id", "left").crossJoin(F.broadcast(counts))
+    base = ranked.join(hoods, "_x").crossJoin(F.broadcast(counts))
     missing = F.greatest(F.lit(0), F.col("_o") - F.col("_m"))
     copies = F.floor(missing / F.col("_m")) + F.when(F.col("rank") <= F.pmod(missing, F.col("_m")), 1).otherwise(0)
     made = base.withColumn("_c", copies.cast("int")).where(F.col("_c") > 0).withColumn(

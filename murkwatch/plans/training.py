@@ -30,7 +30,7 @@ def trn2(d: Data):
 
 @query("trn3_smote")
 def trn3(d: Data):
-    out = tr.smote(d.receipt_features.where(F.col("split") == "train"), "id", "label", FEATS, bucket=0.05, radius=0.1)
+    out = tr.smote(d.receipt_features.where(F.col("split") == "train"), "id", "label", FEATS, bucket=0.02, radius=0.1)
     return out.groupBy("label", "synthetic").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in FEATS])
 
 

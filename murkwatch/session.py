@@ -40,6 +40,16 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for expensive row-wise work on an input with fewer partitions than cores.
+
+    Large inputs already have more partitions than the cluster has cores and are returned as they are,
+    without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; a temp folder only when unset on local masters."""
     sc = spark.sparkContext

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,24 +50,30 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a temp folder only when unset on local masters."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, a folder below the warehouse."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="murkwatch-ckpt-"))
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     The table outlives lost executors and is computed once (an eager ``checkpoint()`` runs its last
-    stage twice). Files live as long as the checkpoint folder does.
+    stage twice). Files live as long as the checkpoint folder does, or until ``drop_table``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` gave and no later step reads."""
+    jvm = df.sparkSession._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/cut-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

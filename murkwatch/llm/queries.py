@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, token_counts
+from . import bpe, chat, exact, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Stands for a secret that a deployment would read from its own store.
+PII_KEY = "pseudonyms"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -58,3 +60,74 @@ SELECT doc_id, MIN(doc_id) OVER same AS keep_id, COUNT(*) OVER same AS group_siz
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents)
 WINDOW same AS (PARTITION BY content)
 """
+
+
+@query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(table(spark, folder, "documents"))
+
+
+ORACLES["op2_quality_rules"] = r"""
+WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         regexp_split_to_array(text, '\n') AS lines
+  FROM texts),
+grams AS (
+  SELECT doc_id, place, gram, COUNT(*) OVER (PARTITION BY doc_id, gram) AS times
+  FROM (SELECT doc_id, place, array_to_string(words[place:place + 4], ' ') AS gram
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS place FROM split WHERE len(words) >= 5))),
+repeats AS (
+  SELECT doc_id, COUNT(DISTINCT word_place) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(place, place + 5)) AS word_place FROM grams WHERE times > 1) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, lang, source, len(words) AS n_words, length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         len(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(text) AS n_chars
+  FROM split LEFT JOIN repeats USING (doc_id)),
+measured AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         least(1000 * n_symbols // greatest(n_chars, 1), 1000) AS symbols, least(1000 * n_dup_lines // n_lines, 1000) AS dup_lines,
+         least(1000 * n_repeat_words // greatest(n_words, 1), 1000) AS repeats, least(10 * word_chars // greatest(n_words, 1), 1000) AS word_length
+  FROM counts),
+long AS (
+  UNPIVOT (SELECT doc_id, lang, source, symbols, dup_lines, repeats, word_length FROM measured WHERE NOT base_failed)
+  ON symbols, dup_lines, repeats, word_length INTO NAME measure VALUE v),
+own AS (
+  SELECT lang, source, measure, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
+wide AS (SELECT lang, measure, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
+spread AS (SELECT * FROM (VALUES ('symbols', 20), ('dup_lines', 100), ('repeats', 60), ('word_length', 20)) t (measure, least_spread)),
+fences AS (
+  SELECT own.lang, own.source, measure,
+         least(own.q1 - 3 * greatest(own.q3 - own.q1, least_spread), wide.q1 - 3 * greatest(wide.q3 - wide.q1, least_spread)) AS low,
+         greatest(own.q3 + 3 * greatest(own.q3 - own.q1, least_spread), wide.q3 + 3 * greatest(wide.q3 - wide.q1, least_spread)) AS high
+  FROM own JOIN spread USING (measure) JOIN wide USING (measure) WHERE own.lang IS NOT DISTINCT FROM wide.lang),
+refused AS (
+  SELECT DISTINCT doc_id FROM long JOIN fences USING (measure)
+  WHERE long.lang IS NOT DISTINCT FROM fences.lang AND long.source IS NOT DISTINCT FROM fences.source
+    AND (v > high OR measure = 'word_length' AND v < low))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM refused) AS kept
+FROM measured
+"""
+
+
+@query
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.windows(own.unionByName(extra)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars")
+
+
+@query
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.pseudonymise(docs.select("doc_id", "text"), PII_KEY)

@@ -18,7 +18,7 @@ from .shared import SPACES
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Measure: (least spread, whether it has a lower fence). Grid values: 0 to 1000.
-MEASURES = {"symbols": (20, False), "dup_lines": (100, False), "repeats": (60, False), "word_length": (20, True)}
+MEASURES = {"symbols": (20, False), "dup_lines": (100, False), "repeats": (65, False), "word_length": (20, True)}
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:

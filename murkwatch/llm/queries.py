@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, packing, pii, quality, token_counts
+from . import bpe, chat, exact, minhash, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,7 @@ long AS (
 own AS (
   SELECT lang, source, measure, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
 wide AS (SELECT lang, measure, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
-spread AS (SELECT * FROM (VALUES ('symbols', 20), ('dup_lines', 100), ('repeats', 60), ('word_length', 20)) t (measure, least_spread)),
+spread AS (SELECT * FROM (VALUES ('symbols', 20), ('dup_lines', 100), ('repeats', 65), ('word_length', 20)) t (measure, least_spread)),
 fences AS (
   SELECT own.lang, own.source, measure,
          least(own.q1 - 3 * greatest(own.q3 - own.q1, least_spread), wide.q1 - 3 * greatest(wide.q3 - wide.q1, least_spread)) AS low,
@@ -131,3 +131,8 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pii.pseudonymise(docs.select("doc_id", "text"), PII_KEY)
+
+
+@query
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.components(table(spark, folder, "documents"), size=3, percent=85)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, minhash, packing, pii, quality, token_counts
+from . import bpe, chat, exact, minhash, packing, pii, quality, recompress, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
 @query
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN).drop("text")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, minhash, packing, pii, quality, recompress, token_counts
+from . import bpe, chat, exact, minhash, packing, pii, quality, recompress, rindex, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,8 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.components(table(spark, folder, "documents"), size=3, percent=85)
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return rindex.remove_earlier(table(spark, folder, "documents")).drop("kept")

@@ -8,10 +8,10 @@ neighbouring pairs by rank yields the next merge. Both run inside narrow Arrow s
 from __future__ import annotations
 
 import base64
-import heapq
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
-from .wordcuts import Memo, joined
+from .wordcuts import Memo, joined, latin
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -87,6 +87,7 @@ class Codec:
         self.prepare()
 
     def prepare(self) -> None:
+        self.memo = Memo(self.spaced, cache(self.ids_of))
         self.split = regex.compile(self.pattern).findall
         self.seeds, slots = self.hash.tables()
         self.slot_ids = [self.present[i] for i in slots]
@@ -101,43 +102,56 @@ class Codec:
         return found if self.tokens[found] == piece else -1
 
     def merged(self, piece: bytes) -> list[int]:
-        """Merges the pair of lowest rank, leftmost first, until none is left."""
-        n, ranks = len(piece), self.ranks
-        after, before, end = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
-        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(piece[i:i + 2])) is not None]
-        heapq.heapify(heap)
-        alive = bytearray(b"\1" * n)
+        """Merges the pair of lowest rank, leftmost first, until none is left.
+
+        A token lies at its first byte; ``end`` leads to the next one, ``before`` to the one before. A heap entry is stale
+        when its left token is gone or its right token no longer ends where it did.
+        """
+        n, rank_of = len(piece), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(rank, i) for i in range(n - 1) if (rank := rank_of(piece[i:i + 2])) is not None]
+        stops = [i + 2 for i in range(n)]  # where the pair at i ends for which the heap holds a valid entry
+        heapify(heap)
         while heap:
-            _, left, stop = heapq.heappop(heap)
-            if not alive[left]:
+            rank, left = heappop(heap)
+            right = end[left]
+            if right <= 0 or right >= n:
                 continue
-            right = after[left]
-            if right >= n or end[right] != stop:
-                continue  # one of the two has grown since
-            alive[right] = 0
-            end[left], after[left] = stop, after[right]
-            if after[right] < n:
-                before[after[right]] = left
-                further = end[after[left]]
-                if (rank := ranks.get(piece[left:further])) is not None:
-                    heapq.heappush(heap, (rank, left, further))
-            if before[left] >= 0 and (rank := ranks.get(piece[before[left]:stop])) is not None:
-                heapq.heappush(heap, (rank, before[left], stop))
-        return [ranks[piece[i:end[i]]] for i in range(n) if alive[i]]
+            stop = end[right]
+            if stop != stops[left] or rank_of(piece[left:stop]) != rank:
+                continue
+            end[left], end[right] = stop, 0
+            if stop < n:
+                before[stop] = left
+                stops[left] = further = end[stop]
+                if (found := rank_of(piece[left:further])) is not None:
+                    heappush(heap, (found, left))
+            earlier = before[left]
+            if earlier >= 0:
+                stops[earlier] = stop
+                if (found := rank_of(piece[earlier:stop])) is not None:
+                    heappush(heap, (found, earlier))
+        ids, at = [], 0
+        while at < n:
+            ids.append(self.ranks[piece[at:end[at]]])
+            at = end[at]
+        return ids
+
+    def ids_of(self, piece: str) -> bytes:
+        raw = piece.encode()
+        found = self.whole(raw)
+        return array("I", [found] if found >= 0 else self.merged(raw)).tobytes()
 
     def part(self, text: str) -> bytes:
-        """Ids of a part, each as four little-endian bytes."""
-        ids = array("I")
-        for piece in self.split(text):
-            raw = piece.encode()
-            if (found := self.whole(raw)) >= 0:
-                ids.append(found)
-            else:
-                ids.extend(self.merged(raw))
-        return ids.tobytes()
+        """Ids of a text or part, each as four little-endian bytes."""
+        return b"".join(map(self.ids_of, self.split(text)))
+
+    def spaced(self, part: str) -> bytes:
+        """Ids of a part with its space; letters alone are one pre-token."""
+        return self.ids_of(" " + part) if latin(part) else self.part(" " + part)
 
-    def encode(self, text: str, memo: Memo) -> bytes:
-        return joined(text, self.part, memo)
+    def encode(self, text: str) -> bytes:
+        return joined(text, self.part, self.memo)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
@@ -160,10 +174,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
-        memo = Memo(lambda part: coder.part(" " + part))
         for batch in small_batches(batches):
             at = batch.schema.get_field_index(text_col)
-            ids = [coder.encode(text or "", memo) for text in batch.column(at).to_pylist()]
+            ids = [coder.encode(text or "") for text in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, out_col])
 
     return held.mapInArrow(run, schema)

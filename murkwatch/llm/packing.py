@@ -41,7 +41,7 @@ class Tokens:
         self.added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         ranks = {token: i for i, token in enumerate(read_ranks(ranks_path)) if token}
         self.merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.memo = Memo(lambda part: self.part(" " + part))
+        self.memo = Memo(lambda part: self.part(" " + part), cache(self.part))
 
     def part(self, text: str) -> bytes:
         return np.array(self.merges.encode_ordinary(text), dtype="<u4").tobytes()

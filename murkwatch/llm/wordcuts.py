@@ -10,6 +10,10 @@ import re
 from collections.abc import Callable
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: A Latin word and one of some marks behind it: the pattern parts these two and nothing else.
+MARKS = frozenset(".,;:!?")
+plain_word = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?]").fullmatch
+latin = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -22,18 +26,26 @@ def cut_words(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """``encode(part)`` for parts seen before; emptied when it holds ``limit`` of them."""
+    """``encode(part)`` for parts seen before. It holds two generations of ``limit`` parts; a part that is asked for again
+    moves to the younger one, and the older is dropped when the younger is full. A word with a mark behind it is put
+    together from the two."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 250_000):
+    def __init__(self, encode: Callable[[str], bytes], mark: Callable[[str], bytes], limit: int = 500_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.mark, self.limit, self.older = encode, mark, limit, {}
 
     def __missing__(self, part: str) -> bytes:
-        value = self.encode(part)
-        if len(part) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[part] = value
+        if part[-1:] in MARKS and (found := plain_word(part)):
+            return self[found[1]] + self.mark(part[-1])
+        value = self.older.get(part)
+        if value is None:
+            value = self.encode(part)
+            if len(part) > 64:
+                return value
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[part] = value
         return value
 
 

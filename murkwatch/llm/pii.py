@@ -31,7 +31,7 @@ KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "assigned": ASSIGNED, "date":
 #: Groups are numbered over the whole pattern; the date's separator is the only one.
 ANY = "|".join(KINDS.values())
 #: A text without any of these characters has no candidate.
-HINT = r"[0-9@]|password|passwd|secret|token|api_key"
+HINT = r"[0-9@]|AKIA|password|passwd|secret|token|api_key"
 
 
 def _digest(key: str, kind: str, turn: Column, *other: Column) -> Column:

@@ -212,5 +212,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
 
 def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """The inverse of ``pseudonymise`` with the same key, for texts in which no pseudonym abuts on new digits or letters."""
+    """The inverse of ``pseudonymise`` with the same key, for texts in which no pseudonym abuts on new digits or letters.
+    A day or month of one digit may come back with a zero before it."""
     return _replaced(docs, key, text_col, None, -1)

@@ -20,8 +20,8 @@ URL = r"(?i)https?://[^\s/$.?#].[^\s]*"
 USER_PATH = r"(?i)(?:c:\\Users\\|/home/|/Users/)([^/\\]+)"
 # Account names that are not personal.
 SYSTEM_USERS = ["default", "public", "administrator", "all users", "system32"]
-# Fixed value: the salt that existing hashed datasets were made with.
-SALT = "lumint"
+# Default only: a deployment passes its own secret, or that of the hashed datasets it has to match.
+SALT = "neutral-salt"
 
 
 def hash_identifier(value: Column, salt: str = SALT) -> Column:

@@ -113,7 +113,7 @@ def replay_feed(alerts: DataFrame, receipt_events: DataFrame, keep: int = 50) ->
     r = r.select(
         F.concat(F.lit("upi-"), F.col("id").cast("string")).alias("event_id"), F.col("timestamp").alias("ts"),
         F.lit("upi").alias("module"), F.coalesce(F.upper("risk_level"), F.lit("MEDIUM")).alias("threat_level"),
-        F.lit("UPI screenshot verification").alias("summary"),
+        F.lit("Receipt check").alias("summary"),
         F.when(F.coalesce("risk_score", F.lit(0)) == 0, 50).otherwise(F.col("risk_score")).alias("risk_score"),
         F.when(F.col("risk_level").isin("HIGH", "CRITICAL"), "FRAUD").otherwise("CLEAN").alias("ai_verdict"),
         F.when(F.col("font_anomalies_detected") == 1, "font_anomaly").otherwise("utr_check").alias("indicator"))

@@ -178,9 +178,9 @@ def mcnemar(df: DataFrame, truth: Column, pred_a: Column, pred_b: Column, by: li
     out = out.withColumn("statistic", stat).withColumn("p_value", _mcnemar_p("b", "c"))
     sig = F.col("p_value") < alpha
     return out.withColumn("significant", sig).withColumn("interpretation", F.when(
-        ~sig, "Model A is not significantly different from Model B").when(
-        F.col("b") > F.col("c"), "Model A is significantly better than Model B").otherwise(
-        "Model A is significantly worse than Model B"))
+        ~sig, "no difference shown").when(
+        F.col("b") > F.col("c"), "A makes fewer errors").otherwise(
+        "B makes fewer errors"))
 
 
 def paired_differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -131,12 +131,12 @@ def dataset_card(records: DataFrame, issues: DataFrame, name: str) -> DataFrame:
         F.count("*").alias("record_count"), F.array_join(F.array_sort(F.collect_set("dataset_type")), ", ").alias("dataset_type"),
         *[F.count_if(F.col("label") == n).alias(f"{n.lower()}_count") for n in LB.LABELS])
     privacy = F.when(F.size("_leaks") > 0, F.concat(
-        F.lit("Standard privacy scanning performed. Warning: Potential raw identifiers detected: "),
-        F.array_join("_leaks", ", "), F.lit(". Redaction or verification recommended."),
-    )).otherwise("Standard privacy scanning performed. No major raw PII leaks detected during automated scan.")
-    limits = F.concat(F.lit("Contains synthetic or limited samples. "), F.when(
-        F.col("clean_count") == 0, "Negative-heavy dataset structure (missing CLEAN controls).").when(
-        F.col("high_count") == 0, "Positive-heavy dataset structure (missing positive fraud markers).").otherwise(""))
+        F.lit("Scanned for identifiers; still present: "),
+        F.array_join("_leaks", ", "), F.lit(". Redact these or check them by hand."),
+    )).otherwise("Scanned for identifiers; none found.")
+    limits = F.concat(F.lit("May hold generated rows or few of a kind. "), F.when(
+        F.col("clean_count") == 0, "No CLEAN record to compare with.").when(
+        F.col("high_count") == 0, "No HIGH record to compare with.").otherwise(""))
     return head.crossJoin(found).select(
         F.lit(name).alias("dataset_name"), "dataset_type", "record_count", "clean_count", "suspicious_count", "high_count",
         privacy.alias("privacy_notes"), limits.alias("known_limitations"))

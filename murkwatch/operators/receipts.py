@@ -134,8 +134,8 @@ def ela_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
 def event_rows(scored: DataFrame) -> DataFrame:
     """Receipt events for the event table, with an explanation line per indicator."""
     lines = F.array_join(F.transform("indicators", lambda i: F.concat(
-        F.lit("- "), i["detail"], F.lit(" (Contribution: +"), i["score"].cast("string"), F.lit(")"))), "\n")
-    clean = F.lit("No suspicious forensic indicators were found.")
+        F.lit("- "), i["detail"], F.lit(": "), i["score"].cast("string"), F.lit(" points"))), "\n")
+    clean = F.lit("No signal fired.")
     return scored.select(
         F.col("receipt_id").alias("id"), F.col("seen_at").alias("timestamp"), F.lit("screenshot").alias("event_type"),
         F.col("utr").alias("utr_number"), F.get("vpas", 0).alias("sender_upi_id"),

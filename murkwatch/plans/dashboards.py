@@ -58,7 +58,7 @@ def agg6(d: Data):
 @query("agg7_replay_feed", f"""WITH {IND}, a AS (SELECT 'alert-' || id AS event_id, ts, CASE WHEN indicator_type IN ('domain', 'ip') THEN 'phish' ELSE 'upi' END AS module, upper(severity) AS threat_level,
   coalesce(description, 'Alert on ' || value) AS summary, CASE severity WHEN 'critical' THEN 85 WHEN 'high' THEN 65 ELSE 45 END AS risk_score,
   CASE WHEN indicator_type IN ('domain', 'ip') THEN 'PHISHING' ELSE 'FRAUD' END AS ai_verdict, indicator_type AS indicator FROM (SELECT * FROM {{alerts}} ORDER BY ts DESC, id DESC LIMIT 50)),
-  r AS (SELECT 'upi-' || receipt_id AS event_id, seen_at AS ts, 'upi' AS module, verdict AS threat_level, 'UPI screenshot verification' AS summary, CASE WHEN score = 0 THEN 50 ELSE score END AS risk_score,
+  r AS (SELECT 'upi-' || receipt_id AS event_id, seen_at AS ts, 'upi' AS module, verdict AS threat_level, 'Receipt check' AS summary, CASE WHEN score = 0 THEN 50 ELSE score END AS risk_score,
   'CLEAN' AS ai_verdict, CASE WHEN NOT font_consistent THEN 'font_anomaly' ELSE 'utr_check' END AS indicator FROM (SELECT * FROM ver ORDER BY seen_at DESC, receipt_id DESC LIMIT 50))
   SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM r) ORDER BY ts DESC, event_id DESC LIMIT 50""")
 def agg7(d: Data):

@@ -39,11 +39,11 @@ FIELDS = """fields AS (SELECT id AS record_id, source, 'path_or_value' AS field,
 def chain(source: str, key: str, steps=("email", "utr", "phone", "handle", "amount", "url")) -> str:
     """CTEs t0..tn that redact column ``t`` of ``source`` step by step."""
     rules = {
-        "email": (P.EMAIL, "'<EMAIL_HASH:' || substr(sha256(lower(m) || 'lumint'), 1, 16) || '>'"),
-        "utr": (P.UTR, "'<UTR_HASH:' || substr(sha256(m || 'lumint'), 1, 16) || '>'"),
-        "phone": (P.PHONE, r"'<PHONE_HASH:' || substr(sha256(regexp_replace(m, '[-.\s()+]', '', 'g') || 'lumint'), 1, 16) || '>'"),
-        "handle": (P.HANDLE, "'<UPI_ID_HASH:' || substr(sha256(lower(m) || 'lumint'), 1, 16) || '>'"),
-        "url": (P.URL, "lower(split_part(m, '://', 1)) || '://' || regexp_extract(m, '^[^:]+://([^/?#]*)', 1) || CASE WHEN regexp_replace(regexp_extract(m, '^[^:]+://[^/?#]*(.*)$', 1), '^[?#]+$', '') = '' THEN '' ELSE '/<PATH_HASH:' || substr(sha256(m || 'lumint'), 1, 16) || '>' END"),
+        "email": (P.EMAIL, f"'<EMAIL_HASH:' || substr(sha256(lower(m) || '{P.SALT}'), 1, 16) || '>'"),
+        "utr": (P.UTR, f"'<UTR_HASH:' || substr(sha256(m || '{P.SALT}'), 1, 16) || '>'"),
+        "phone": (P.PHONE, rf"'<PHONE_HASH:' || substr(sha256(regexp_replace(m, '[-.\s()+]', '', 'g') || '{P.SALT}'), 1, 16) || '>'"),
+        "handle": (P.HANDLE, f"'<UPI_ID_HASH:' || substr(sha256(lower(m) || '{P.SALT}'), 1, 16) || '>'"),
+        "url": (P.URL, f"lower(split_part(m, '://', 1)) || '://' || regexp_extract(m, '^[^:]+://([^/?#]*)', 1) || CASE WHEN regexp_replace(regexp_extract(m, '^[^:]+://[^/?#]*(.*)$', 1), '^[?#]+$', '') = '' THEN '' ELSE '/<PATH_HASH:' || substr(sha256(m || '{P.SALT}'), 1, 16) || '>' END"),
     }
     out = [f"t0 AS (SELECT {key}, t FROM {source})"]
     for i, s in enumerate(steps):
@@ -142,13 +142,13 @@ def dq9(d: Data):
 @query("dq10_dataset_card", f"""WITH {ISSUES}, h AS (SELECT count(*) AS record_count, string_agg(DISTINCT dataset_type, ', ' ORDER BY dataset_type) AS dataset_type,
   count(*) FILTER (label = 'CLEAN') AS clean_count, count(*) FILTER (label = 'SUSPICIOUS') AS suspicious_count, count(*) FILTER (label = 'HIGH') AS high_count FROM (SELECT dataset_type, {STRICT} AS label FROM {{records}}) WHERE label IS NOT NULL)
   SELECT 'all_records' AS dataset_name, dataset_type, record_count, clean_count, suspicious_count, high_count,
-  'Standard privacy scanning performed. Warning: Potential raw identifiers detected: ' || (SELECT string_agg(DISTINCT code, ', ' ORDER BY code) FROM issues WHERE starts_with(code, 'LEAK_')) || '. Redaction or verification recommended.' AS privacy_notes,
-  'Contains synthetic or limited samples. ' AS known_limitations FROM h""")
+  'Scanned for identifiers; still present: ' || (SELECT string_agg(DISTINCT code, ', ' ORDER BY code) FROM issues WHERE starts_with(code, 'LEAK_')) || '. Redact these or check them by hand.' AS privacy_notes,
+  'May hold generated rows or few of a kind. ' AS known_limitations FROM h""")
 def dq10(d: Data):
     return ops.dataset_card(_labelled(d), _issues(d), "all_records")
 
 
-@query("red1_hash", "SELECT id, substr(sha256(path_or_value || 'lumint'), 1, 16) AS h FROM {records}")
+@query("red1_hash", f"SELECT id, substr(sha256(path_or_value || '{P.SALT}'), 1, 16) AS h FROM {{records}}")
 def red1(d: Data):
     return d.records.select("id", P.hash_identifier(F.col("path_or_value")).alias("h"))
 

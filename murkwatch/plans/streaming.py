@@ -17,10 +17,10 @@ FROM {fraud_events}
 @query("str1_threat_events", """WITH s AS (SELECT *, CASE WHEN ai_score IS NOT NULL THEN ai_score ELSE coalesce(risk_score, 50) END AS sc, upper(CASE WHEN ai_score IS NOT NULL THEN coalesce(ai_level, risk_level, 'MEDIUM') ELSE coalesce(risk_level, 'MEDIUM') END) AS lv FROM {detections})
   SELECT event_id, module, CASE WHEN lv IN ('CLEAN', 'LOW_RISK', 'LOW') THEN 'LOW' WHEN lv IN ('SUSPICIOUS', 'MEDIUM_RISK', 'MEDIUM') THEN 'MEDIUM' WHEN lv IN ('HIGH', 'HIGH_RISK') THEN 'HIGH' WHEN lv IN ('CRITICAL', 'CRITICAL_RISK') THEN 'CRITICAL'
     WHEN sc >= 81 THEN 'CRITICAL' WHEN sc >= 61 THEN 'HIGH' WHEN sc >= 31 THEN 'MEDIUM' ELSE 'LOW' END AS threat_level, sc AS risk_score,
-  CASE module WHEN 'phish' THEN 'Phishing URL detected targeting ' || coalesce(subject, 'unknown domain') WHEN 'doc' THEN 'Suspicious document metadata tampering in ' || coalesce(subject, 'document.pdf')
-    WHEN 'upi' THEN 'UPI screenshot verification of amount ' || coalesce(subject, '0.0') || ' INR' WHEN 'fraud_dna' THEN 'Fraud DNA Campaign Correlation Alert' ELSE 'Threat event in ' || module END AS summary,
+  CASE module WHEN 'phish' THEN 'Bait link for ' || coalesce(subject, 'an unnamed host') WHEN 'doc' THEN 'Altered metadata: ' || coalesce(subject, 'unnamed file')
+    WHEN 'upi' THEN 'Receipt checked, amount ' || coalesce(subject, '0.0') || ' INR' WHEN 'fraud_dna' THEN 'Event joins a known campaign' ELSE 'Signal from ' || module END AS summary,
   upper(coalesce(ai_verdict, CASE module WHEN 'phish' THEN 'PHISHING' WHEN 'doc' THEN 'TAMPERED' WHEN 'other' THEN 'UNKNOWN' ELSE 'FRAUD' END)) AS ai_verdict,
-  CASE WHEN indicator_list = '' THEN 'threat detected' ELSE indicator_list END AS indicators FROM s""")
+  CASE WHEN indicator_list = '' THEN 'unspecified' ELSE indicator_list END AS indicators FROM s""")
 def str1(d: Data):
     rules = F.filter(F.split("indicator_list", r"\|"), lambda x: x != "")
     none = F.lit(None).cast("array<string>")

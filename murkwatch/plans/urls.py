@@ -218,11 +218,11 @@ def url15(d: Data):
 
 
 @query("url16_batch_screening", f"""WITH {SCORED} SELECT url_id, n AS normalized_url, domain, risk_score, risk_level,
-  CASE WHEN n = '' THEN 'URL is empty.' END AS error FROM final""")
+  CASE WHEN n = '' THEN 'Nothing to check.' END AS error FROM final""")
 def url16(d: Data):
     return _scored(d).select(
         "url_id", "normalized_url", "domain", "risk_score", "risk_level",
-        F.when(F.col("normalized_url") == "", "URL is empty.").alias("error"))
+        F.when(F.col("normalized_url") == "", "Nothing to check.").alias("error"))
 
 
 @query("url17_keyword_baseline", f"""SELECT url_id, CASE WHEN k >= 2 THEN 85 WHEN k = 1 THEN 50 ELSE 10 END AS score,

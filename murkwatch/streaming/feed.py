@@ -27,17 +27,17 @@ def threat_events(df: DataFrame) -> DataFrame:
         .when(module.isin("upi", "fraud_dna"), "FRAUD").otherwise("UNKNOWN"))
     summary = (
         F.when(module == "phish", F.concat(
-            F.lit("Phishing URL detected targeting "), F.coalesce("subject", F.lit("unknown domain"))))
+            F.lit("Bait link for "), F.coalesce("subject", F.lit("an unnamed host"))))
         .when(module == "doc", F.concat(
-            F.lit("Suspicious document metadata tampering in "), F.coalesce("subject", F.lit("document.pdf"))))
+            F.lit("Altered metadata: "), F.coalesce("subject", F.lit("unnamed file"))))
         .when(module == "upi", F.concat(
-            F.lit("UPI screenshot verification of amount "), F.coalesce("subject", F.lit("0.0")), F.lit(" INR")))
-        .when(module == "fraud_dna", "Fraud DNA Campaign Correlation Alert")
-        .otherwise(F.concat(F.lit("Threat event in "), module)))
+            F.lit("Receipt checked, amount "), F.coalesce("subject", F.lit("0.0")), F.lit(" INR")))
+        .when(module == "fraud_dna", "Event joins a known campaign")
+        .otherwise(F.concat(F.lit("Signal from "), module)))
     return df.select(
         "event_id", "ts", "module", L.threat_level(level, score).alias("threat_level"), summary.alias("summary"),
         score.alias("risk_score"), F.upper(F.coalesce("ai_verdict", default_verdict)).alias("ai_verdict"),
-        F.when(F.size(first) == 0, F.array(F.lit("threat detected"))).otherwise(first).alias("indicators"),
+        F.when(F.size(first) == 0, F.array(F.lit("unspecified"))).otherwise(first).alias("indicators"),
         F.coalesce("drift_status", F.lit("stable")).alias("drift_status"))
 
 

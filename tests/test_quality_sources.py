@@ -11,7 +11,7 @@ from murkwatch.sources import datasets, stores
 
 
 def h(v):
-    return hashlib.sha256((v + "lumint").encode()).hexdigest()[:16]
+    return hashlib.sha256((v + P.SALT).encode()).hexdigest()[:16]
 
 
 def test_redaction_tokens(spark):

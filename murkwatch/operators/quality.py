@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as LB
 from ..functions import privacy as P
 from ..functions.exprs import lit_array, pin
+from ..session import cut_lineage
 
 
 def normalize_labels(df: DataFrame, raw: str = "raw_label") -> tuple[DataFrame, DataFrame]:
@@ -78,30 +79,22 @@ def text_fields(df: DataFrame, record: str, value: str, metadata: str) -> DataFr
         F.col("text").isNotNull() & (F.col("text") != ""))
 
 
-def flatten_json(df: DataFrame, record: str, column: str, depth: int = 4) -> DataFrame:
-    """Rows (record_id, field, text) for every string inside a JSON column, with its path.
-
-    Levels beyond ``depth`` are kept as their JSON text under the path reached, so no string is
-    left unscanned.
-    """
-    level = df.select(
-        F.col(record).alias("record_id"), F.lit("metadata").alias("field"), F.parse_json(column).alias("v"))
-    leaves = []
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves.append(level.where(kind == "STRING").select(
-            "record_id", "field", F.col("v").cast("string").alias("text")))
-        open_rows = level.where(nested)
-        open_rows.createOrReplaceTempView("_murkwatch_open_variants")
+def flatten_json(df: DataFrame, record: str, column: str) -> DataFrame:
+    """Rows (record_id, field, text) for every string inside a JSON column, at any depth, with its path."""
+    level = df.select(F.col(record).alias("record_id"), F.lit("metadata").alias("field"), F.parse_json(column).alias("v"))
+    out = None
+    while True:
+        # One table a level: the next one reads it, and the loop ends with the deepest container.
+        kinds = cut_lineage(level.select(
+            "record_id", "field", F.schema_of_variant("v").alias("kind"), F.to_json("v").alias("json"), F.col("v").try_cast("string").alias("text")))
+        leaves = kinds.where("kind = 'STRING'").select("record_id", "field", "text")
+        out = leaves if out is None else out.unionByName(leaves)
+        inner = kinds.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"))
+        if inner.isEmpty():
+            return out
         level = df.sparkSession.sql(
-            "SELECT record_id, field || CASE WHEN key IS NULL THEN '[' || pos || ']' ELSE '.' || key END AS field, "
-            "value AS v FROM _murkwatch_open_variants, LATERAL variant_explode(v)")
-    leaves.append(level.select("record_id", "field", F.to_json("v").alias("text")))
-    out = leaves[0]
-    for part in leaves[1:]:
-        out = out.unionByName(part)
-    return out
+            "SELECT record_id, field || CASE WHEN key IS NULL THEN '[' || pos || ']' ELSE '.' || key END AS field, value AS v "
+            "FROM {inner}, LATERAL variant_explode(parse_json(json))", inner=inner)
 
 
 def leak_issues(fields: DataFrame) -> DataFrame:

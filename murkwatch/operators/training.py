@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,28 +63,38 @@ def scale(df: DataFrame, features: list[str], fit_on: Column | None = None) -> D
 
 
 def smote(df: DataFrame, key: str, label: str, features: list[str], minority: int = 1, k: int = 5,
-          bucket: float = 1.0, radius: float = 2.0, seed: str = SEED) -> DataFrame:
+          fit_points: int = 20_000, seed: str = SEED) -> DataFrame:
     """Append synthetic minority rows until both classes are equal.
 
-    Neighbours within ``radius`` come from a locality-sensitive join, so no all-pairs distance table is
-    built; the ``k`` nearest are kept per row. Rows without a neighbour are interpolated with
-    themselves. Each base row is used floor or ceil of (missing / minority) times.
+    Each minority row is interpolated with one of its ``k`` nearest among at most ``fit_points`` distinct labelled points,
+    drawn by hash where there are more; within them the search is exact. That bound is also what is broadcast. A row
+    without another point is interpolated with itself. Each base row is used floor or ceil of (missing / minority) times.
     """
     rows = df.where(F.col(label) == minority).select(
         F.col(key).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
-    # Equal rows are one point with a count, so copies never pair up inside a hash bucket.
-    points = rows.groupBy("_x").agg(F.count("*").alias("_copies"), F.min("_id").alias("_pid"))
-    points = cut_lineage(points.withColumn("_v", array_to_vector("_x")))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=3, seed=int(seed))
-    near = lsh.fit(points).approxSimilarityJoin(points, points, radius, distCol="_d").where(
-        F.col("datasetA._pid") != F.col("datasetB._pid")).select(
-        F.col("datasetA._pid").alias("_pid"), F.col("datasetB._x").alias("_y"), "_d",
-        F.col("datasetB._pid").alias("_nid"), F.col("datasetB._copies").alias("_nc"))
-    order = Window.partitionBy("_pid").orderBy("_d", "_nid")
-    top = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    others = top.groupBy("_pid").agg(F.flatten(F.transform(
-        F.array_sort(F.collect_list(F.struct("_r", "_y", "_nc"))),
-        lambda s: F.array_repeat(s["_y"], F.least(s["_nc"], F.lit(k)).cast("int")))).alias("_others"))
+    # Equal rows are one point with a count.
+    points = cut_lineage(rows.groupBy("_x").agg(F.count("*").alias("_copies"), F.min(F.col("_id").cast("string")).alias("_pid")))
+    drawn = points.orderBy(md5_bits("fit" + seed, "_pid"), "_pid").limit(fit_points).select("_pid", "_x", "_copies").collect()
+    known = df.sparkSession.sparkContext.broadcast((
+        np.array([r["_x"] for r in drawn]).reshape(-1, len(features)), [r["_pid"] for r in drawn], [r["_copies"] for r in drawn]))
+
+    def nearest(batches):
+        at, names, copies = known.value
+        place = {name: i for i, name in enumerate(names)}
+        for batch in batches:
+            near = []
+            for start in range(0, batch.num_rows, 256):
+                ids = batch.column(0).slice(start, 256).to_pylist()
+                own = np.array(batch.column(1).slice(start, 256).to_pylist()).reshape(-1, len(features))
+                gap = sum((own[:, i, None] - at[None, :, i]) ** 2 for i in range(len(features)))
+                for row, name in enumerate(ids):
+                    if name in place:
+                        gap[row, place[name]] = np.inf
+                first = np.argsort(gap, axis=1, kind="stable")[:, :k]
+                near += [[at[i].tolist() for i in line for _ in range(min(copies[i], k)) if gap[row, i] < np.inf] for row, line in enumerate(first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.list_(pa.list_(pa.float64())))], names=["_pid", "_others"])
+
+    others = points.select("_pid", "_x").mapInArrow(nearest, "_pid string, _others array<array<double>>")
     own = F.array_repeat("_x", F.least(F.col("_copies") - 1, F.lit(k)).cast("int"))
     hoods = points.select("_x", "_copies", "_pid").join(others, "_pid", "left").select("_x", F.slice(F.concat(
         own, F.coalesce("_others", F.array().cast("array<array<double>>"))), 1, k).alias("_near"))
@@ -124,10 +136,9 @@ def scores(model, df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def metrics_at(df: DataFrame, label: str = "label", p: str = "p", cut: float = 0.5) -> DataFrame:
-    """F1, precision, recall, MCC and AUC of probabilities. AUC uses six decimals of p."""
-    rounded = df.withColumn("_s", F.round(p, 6))
-    m = ev.confusion(rounded, F.col(label) == 1, F.col(p) >= cut).withColumns(ev.metric_columns())
-    return m.crossJoin(F.broadcast(ev.auc(rounded, label, "_s"))).select("support", "f1", "precision", "recall", "mcc", "auc")
+    """F1, precision, recall, MCC and AUC of probabilities."""
+    m = ev.confusion(df, F.col(label) == 1, F.col(p) >= cut).withColumns(ev.metric_columns())
+    return m.crossJoin(F.broadcast(ev.auc(df, label, p))).select("support", "f1", "precision", "recall", "mcc", "auc")
 
 
 def compare_models(train: DataFrame, test: DataFrame, models: dict[str, Pipeline], label: str = "label") -> DataFrame:

@@ -94,14 +94,12 @@ def eva6(d: Data):
 
 
 _U = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-_STEP = " + ".join(f"(u >= {t}::DOUBLE)::INT" for t in ev.POISSON_ONE)
 
 
 def weight_sql(salt: str, key: str, n: str) -> str:
-    unit = _U.format(f"'{salt}|' || {key} || '|' || j")
     u1, u2 = _U.format(f"'{salt}/r|' || {key}"), _U.format(f"'{salt}/t|' || {key}")
-    return f"""CASE WHEN {n} = 0 THEN 0.0::DOUBLE WHEN {n} <= 32 THEN list_sum(list_transform(list_transform(range(1, least({n}, 32) + 1), lambda j: {unit}), lambda u: {_STEP}))::DOUBLE
-      ELSE greatest(0, round({n} + sqrt({n}) * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u1})) * cos(2.0::DOUBLE * pi() * {u2}))) END"""
+    z = f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u1})) * cos(2.0::DOUBLE * pi() * {u2})"
+    return f"CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE {n} * greatest(0.0::DOUBLE, 1.0::DOUBLE - 1.0::DOUBLE / (9.0::DOUBLE * {n}) + {z} / (3.0::DOUBLE * sqrt({n}::DOUBLE))) ** 3 END"
 
 
 @query("eva7_bootstrap_mean", f"""WITH h AS (SELECT score_a AS v, count(*) AS n FROM {{predictions}} GROUP BY 1), r AS (SELECT v, n, unnest(range(1, 1001)) AS rep FROM h), w AS (

@@ -12,7 +12,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread, tune
+from ..session import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -38,7 +38,6 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        tune(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -30,7 +30,7 @@ def trn2(d: Data):
 
 @query("trn3_smote")
 def trn3(d: Data):
-    out = tr.smote(d.receipt_features.where(F.col("split") == "train"), "id", "label", FEATS, bucket=0.02, radius=0.1)
+    out = tr.smote(d.receipt_features.where(F.col("split") == "train"), "id", "label", FEATS)
     return out.groupBy("label", "synthetic").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in FEATS])
 
 
@@ -91,7 +91,7 @@ def trn10(d: Data):
 @query("trn11_feature_importance")
 def trn11(d: Data):
     train, _, _ = _parts(d)
-    model = tr.candidates(FEATS, trees=20)["RF"].fit(train)
+    model = tr.candidates(FEATS)["RF"].fit(train)
     return tr.feature_importance(model.stages[-1], FEATS, d.spark)
 
 
@@ -137,7 +137,7 @@ def eva23(d: Data):
     few = cut_lineage(tr.undersample(train, "id", "label", 1, 0.1))
     lr = lambda rows, w=None: tr.metrics_at(tr.scores(tr.candidates(FEATS, weight=w)["LR"].fit(rows), test, ["label"]))
     arms = {
-        "raw": lr(few), "smote": lr(tr.smote(few, "id", "label", FEATS, bucket=0.2, radius=0.4).select("label", *FEATS)),
+        "raw": lr(few), "smote": lr(tr.smote(few, "id", "label", FEATS).select("label", *FEATS)),
         "class_weights": lr(tr.class_weights(few, "label"), "weight"),
     }
     out = None

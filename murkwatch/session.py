@@ -39,14 +39,13 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for expensive row-wise work on an input with fewer partitions than cores.
+def spread(df: DataFrame, few: int = 32) -> DataFrame:
+    """Deal out an input of a few file splits for expensive row-wise work.
 
-    Large inputs already have more partitions than the cluster has cores and are returned as they are,
-    without a shuffle.
+    Only inputs below ``few`` splits are dealt anew, a few gigabytes at most on any cluster; larger ones are read as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, few) else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -135,10 +135,8 @@ def forensic_directory(spark: SparkSession, path: str) -> DataFrame:
     return _file_records(files, F.lit("doc"), F.lit("DOCUMENT"), label, "document_forensics")
 
 
-def phish_export(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def phish_export(rows: DataFrame) -> DataFrame:
     """Records from an exported list of reported phishing URLs; rows without a URL are skipped."""
-    if limit is not None:
-        rows = rows.limit(limit)
     url, key = _first(rows, ["url", "URL"]), _first(rows, ["phish_id", "phish_detail_url"])
     verified = F.lower(_first(rows, ["verified", "verification_status"])).isin("yes", "true", "1", "verified")
     out = rows.select(url.alias("_u"), F.coalesce(key, url).alias("_k"), F.coalesce(verified, F.lit(False)).alias("_v"),

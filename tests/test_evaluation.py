@@ -90,7 +90,7 @@ def test_smote_balances_and_stays_between_neighbours(spark):
     rows = [(f"n{i}", 0, i / 60.0, 0.0) for i in range(60)] + [(f"p{i}", 1, i / 100.0, 1.0) for i in range(10)] + [
         (f"q{i}", 1, 0.5, 1.0) for i in range(10)]  # copies
     df = spark.createDataFrame(rows, "id string, label int, x double, y double")
-    out = tr.smote(df, "id", "label", ["x", "y"], bucket=0.5, radius=0.2)
+    out = tr.smote(df, "id", "label", ["x", "y"])
     r = {(a.label, a.synthetic): a for a in out.groupBy("label", "synthetic").agg(
         F.count("*").alias("n"), F.min("y").alias("lo"), F.max("x").alias("hi")).collect()}
     assert r[(0, False)].n == 60 and r[(1, False)].n + r[(1, True)].n == 60

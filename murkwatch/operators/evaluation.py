@@ -306,10 +306,10 @@ def consensus_confusion(preds: DataFrame, consensus: DataFrame, pred: str = "lab
 
 def resolve_majority(votes: DataFrame) -> DataFrame:
     """Most frequent known label per record; ties go to the higher risk."""
-    risk = F.when(F.col("label") == "HIGH", 3).when(F.col("label") == "SUSPICIOUS", 2).when(F.col("label") == "CLEAN", 1).otherwise(0)
-    counts = votes.groupBy("record_id", "label").agg(F.count("*").alias("n"))
-    known = F.when(F.col("label") == "UNKNOWN", 0).otherwise(F.col("n"))
-    return counts.groupBy("record_id").agg(F.max_by("label", F.struct(known, risk)).alias("label"))
+    n = votes.groupBy("record_id").agg(*[F.count_if(F.col("label") == name).alias(name) for name in ("HIGH", "SUSPICIOUS", "CLEAN")])
+    most = F.greatest("HIGH", "SUSPICIOUS", "CLEAN")
+    label = F.when(most == 0, "UNKNOWN").when(F.col("HIGH") == most, "HIGH").when(F.col("SUSPICIOUS") == most, "SUSPICIOUS").otherwise("CLEAN")
+    return n.select("record_id", label.alias("label"))
 
 
 def resolve_priority(votes: DataFrame, providers: list[str]) -> DataFrame:

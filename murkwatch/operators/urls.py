@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
 from ..functions import urls as U
-from ..functions.exprs import found_words, hit_rules, pin, strip
+from ..functions.exprs import any_of, found_words, hit_rules, pin, strip
 
 # Address blocks a fetcher must not reach (IPv4 part as first address and prefix length).
 BLOCKED_IPV4 = [
@@ -16,8 +16,8 @@ BLOCKED_IPV4 = [
     ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
     ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4), ("255.255.255.255", 32),
 ]
-# Blocked IPv6 ranges as literal addresses and leading-byte patterns.
-BLOCKED_IPV6 = r"^(?:::|::1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$"
+# Blocked IPv6 ranges as first group, low and high; the two single addresses are 0 and 1.
+BLOCKED_IPV6 = [(0xFC00, 0xFDFF), (0xFE80, 0xFEBF), (0xFF00, 0xFFFF)]
 
 
 def lexical(df: DataFrame, url: str = "url") -> DataFrame:
@@ -132,6 +132,21 @@ def punycode_hosts(df: DataFrame, url: str = "url") -> DataFrame:
     return tagged.join(hosts, "_host", "left").drop("_host")
 
 
+def _ipv6_groups(host: Column) -> Column:
+    """The eight groups of an IPv6 literal in any spelling, as numbers; null if it is none."""
+    bare = F.regexp_replace(host, "%.*$", "")
+    tail = F.split(F.regexp_extract(bare, r"(\d+\.\d+\.\d+\.\d+)$", 1), r"\.")
+    byte = lambda k: F.get(tail, k).try_cast("int")
+    pair = lambda k: F.lower(F.hex(byte(k) * 256 + byte(k + 1)))
+    plain = F.when(bare.contains("."), F.concat(F.regexp_replace(bare, r"\d+\.\d+\.\d+\.\d+$", ""), pair(0), F.lit(":"), pair(2))).otherwise(bare)
+    some = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    left, right = some(F.substring_index(plain, "::", 1)), some(F.substring_index(plain, "::", -1))
+    filled = F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+    groups = F.when(plain.contains("::"), filled).otherwise(some(plain))
+    valid = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(valid, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
 def fetch_guard(df: DataFrame, url: str = "url") -> DataFrame:
     """Append fetch_class: why a literal-address URL may not be fetched, or ``allowed``.
 
@@ -157,18 +172,21 @@ def fetch_guard(df: DataFrame, url: str = "url") -> DataFrame:
         for lo, hi in (bounds(*net) for net in BLOCKED_IPV4)
     ])
     is_v4 = U.is_ipv4_strict(F.col("_host"))
-    out = pin(pin(df, {"_host": name}), {"_num": F.when(is_v4, number)})
+    out = pin(pin(df, {"_host": name}), {"_num": F.when(is_v4, number), "_groups": F.when(F.col("_host").contains(":"), _ipv6_groups(F.col("_host")))})
+    lead, end = F.get("_groups", 0), F.get("_groups", 7)
+    near_zero = (end <= 1) & ~F.exists(F.slice("_groups", 1, 7), lambda g: g != 0)
+    inner = any_of(lead.between(low, high) for low, high in BLOCKED_IPV6)
     cls = (
         F.when(raw == "", "empty")
         .when(raw.rlike(r"[\x00-\x1F\x7F]"), "control_characters")
         .when(~F.lower(F.substring_index(raw, ":", 1)).isin("http", "https") | ~raw.contains(":"), "scheme_not_allowed")
         .when(F.col("_host") == "", "no_host")
         .when(is_v4 & F.exists(ranges, lambda r: F.col("_num").between(r["lo"], r["hi"])), "blocked_address")
-        .when(F.col("_host").contains(":") & F.col("_host").rlike(BLOCKED_IPV6), "blocked_address")
-        .when(is_v4 | F.col("_host").contains(":"), "allowed")
+        .when(F.coalesce(near_zero | inner, F.lit(False)), "blocked_address")
+        .when(is_v4 | F.col("_groups").isNotNull(), "allowed")
         .otherwise("needs_resolution")
     )
-    return out.withColumn("fetch_class", cls).drop("_host", "_num")
+    return out.withColumn("fetch_class", cls).drop("_host", "_num", "_groups")
 
 
 def fingerprints(scored: DataFrame, min_score: int = 31) -> DataFrame:

@@ -41,7 +41,7 @@ def doc2(d: Data):
 
 
 FINGER = RULED + ", " + KEYWORDS + f""", fp AS (SELECT sc.*, coalesce(kws, []) AS kws,
-  coalesce(nullif(trim(creator), ''), nullif(trim(producer), ''), 'unknown') AS tool, lower(array_to_string(coalesce(kws, []), ' ') || ' ' || text) AS low FROM sc LEFT JOIN kw USING (doc_id)), fh AS (
+  coalesce(nullif(trim(creator), ''), nullif(trim(producer), ''), 'unknown') AS tool, lower(text) AS low FROM sc LEFT JOIN kw USING (doc_id)), fh AS (
   SELECT *, {_HINT} AS hint FROM fp), fx AS (
   SELECT *, array_to_string(list_filter(list_concat(list_concat(kws, rules), [tool, hint]), lambda p: p <> '' AND p <> 'unknown'), ' ') AS fingerprint_text FROM fh)"""
 _J = " || ', ' || ".join(f"""'"{c}": ' || coalesce('"' || {c} || '"', 'null')""" for c in sorted(
@@ -54,7 +54,7 @@ def doc3(d: Data):
 
 
 def fingerprints(d: Data):
-    return ops.fingerprint(ops.analyze(d.docs), ops.keyword_lists(d.docs))
+    return ops.fingerprint(ops.analyze(d.docs))
 
 
 @query("doc4_content_hash", "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM {documents} GROUP BY 1 HAVING count(*) > 1")

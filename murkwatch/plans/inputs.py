@@ -42,6 +42,71 @@ SELECT -1 - event_id AS url_id,
 FROM {events}
 """)
 
+# Literal hosts: both ends of every blocked range, their neighbours, IPv6 in long, short and mixed spelling, with the
+# class that address arithmetic gives each.
+define_input("fetch_cases", """
+SELECT -1000000000 - event_id AS url_id, c.url AS url, c.expected AS expected
+FROM {events} JOIN (VALUES
+  (0, 'http://0.0.0.0/x', 'blocked_address'),
+  (1, 'http://0.255.255.255/x', 'blocked_address'),
+  (2, 'http://10.0.0.1/x', 'blocked_address'),
+  (3, 'http://10.255.255.255/x', 'blocked_address'),
+  (4, 'http://100.64.0.0/x', 'blocked_address'),
+  (5, 'http://100.127.255.255/x', 'blocked_address'),
+  (6, 'http://127.0.0.1/x', 'blocked_address'),
+  (7, 'http://169.254.169.254/x', 'blocked_address'),
+  (8, 'http://172.16.0.0/x', 'blocked_address'),
+  (9, 'http://172.31.255.255/x', 'blocked_address'),
+  (10, 'http://192.0.0.255/x', 'blocked_address'),
+  (11, 'http://192.0.2.1/x', 'blocked_address'),
+  (12, 'http://192.168.255.255/x', 'blocked_address'),
+  (13, 'http://198.18.0.0/x', 'blocked_address'),
+  (14, 'http://198.19.255.255/x', 'blocked_address'),
+  (15, 'http://198.51.100.7/x', 'blocked_address'),
+  (16, 'http://203.0.113.255/x', 'blocked_address'),
+  (17, 'http://224.0.0.1/x', 'blocked_address'),
+  (18, 'http://239.255.255.255/x', 'blocked_address'),
+  (19, 'http://240.0.0.1/x', 'blocked_address'),
+  (20, 'http://255.255.255.255/x', 'blocked_address'),
+  (21, 'http://[::]/x', 'blocked_address'),
+  (22, 'http://[::1]/x', 'blocked_address'),
+  (23, 'http://[0:0:0:0:0:0:0:0]/x', 'blocked_address'),
+  (24, 'http://[0:0:0:0:0:0:0:1]/x', 'blocked_address'),
+  (25, 'http://[0000:0000:0000:0000:0000:0000:0000:0001]/x', 'blocked_address'),
+  (26, 'http://[0::0:1]/x', 'blocked_address'),
+  (27, 'http://[::0.0.0.1]/x', 'blocked_address'),
+  (28, 'http://[fc00::]/x', 'blocked_address'),
+  (29, 'http://[FDFF:ffff::1]/x', 'blocked_address'),
+  (30, 'http://[fe80::1]/x', 'blocked_address'),
+  (31, 'http://[FE80:0:0:0:0:0:0:2]/x', 'blocked_address'),
+  (32, 'http://[febf::9]/x', 'blocked_address'),
+  (33, 'http://[ff02::1]/x', 'blocked_address'),
+  (34, 'https://1.0.0.0:8443/', 'allowed'),
+  (35, 'https://9.255.255.255:8443/', 'allowed'),
+  (36, 'https://11.0.0.0:8443/', 'allowed'),
+  (37, 'https://100.63.255.255:8443/', 'allowed'),
+  (38, 'https://100.128.0.0:8443/', 'allowed'),
+  (39, 'https://172.15.255.255:8443/', 'allowed'),
+  (40, 'https://172.32.0.0:8443/', 'allowed'),
+  (41, 'https://192.0.1.0:8443/', 'allowed'),
+  (42, 'https://198.17.255.255:8443/', 'allowed'),
+  (43, 'https://198.20.0.0:8443/', 'allowed'),
+  (44, 'https://198.51.99.255:8443/', 'allowed'),
+  (45, 'https://198.51.101.0:8443/', 'allowed'),
+  (46, 'https://203.0.114.0:8443/', 'allowed'),
+  (47, 'https://223.255.255.255:8443/', 'allowed'),
+  (48, 'https://[2001:db8::1]:8443/', 'allowed'),
+  (49, 'https://[::2]:8443/', 'allowed'),
+  (50, 'https://[1::1]:8443/', 'allowed'),
+  (51, 'https://[fbff::1]:8443/', 'allowed'),
+  (52, 'https://[fe7f::1]:8443/', 'allowed'),
+  (53, 'https://[fec0::1]:8443/', 'allowed'),
+  (54, 'https://[2606:4700:0:0:0:0:0:1111]:8443/', 'allowed'),
+  (55, 'http://[1:2:3]/', 'needs_resolution'),
+  (56, 'http://[::g]/', 'needs_resolution'),
+  (57, 'http://host.example/', 'needs_resolution')) AS c(k, url, expected) ON event_id % 58 = c.k
+""")
+
 # Registration and certificate snapshot, one row per domain that is known.
 define_input("registrations", """
 SELECT domain, CAST(TIMESTAMP '2024-02-01 00:00:00' - age_days * INTERVAL 1 DAY AS DATE) AS created_on,

@@ -102,10 +102,13 @@ def str10(d: Data):
     return drift.detection_report(_votes(d).withColumn("majority", F.col("status") == "drift"), 1200, ["adwin", "majority"])
 
 
-@query("str11_duplicate_payloads", """SELECT event_id, h AS payload_hash FROM (SELECT event_id, ts, md5(event_type || (user_id % 20)) AS h, lag(ts) OVER (PARTITION BY md5(event_type || (user_id % 20)) ORDER BY ts) AS p FROM {events}) WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 7200000000""")
+@query("str11_duplicate_payloads", """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, ts, md5(event_type || (user_id % 20)) AS h FROM {events}), d AS MATERIALIZED (SELECT DISTINCT h, ts FROM e), nx AS MATERIALIZED (
+  SELECT a.h, a.ts, min(b.ts) AS nts FROM d a JOIN d b ON a.h = b.h AND b.ts > a.ts + INTERVAL 7200 SECOND GROUP BY ALL), ok(h, ts) AS (
+  SELECT h, min(ts) FROM d GROUP BY h UNION ALL SELECT nx.h, nx.nts FROM ok JOIN nx ON nx.h = ok.h AND nx.ts = ok.ts)
+  SELECT min(event_id) AS event_id, h AS payload_hash FROM e JOIN ok USING (h, ts) GROUP BY h, ts""")
 def str11(d: Data):
     rows = d.events.select("event_id", "ts", F.expr("md5(event_type || (user_id % 20))").alias("payload_hash"))
-    return feed.drop_repeats(rows, ttl_seconds=7200).select("event_id", "payload_hash")
+    return feed.drop_repeats(rows, ttl_seconds=7200, order=("event_id",)).select("event_id", "payload_hash")
 
 
 @query("str13_spacing", """SELECT event_id, (epoch_us(ts) - epoch_us(p)) / 1000.0::DOUBLE AS gap_ms FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts) AS p FROM {events}) WHERE (epoch_us(ts) - epoch_us(p)) / 1000.0::DOUBLE < 600000""")

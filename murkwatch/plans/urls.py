@@ -291,7 +291,8 @@ def fil6(d: Data):
   SELECT url_id, CASE WHEN u = '' THEN 'empty' WHEN lower(split_part(u, ':', 1)) NOT IN ('http', 'https') OR NOT contains(u, ':') THEN 'scheme_not_allowed'
     WHEN host = '' THEN 'no_host'
     WHEN v4 AND (a < 16777216 OR a // 16777216 IN (10, 127) OR a // 16777216 >= 224 OR a BETWEEN 1681915904 AND 1686110207 OR a // 65536 IN (43518, 49320)
-      OR a // 1048576 = 2753 - 0 * 1 OR a // 256 IN (12582912, 12582914, 12989028, 13303921 - 105792 * 0) OR a // 131072 = 25353) THEN 'blocked_address'
-    WHEN v4 THEN 'allowed' ELSE 'needs_resolution' END AS fetch_class FROM num""")
+      OR a // 1048576 = 2753 OR a // 256 IN (12582912, 12582914, 12989284, 13303921) OR a // 131072 = 25353) THEN 'blocked_address'
+    WHEN v4 THEN 'allowed' ELSE 'needs_resolution' END AS fetch_class FROM num
+  UNION ALL SELECT url_id, expected FROM {fetch_cases}""")
 def fil7(d: Data):
-    return ops.fetch_guard(d.urls).select("url_id", "fetch_class")
+    return ops.fetch_guard(d.urls.unionByName(d.fetch_cases.select("url_id", "url"))).select("url_id", "fetch_class")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import levels as L
 from ..functions import labels as LB
+from ..session import cut_lineage
 
 
 def threat_events(df: DataFrame) -> DataFrame:
@@ -65,24 +66,37 @@ def labelled_errors(preds: DataFrame, truths: DataFrame, within: str = "1 hour",
     return p.join(t, cond).select("module", "ts", "event_id", wrong.cast("int").alias("error"))
 
 
-def drop_repeats(df: DataFrame, key: str = "payload_hash", time: str = "ts", ttl_seconds: int = 600) -> DataFrame:
-    """Suppress payloads already accepted within the TTL.
+def drop_repeats(df: DataFrame, key: str = "payload_hash", time: str = "ts", ttl_seconds: int = 600, order: tuple[str, ...] = ()) -> DataFrame:
+    """Suppress payloads already accepted within the TTL; a suppressed row doesn't renew it.
 
-    Stream: state per payload, dropped by the watermark. Batch twin: a row is kept when the last
-    row of the same payload is older than the TTL (sliding). The window is cut into time slices of
-    one TTL, so a payload repeated without end is many small groups: the previous row of a payload
-    is either in the same slice, or it is the last one of an earlier slice.
+    Stream: state per payload, dropped by the watermark; there, too, only accepted rows start a TTL. Batch: the accepted
+    times of a payload are a chain, each the first one later than its predecessor plus the TTL. Successors come from joins
+    on slices of one TTL; the chain is marked by pointer doubling, in rounds that grow with the logarithm of its length, so
+    no payload is one task. Of rows with equal time the first by ``order`` is accepted.
     """
     if df.isStreaming:
         return df.withWatermark(time, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
-    sec = F.unix_micros(F.col(time).cast("timestamp"))
-    base = df.withColumn("_us", sec).withColumn("_slice", F.floor(F.col("_us") / (ttl_seconds * 1_000_000)))
-    last = base.groupBy(key, "_slice").agg(F.max("_us").alias("_last")).withColumn("_slice", F.col("_slice") + 1)
-    inside = base.withColumn("_prev", F.lag("_us").over(Window.partitionBy(key, "_slice").orderBy("_us")))
-    prev = F.coalesce("_prev", "_last")
-    joined = inside.join(last, [key, "_slice"], "left")
-    fresh = prev.isNull() | (F.col("_us") - prev > ttl_seconds * 1_000_000)
-    return joined.where(fresh).select(*df.columns)
+    ttl = ttl_seconds * 1_000_000
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    times = df.select(F.col(key).alias("k"), at.alias("t")).distinct().withColumn("s", F.floor(F.col("t") / ttl))
+    times = cut_lineage(times)
+    slices = times.groupBy("k", "s").agg(F.min("t").alias("least"))
+    later = slices.select("k", "s", F.lead("least").over(Window.partitionBy("k").orderBy("s")).alias("then"),
+                          F.lead("s").over(Window.partitionBy("k").orderBy("s")).alias("s2"), "least")
+    # A successor lies in the next slice, or is the first time of the first slice after that.
+    near = times.alias("a").join(times.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.s") + 1 == F.col("b.s")) & (F.col("b.t") > F.col("a.t") + ttl), "left")
+    near = near.groupBy("a.k", "a.t", "a.s").agg(F.min("b.t").alias("near"))
+    after = later.alias("x").join(later.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.s2") == F.col("y.s")), "left").select(
+        F.col("x.k").alias("k"), F.col("x.s").alias("s"), F.when(F.col("x.s2") > F.col("x.s") + 1, F.col("x.then")).otherwise(F.col("y.then")).alias("far"))
+    jump = cut_lineage(near.join(after, ["k", "s"]).select("k", F.col("t").alias("at"), F.coalesce("near", "far").alias("to")).where("to IS NOT NULL"))
+    reached = cut_lineage(times.groupBy("k").agg(F.min("t").alias("at")))
+    while not jump.isEmpty():
+        reached = cut_lineage(reached.union(reached.join(jump, ["k", "at"]).select("k", F.col("to").alias("at"))).distinct())
+        onward = jump.select("k", F.col("at").alias("to"), F.col("to").alias("_next"))
+        jump = cut_lineage(jump.join(onward, ["k", "to"]).select("k", "at", F.col("_next").alias("to")))
+    first = F.row_number().over(Window.partitionBy("_k", "_at").orderBy(*(order or [F.lit(1)])))
+    rows = df.withColumns({"_k": F.col(key), "_at": at}).join(reached.select(F.col("k").alias("_k"), F.col("at").alias("_at")), ["_k", "_at"], "left_semi")
+    return rows.withColumn("_first", first).where("_first = 1").select(*df.columns)
 
 
 def spacing_violations(df: DataFrame, client: str = "client", time: str = "ts", min_ms: int = 100) -> DataFrame:

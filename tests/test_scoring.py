@@ -57,9 +57,9 @@ def test_punycode(spark):
 
 
 def test_fetch_guard(spark):
-    urls = ["http://10.1.2.3/", "http://[::1]/", "http://8.8.8.8", "ftp://x", "http://a.b", "", "http://u@172.16.0.9:80/x", "http://[2001:db8::1]/"]
+    urls = ["http://10.1.2.3/", "http://[::1]/", "http://8.8.8.8", "ftp://x", "http://a.b", "", "http://u@172.16.0.9:80/x", "http://[2001:db8::1]/", "http://[0:0:0:0:0:0:0:1]/", "http://[fe80:0::1%25eth0]/"]
     got = [r.fetch_class for r in ops.fetch_guard(spark.createDataFrame(list(enumerate(urls)), "i int, url string")).orderBy("i").collect()]
-    assert got == ["blocked_address", "blocked_address", "allowed", "scheme_not_allowed", "needs_resolution", "empty", "blocked_address", "allowed"]
+    assert got == ["blocked_address", "blocked_address", "allowed", "scheme_not_allowed", "needs_resolution", "empty", "blocked_address", "allowed", "blocked_address", "blocked_address"]
 
 
 @pytest.mark.parametrize("ref,fmt,valid", [

@@ -34,6 +34,11 @@ ANY = "|".join(KINDS.values())
 HINT = r"[0-9@]|AKIA|password|passwd|secret|token|api_key"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` names it in a loop."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _digest(key: str, kind: str, turn: Column, *other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), *other), 256)
 
@@ -48,16 +53,14 @@ def permuted_text(value: Column, key: str, kind: str, sign: int = 1) -> Column:
     stream that the digest of the other half gives. Other characters stay."""
 
     def shifted(half: Column, other: Column, turn: Column) -> Column:
-        stream = _digest(key, kind, turn, other)
-
-        def char(i: Column) -> Column:
-            c = F.substr(half, i, F.lit(1))
-            by = F.conv(F.substr(stream, 2 * F.pmod(i - 1, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int") * sign
+        def char(c: Column, i: Column, stream: Column) -> Column:
+            by = F.conv(F.substr(stream, 2 * F.pmod(i, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int") * sign
             turned = lambda first, n: F.char(F.pmod(F.ascii(c) - ord(first) + by, F.lit(n)) + ord(first))
             return (F.when(c.between("0", "9"), turned("0", 10)).when(c.between("a", "z"), turned("a", 26))
                     .when(c.between("A", "Z"), turned("A", 26)).otherwise(c))
 
-        return F.when(half == "", half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), char), ""))
+        whole = lambda stream: F.array_join(F.transform(F.split(half, ""), lambda c, i: char(c, i, stream)), "")
+        return F.when(half == "", half).otherwise(_let(_digest(key, kind, turn, other), whole))
 
     def step(held: Column, turn: Column) -> Column:
         left, right = held["l"], held["r"]
@@ -66,8 +69,7 @@ def permuted_text(value: Column, key: str, kind: str, sign: int = 1) -> Column:
 
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), half).alias("l"), F.substr(value, half + 1).alias("r"))
-    out = _rounds(start, step, sign)
-    return F.concat(out["l"], out["r"])
+    return _let(_rounds(start, step, sign), lambda out: F.concat(out["l"], out["r"]))
 
 
 def permuted_number(value: Column, left: int, right: int, key: str, kind: str, sign: int = 1) -> Column:
@@ -82,8 +84,8 @@ def permuted_number(value: Column, left: int, right: int, key: str, kind: str, s
         return (F.when(turn % 2 == 1, F.struct(added(a, b, turn, left).alias("l"), b.alias("r")))
                 .otherwise(F.struct(a.alias("l"), added(b, a, turn, right).alias("r"))))
 
-    out = _rounds(F.struct(F.floor(value / right).cast("long").alias("l"), F.pmod(value, F.lit(right)).cast("long").alias("r")), step, sign)
-    return out["l"] * right + out["r"]
+    start = F.struct(F.floor(value / right).cast("long").alias("l"), F.pmod(value, F.lit(right)).cast("long").alias("r"))
+    return _let(_rounds(start, step, sign), lambda out: out["l"] * right + out["r"])
 
 
 def _chars(value: Column) -> Column:
@@ -108,8 +110,12 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(_chars(value), F.lit(0), add)
 
 
-def _dressed(shape: Column, bare: Column) -> Column:
-    """The characters of ``bare`` in the places of the letters and digits of ``shape``."""
+def _dressed(shape: Column, value: Column) -> Column:
+    """The characters of ``value`` in the places of the letters and digits of ``shape``."""
+    return _let(value, lambda bare: _placed(shape, bare))
+
+
+def _placed(shape: Column, bare: Column) -> Column:
     def char(i: Column) -> Column:
         c = F.substr(shape, i, F.lit(1))
         held = F.length(F.regexp_replace(F.substr(shape, F.lit(1), i), "[^0-9A-Za-z]", ""))
@@ -121,17 +127,23 @@ def _dressed(shape: Column, bare: Column) -> Column:
 def _card(m: Column, key: str, sign: int) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", sign)
-    check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    return F.when(_luhn(digits) % 10 == 0, _dressed(m, F.concat(body, check.cast("string")))).otherwise(m)
+
+    def checked(value: Column) -> Column:
+        return F.concat(value, F.pmod(10 - _luhn(F.concat(value, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+
+    return F.when(_let(digits, _luhn) % 10 == 0, _dressed(m, _let(body, checked))).otherwise(m)
 
 
 def _account(m: Column, key: str, sign: int) -> Column:
     bare = F.regexp_replace(m, " ", "")
     land, rest = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5))
-    turned = permuted_text(rest, key, "account", sign)
-    check = F.lpad((98 - _mod97(F.concat(turned, land, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(rest, F.substr(bare, F.lit(1), F.lit(4)))) == 1
-    return F.when(valid, _dressed(m, F.concat(land, check, turned))).otherwise(m)
+
+    def checked(value: Column) -> Column:
+        check = F.lpad((98 - _let(F.concat(value, land, F.lit("00")), _mod97)).cast("string"), 2, "0")
+        return F.concat(land, check, value)
+
+    valid = _let(F.concat(rest, F.substr(bare, F.lit(1), F.lit(4))), _mod97) == 1
+    return F.when(valid, _dressed(m, _let(permuted_text(rest, key, "account", sign), checked))).otherwise(m)
 
 
 def _phone(m: Column, key: str, sign: int) -> Column:
@@ -145,9 +157,8 @@ def _address(m: Column, key: str, sign: int) -> Column:
     parts = F.split(m, r"\.")
     valid = ~F.exists(parts, lambda p: (p.cast("int") > 255) | p.rlike("^0."))
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda held, p: held * 256 + p.cast("long"))
-    turned = permuted_number(number, 65536, 65536, key, "address", sign)
-    out = F.concat_ws(".", *[F.pmod(F.floor(turned / d), F.lit(256)).cast("string") for d in (16777216, 65536, 256, 1)])
-    return F.when(valid, out).otherwise(m)
+    shown = lambda x: F.concat_ws(".", *[F.pmod(F.floor(x / d), F.lit(256)).cast("string") for d in (16777216, 65536, 256, 1)])
+    return F.when(valid, _let(permuted_number(number, 65536, 65536, key, "address", sign), shown)).otherwise(m)
 
 
 def _date(m: Column, key: str, sign: int) -> Column:
@@ -158,12 +169,15 @@ def _date(m: Column, key: str, sign: int) -> Column:
     parsed = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     first = F.lit("1800-01-01").cast("date")
     offset = F.datediff(parsed, first)
-    turned = F.date_add(first, permuted_number(offset.cast("long"), 27, 5411, key, "date", sign).cast("int"))
     two = lambda value, part: F.lpad(value.cast("string"), F.greatest(F.length(value.cast("string")), F.length(part)), "0")
-    y, mo, d = F.date_format(turned, "yyyy"), two(F.month(turned), month), two(F.day(turned), day)
     separator = F.regexp_extract(m, r"([./\-])", 1)
-    out = F.when(iso, F.concat_ws("-", y, mo, d)).otherwise(F.concat(d, separator, mo, separator, y))
-    return F.when(offset.between(0, 146096), out).otherwise(m)
+
+    def shown(turned: Column) -> Column:
+        y, mo, d = F.date_format(turned, "yyyy"), two(F.month(turned), month), two(F.day(turned), day)
+        return F.when(iso, F.concat_ws("-", y, mo, d)).otherwise(F.concat(d, separator, mo, separator, y))
+
+    moved = F.date_add(first, permuted_number(offset.cast("long"), 27, 5411, key, "date", sign).cast("int"))
+    return F.when(offset.between(0, 146096), _let(moved, shown)).otherwise(m)
 
 
 def _email(m: Column, key: str, sign: int) -> Column:

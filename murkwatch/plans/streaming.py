@@ -69,17 +69,26 @@ def str6(d: Data):
         F.round(F.max("ph_sum"), 6).alias("highest_sum"))
 
 
+ADW = """ce AS (SELECT module, n // 32 AS c, te AS s FROM nm WHERE n % 32 = 0), cu AS (
+  SELECT module, c, s, unnest(list_transform(range(0, 63), lambda k: CASE WHEN (1::BIGINT << k) < c THEN 1::BIGINT << k END)) AS tail FROM ce), cm AS (
+  SELECT cu.module, cu.c, cu.s, 32 * cu.c AS n, 32 * ce.c AS n0, 32 * tail AS n1, ce.s AS s0 FROM cu JOIN ce ON ce.module = cu.module AND ce.c = cu.c - tail WHERE tail IS NOT NULL), cb AS (
+  SELECT *, 1.0::DOUBLE / (n0 - 4) + 1.0::DOUBLE / (n1 - 4) AS iv, s / n::DOUBLE AS p, ln(2.0::DOUBLE * ln(n::DOUBLE) / 0.002::DOUBLE) AS lg FROM cm), aw AS (
+  SELECT module, min(n) AS adwin_at FROM cb WHERE abs(s0 / n0::DOUBLE - (s - s0) / n1::DOUBLE) > sqrt(2.0::DOUBLE * iv * p * (1 - p) * lg) + 2.0::DOUBLE / 3 * iv * lg GROUP BY module)"""
+
+
+@query("str7_adwin", f"WITH {NUM}, {ADW} SELECT module, adwin_at FROM aw")
+def str7(d: Data):
+    return drift.adwin(drift.numbered(d.error_stream))
+
+
 def _votes(d: Data):
-    """First detections as votes; the third vote marks a rolling error rate twice the baseline."""
-    rows = drift.page_hinkley(drift.ddm(drift.numbered(d.error_stream)))
-    return drift.majority_vote(rows.select(
-        "module", "n", "_slice", "ddm_warning", (F.col("ddm_drift") & (F.col("n") % 97 == 0)).alias("ddm"),
-        (F.col("ph_drift") & (F.col("n") % 89 == 0)).alias("ph"), (F.col("n") % 1000 == 0).alias("adwin")))
+    return drift.majority_vote(drift.first_votes(drift.numbered(d.error_stream)))
 
 
-VOTE = DDM + PH[len(NUM):] + """, vt AS (SELECT df.module, df.n, over_warn AND NOT ddm_drift AS warn, CASE WHEN ddm_drift AND df.n % 97 = 0 THEN df.n END AS d, CASE WHEN ph_drift AND df.n % 89 = 0 THEN df.n END AS p, CASE WHEN df.n % 1000 = 0 THEN df.n END AS a FROM df JOIN pp ON df.module = pp.module AND df.n = pp.n), la AS (
-  SELECT *, coalesce((n - max(d) OVER w <= 200)::INT, 0) + coalesce((n - max(p) OVER w <= 200)::INT, 0) + coalesce((n - max(a) OVER w <= 200)::INT, 0) AS k FROM vt WINDOW w AS (PARTITION BY module ORDER BY n)), st AS (
-  SELECT module, n, a, CASE WHEN k >= 2 THEN 'drift' WHEN k = 1 OR warn THEN 'warning' ELSE 'stable' END AS status FROM la)"""
+VOTE = DDM + PH[len(NUM):] + f", {ADW}" + """, fv AS (SELECT df.module, df.n, df.ts, over_warn AND NOT ddm_drift AS warn, min(CASE WHEN ddm_drift THEN df.n END) OVER (PARTITION BY df.module) AS fd, min(CASE WHEN ph_drift THEN df.n END) OVER (PARTITION BY df.module) AS fp, adwin_at AS fa
+  FROM df JOIN pp ON df.module = pp.module AND df.n = pp.n LEFT JOIN aw ON aw.module = df.module), la AS (
+  SELECT *, coalesce((n BETWEEN fd AND fd + 200)::INT, 0) + coalesce((n BETWEEN fp AND fp + 200)::INT, 0) + coalesce((n BETWEEN fa AND fa + 200)::INT, 0) AS k FROM fv), st AS (
+  SELECT module, n, ts, coalesce(n = fa, false) AS a, CASE WHEN k >= 2 THEN 'drift' WHEN k = 1 OR warn THEN 'warning' ELSE 'stable' END AS status FROM la)"""
 
 
 @query("str4_majority_vote", f"WITH {VOTE} SELECT module, status, CASE status WHEN 'drift' THEN 'retrain' WHEN 'warning' THEN 'alert' ELSE 'monitor' END AS action, count(*) AS n, min(n) AS first_row FROM st GROUP BY ALL")
@@ -96,10 +105,12 @@ def str9(d: Data):
     return feed.labelled_errors(s, s.select("event_id", "ts", "truth")).select("module", "event_id", "error")
 
 
-@query("str10_detection_report", f"""WITH {VOTE}, lg AS (SELECT module, n, 'adwin' AS detector, a IS NOT NULL AS fired FROM st UNION ALL SELECT module, n, 'majority', status = 'drift' FROM st), rp AS (
-  SELECT module, detector, min(CASE WHEN fired AND n >= 1200 THEN n END) AS detected_at, count(*) FILTER (fired AND n < 1200) AS false_alarms FROM lg GROUP BY ALL) SELECT *, detected_at - 1200 AS delay FROM rp""")
+@query("str10_detection_report", f"""WITH {VOTE}, ch AS (SELECT module, min(n) AS dp FROM nm WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1), lg AS (SELECT module, n, 'adwin' AS detector, a AS fired FROM st UNION ALL SELECT module, n, 'majority', status = 'drift' FROM st)
+  SELECT module, detector, min(CASE WHEN fired AND n >= dp THEN n END) AS detected_at, count(*) FILTER (fired AND n < dp) AS false_alarms, min(CASE WHEN fired AND n >= dp THEN n END) - any_value(dp) AS delay FROM lg JOIN ch USING (module) GROUP BY ALL""")
 def str10(d: Data):
-    return drift.detection_report(_votes(d).withColumn("majority", F.col("status") == "drift"), 1200, ["adwin", "majority"])
+    change = drift.numbered(d.error_stream).where("ts >= TIMESTAMP_NTZ '2024-01-16 00:00:00'").groupBy("module").agg(F.min("n").alias("drift_point"))
+    votes = _votes(d).withColumn("majority", F.col("status") == "drift")
+    return drift.detection_report(votes.join(change, "module"), ["adwin", "majority"])
 
 
 @query("str11_duplicate_payloads", """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, ts, md5(event_type || (user_id % 20)) AS h FROM {events}), d AS MATERIALIZED (SELECT DISTINCT h, ts FROM e), nx AS MATERIALIZED (

@@ -8,6 +8,7 @@ streaming operator keeps a small state per module and goes on after each detecti
 from __future__ import annotations
 
 import math
+from collections import deque
 from typing import Iterator
 
 import pandas as pd
@@ -19,9 +20,9 @@ from ..session import cut_lineage
 SLICE_SECONDS = 21_600
 WINDOW = 500
 ACTIVE = 200
-# Detector parameters.
+# Detector parameters. The Page-Hinkley sum is kept without a forgetting factor, so that it has a batch form.
 DDM_MIN, DDM_WARN, DDM_DRIFT = 30, 2.0, 3.0
-PH_MIN, PH_DELTA, PH_LAMBDA, PH_ALPHA = 30, 0.005, 50.0, 0.9999
+PH_MIN, PH_DELTA, PH_LAMBDA = 30, 0.005, 50.0
 ADWIN_DELTA, ADWIN_CLOCK, ADWIN_BUCKETS, ADWIN_MIN_WINDOW, ADWIN_GRACE = 0.002, 32, 5, 5, 10
 
 
@@ -113,6 +114,36 @@ def page_hinkley(rows: DataFrame, delta: float = PH_DELTA, threshold: float = PH
     return out.withColumn("ph_drift", (F.col("n") >= PH_MIN) & (rise > threshold)).drop("_low")
 
 
+def adwin(rows: DataFrame, delta: float = ADWIN_DELTA, clock: int = ADWIN_CLOCK) -> DataFrame:
+    """(module, adwin_at): position of the first adaptive-window signal (Bifet and Gavaldà, 2007) of numbered rows.
+
+    Errors are summed per chunk of ``clock`` rows. At each chunk's end the window is cut before its last 1, 2, 4, ...
+    chunks, as an exponential histogram cuts it, so n rows give n / clock * log n comparisons, each an equi-join of two
+    running totals. Modules without a signal have no row.
+    """
+    ends = cut_lineage(rows.where(F.col("n") % clock == 0).select("module", (F.col("n") / clock).cast("long").alias("c"), F.col("total_errors").alias("s")))
+    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("c") - 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("long"))
+    cuts = ends.where("c > 1").select("module", "c", "s", F.explode(sizes).alias("tail")).withColumn("_cut", F.col("c") - F.col("tail"))
+    met = cuts.join(ends.select("module", F.col("c").alias("_cut"), F.col("s").alias("s0")), ["module", "_cut"])
+    n, n0, n1 = F.col("c") * clock, F.col("_cut") * clock, F.col("tail") * clock
+    share = F.col("s") / n
+    log = F.log(2.0 * F.log(n.cast("double")) / delta)
+    inverse = 1.0 / (n0 - ADWIN_MIN_WINDOW + 1) + 1.0 / (n1 - ADWIN_MIN_WINDOW + 1)
+    bound = F.sqrt(2.0 * inverse * share * (1.0 - share) * log) + 2.0 / 3.0 * inverse * log
+    found = met.where(F.abs(F.col("s0") / n0 - (F.col("s") - F.col("s0")) / n1) > bound)
+    return found.groupBy("module").agg((F.min("c") * clock).alias("adwin_at"))
+
+
+def first_votes(rows: DataFrame) -> DataFrame:
+    """Numbered rows with adwin, ph and ddm true where that detector signals first, and ddm_warning."""
+    both = cut_lineage(page_hinkley(ddm(rows)).select("module", "n", "_slice", "ddm_warning", "ddm_drift", "ph_drift"))
+    firsts = both.groupBy("module").agg(
+        F.min(F.when(F.col("ddm_drift"), F.col("n"))).alias("_ddm"), F.min(F.when(F.col("ph_drift"), F.col("n"))).alias("_ph"))
+    marked = both.join(firsts.join(adwin(rows), "module", "left"), "module")
+    at = lambda c: F.coalesce(F.col("n") == F.col(c), F.lit(False))
+    return marked.select("module", "n", "_slice", "ddm_warning", at("_ddm").alias("ddm"), at("_ph").alias("ph"), at("adwin_at").alias("adwin"))
+
+
 def majority_vote(votes: DataFrame, active: int = ACTIVE) -> DataFrame:
     """Append status and action to rows (module, n, _slice, adwin, ph, ddm, ddm_warning).
 
@@ -132,14 +163,18 @@ def majority_vote(votes: DataFrame, active: int = ACTIVE) -> DataFrame:
     return _running(out.drop("_last_adwin", "_last_ph", "_last_ddm"), first)
 
 
-def detection_report(signals: DataFrame, drift_point: int, detectors: list[str], by: str = "module") -> DataFrame:
-    """First detection, delay and earlier false alarms per detector: (module, detector, ...)."""
-    long = signals.select(by, "n", F.inline(F.array(*[
+def detection_report(signals: DataFrame, detectors: list[str], by: str = "module") -> DataFrame:
+    """First detection, delay and earlier false alarms per detector: (module, detector, ...).
+
+    ``signals`` carries drift_point, the position of the change in the row's stream.
+    """
+    drift_point = F.col("drift_point")
+    long = signals.select(by, "n", "drift_point", F.inline(F.array(*[
         F.struct(F.lit(d).alias("detector"), F.col(d).alias("fired")) for d in detectors])))
-    out = long.groupBy(by, "detector").agg(
+    out = long.groupBy(by, "drift_point", "detector").agg(
         F.min(F.when(F.col("fired") & (F.col("n") >= drift_point), F.col("n"))).alias("detected_at"),
         F.count_if(F.col("fired") & (F.col("n") < drift_point)).alias("false_alarms"))
-    return out.withColumn("delay", F.col("detected_at") - drift_point)
+    return out.withColumn("delay", F.col("detected_at") - drift_point).drop("drift_point")
 
 
 # ---- keyed stream state -------------------------------------------------------------------
@@ -213,7 +248,8 @@ class Monitor:
     def __init__(self, data: dict | None = None):
         d = data or {}
         self.n = d.get("n", 0)
-        self.recent = d.get("recent", [])
+        self.recent = deque(d.get("recent", []))
+        self.recent_errors = sum(self.recent)
         self.base_n, self.base_e = d.get("base", [0, 0])
         self.adwin = Adwin(d.get("adwin"))
         self.ddm = d.get("ddm", [0, 0, None, None])
@@ -222,7 +258,7 @@ class Monitor:
         self.drift_at = d.get("drift_at")
 
     def state(self) -> dict:
-        return {"n": self.n, "recent": self.recent, "base": [self.base_n, self.base_e], "adwin": self.adwin.state(),
+        return {"n": self.n, "recent": list(self.recent), "base": [self.base_n, self.base_e], "adwin": self.adwin.state(),
                 "ddm": self.ddm, "ph": self.ph, "last": self.last, "drift_at": self.drift_at}
 
     def _ddm(self, x: int) -> tuple[bool, bool]:
@@ -249,7 +285,10 @@ class Monitor:
 
     def update(self, x: int) -> dict:
         self.n += 1
-        self.recent = (self.recent + [x])[-WINDOW:]
+        self.recent.append(x)
+        self.recent_errors += x
+        if len(self.recent) > WINDOW:
+            self.recent_errors -= self.recent.popleft()
         if self.base_n < WINDOW:
             self.base_n, self.base_e = self.base_n + 1, self.base_e + x
         ddm, warn = self._ddm(x)
@@ -259,7 +298,7 @@ class Monitor:
         status = "drift" if active >= 2 else "warning" if active == 1 or warn else "stable"
         if status == "drift" and self.drift_at is None:
             self.drift_at = self.n
-        now, base = sum(self.recent) / len(self.recent), self.base_e / self.base_n
+        now, base = self.recent_errors / len(self.recent), self.base_e / self.base_n
         return {"n": self.n, **votes, "status": status, "drift_detected_at": self.drift_at,
                 "error_rate_current": now, "error_rate_baseline": base, "delta": now - base}
 
@@ -272,8 +311,8 @@ def drift_signals(errors: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFr
     """Streaming drift signals per module, one output row per change of status.
 
     errors: module, ts, error, and optionally ``reset`` (true on a control row after retraining,
-    which clears the module's state). State is one small value per module; rows of a micro-batch are
-    read in Arrow chunks. Detection is sequential per key by nature: for more parallelism give
+    which clears the module's state). State is one small value per module. A module's rows of a
+    micro-batch are put in order before they are read; the source's trigger limits bound them. Detection is sequential per key by nature: for more parallelism give
     finer keys, for example module and source.
     """
     import json
@@ -286,18 +325,17 @@ def drift_signals(errors: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFr
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         data = json.loads(state.get[0]) if state.exists else {}
         monitor, status = Monitor(data.get("monitor")), data.get("status", "stable")
-        for chunk in chunks:
-            out = []
-            for row in chunk.sort_values(list(order)).itertuples():
-                if row.reset:
-                    monitor, status = Monitor(), "stable"
-                    continue
-                signal = monitor.update(int(row.error))
-                if signal["status"] != status:
-                    status = signal["status"]
-                    out.append({"module": key[0], "ts": row.ts, **signal})
-            if out:
-                yield pd.DataFrame(out).astype({"drift_detected_at": "Int64"})
+        out = []
+        for row in pd.concat(list(chunks)).sort_values(list(order), kind="stable").itertuples():
+            if row.reset:
+                monitor, status = Monitor(), "stable"
+                continue
+            signal = monitor.update(int(row.error))
+            if signal["status"] != status:
+                status = signal["status"]
+                out.append({"module": key[0], "ts": row.ts, **signal})
+        if out:
+            yield pd.DataFrame(out).astype({"drift_detected_at": "Int64"})
         state.update((json.dumps({"monitor": monitor.state(), "status": status}),))
 
     return errors.select("module", "ts", "error", "reset").groupBy("module").applyInPandasWithState(

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from murkwatch.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 # No SQL twin: IDN encoding, model fits, random resampling, p values, general DBSCAN.
@@ -14,8 +15,9 @@ ROWS_ONLY = {
 
 
 def test_twins():
-    names, twins = set(entry.queries()), set(entry.oracle_sql())
+    names, twins = set(catalog.QUERIES), set(catalog.ORACLES)
     assert twins <= names and names - twins == ROWS_ONLY
+    assert names <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

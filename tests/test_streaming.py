@@ -66,7 +66,21 @@ def test_feed_streams(spark, tmp_path):
     assert feed.windowed_counts(batch, width="1 hour").agg(F.sum("n")).first()[0] == 200
     kept = run(feed.drop_repeats(stream, ttl_seconds=600), tmp_path, "kept")
     assert kept.count() >= 5
-    assert feed.drop_repeats(batch, ttl_seconds=600).count() == 5  # each payload returns within its time to live
+    assert feed.drop_repeats(batch, ttl_seconds=600).count() == 70  # of every 300 s, those 900 s apart
+
+
+def test_suppressed_rows_do_not_renew(spark):
+    rows = spark.sql("SELECT 'p' AS payload_hash, timestamp_seconds(300 * id) AS ts, id FROM range(12)")
+    assert sorted(r.id for r in feed.drop_repeats(rows, ttl_seconds=600).collect()) == [0, 3, 6, 9]
+
+
+def test_first_adwin_signal(spark):
+    rng = random.Random(2)
+    rows = [("a", i, int(rng.random() < (0.05 if i < 1000 else 0.5))) for i in range(1600)] + [("b", i, i % 10 == 0) for i in range(600)]
+    stream = spark.createDataFrame([(m, i, int(e)) for m, i, e in rows], "module string, event_id long, error int").selectExpr(
+        "*", "timestamp_seconds(1700000000 + event_id) AS ts")
+    found = {r.module: r.adwin_at for r in drift.adwin(drift.numbered(stream)).collect()}
+    assert set(found) == {"a"} and 1000 < found["a"] < 1150
 
 
 def test_alert_fanout(spark, tmp_path):

@@ -47,6 +47,14 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     return issues.where(F.col("code").isNotNull()).unionByName(empty)
 
 
+def class_shares(df: DataFrame, by: str, label: str = "label") -> DataFrame:
+    """(by, class, n, state) for each label of each group: missing, overwhelming (over 95 in 100) or present."""
+    counts = df.groupBy(by).agg(F.count("*").alias("_all"), *[F.count_if(F.col(label) == name).alias(name) for name in LB.LABELS])
+    long = counts.unpivot([by, "_all"], LB.LABELS, "class", "n")
+    state = F.when(F.col("n") == 0, "missing").when(100.0 * F.col("n") / F.col("_all") > 95.0, "overwhelming").otherwise("present")
+    return long.select(by, "class", "n", state.alias("state"))
+
+
 def duplicate_issues(df: DataFrame, key: str, code: str, severity: str, order: str = "seq", record: str = "id") -> DataFrame:
     """Every row after the first with the same key, naming the first holder.
 

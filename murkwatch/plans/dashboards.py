@@ -6,6 +6,7 @@ from ..functions.exprs import hit_rules
 from ..operators import dashboards as ops
 from ..operators import receipts as rops
 from .receipts import IND
+from . import inputs  # noqa: F401
 from .registry import Data, query
 
 LEVEL = "CASE WHEN risk_level IN ('CRITICAL', 'HIGH', 'SUSPICIOUS') THEN risk_level ELSE 'CLEAN' END"

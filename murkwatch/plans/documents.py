@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import documents as D
 from ..functions.exprs import hit_rules
 from ..operators import documents as ops
+from . import inputs  # noqa: F401
 from .registry import Data, define_input, query, sql_array
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in D.STOPWORDS) + ")"

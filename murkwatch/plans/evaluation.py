@@ -10,6 +10,7 @@ from ..operators import evaluation as ev
 from .fusion import CLIP  # noqa: F401  (its inputs are used here)
 from .quality import CONSENSUS
 from .receipts import CAND
+from . import inputs  # noqa: F401
 from .registry import Data, define_input, query
 
 POS = "upper({0}) IN ('1', 'TRUE', 'HIGH', 'SUSPICIOUS', 'FRAUD', 'YES')"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hit_rules
 from ..operators import fusion as ops
+from . import inputs  # noqa: F401
 from .registry import Data, define_input, query
 
 define_input("case_scores", """

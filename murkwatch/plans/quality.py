@@ -6,6 +6,7 @@ from ..functions import labels as LB
 from ..functions import privacy as P
 from ..functions.exprs import pin
 from ..operators import quality as ops
+from . import inputs  # noqa: F401
 from .registry import Data, query
 
 STRICT = """CASE WHEN upper(trim(raw_label)) IN ('CLEAN', 'SUSPICIOUS', 'HIGH') THEN upper(trim(raw_label))
@@ -93,14 +94,11 @@ def dq4(d: Data):
     return ops.ingestion_summary(d.records)
 
 
-@query("dq5_label_distribution", f"""WITH l AS (SELECT dataset_type, {STRICT} AS label FROM {{records}}), c AS (SELECT k.class, count(l.label) AS n, (SELECT count(*) FROM l WHERE label IS NOT NULL AND dataset_type = 'UPI_SCREENSHOT') AS total
-  FROM (VALUES ('CLEAN'), ('SUSPICIOUS'), ('HIGH')) k(class) LEFT JOIN l ON l.label = k.class AND l.dataset_type = 'UPI_SCREENSHOT' AND l.label <> 'CLEAN' GROUP BY 1)
-  SELECT 'warning' AS severity, CASE WHEN n = 0 AND class <> 'SUSPICIOUS' THEN 'MISSING_CLASS' ELSE 'EXTREME_IMBALANCE' END AS code, class, n FROM (
-  SELECT class, n, sum(n) OVER () AS total FROM c) WHERE (n = 0 AND class <> 'SUSPICIOUS') OR 100.0 * n / total > 95""")
+@query("dq5_label_distribution", f"""WITH l AS (SELECT dataset_type, {STRICT} AS label FROM {{records}}), t AS (SELECT dataset_type, count(*) AS total FROM l WHERE label IS NOT NULL GROUP BY 1), c AS (
+  SELECT t.dataset_type, k.class, total, count(l.label) AS n FROM t CROSS JOIN (VALUES ('CLEAN'), ('SUSPICIOUS'), ('HIGH')) k(class) LEFT JOIN l ON l.label = k.class AND l.dataset_type = t.dataset_type GROUP BY ALL)
+  SELECT dataset_type, CASE WHEN n = 0 THEN 'missing' WHEN 100.0 * n / total > 95 THEN 'overwhelming' ELSE 'present' END AS state, class, n FROM c""")
 def dq5(d: Data):
-    # Receipts without their clean rows: one class is missing and one takes over.
-    part = _labelled(d).where((F.col("dataset_type") == "UPI_SCREENSHOT") & (F.col("label") != "CLEAN"))
-    return ops.label_distribution(part)
+    return ops.class_shares(_labelled(d), "dataset_type")
 
 
 @query("dq6_duplicates", """WITH r AS (SELECT id, seq, path_or_value AS v FROM {records}), a AS (SELECT *, min(seq) OVER (PARTITION BY id) AS fi, first_value(id) OVER (PARTITION BY v ORDER BY seq) AS fv, min(seq) OVER (PARTITION BY v) AS sv FROM r)
@@ -111,11 +109,11 @@ def dq6(d: Data):
     return ids.unionByName(ops.duplicate_issues(d.records, "path_or_value", "DUPLICATE_VALUE", "warning"))
 
 
-@query("dq7_missing_files", """SELECT 'warning' AS severity, 'MISSING_FILE' AS code, id AS record_id FROM {records} r WHERE dataset_type = 'DOCUMENT'
+@query("dq7_missing_files", """SELECT 'warning' AS severity, 'MISSING_FILE' AS code, id AS record_id FROM {records} r WHERE dataset_type IN ('DOCUMENT', 'UPI_SCREENSHOT')
   AND NOT EXISTS (SELECT 1 FROM {documents} x WHERE x.doc_id % 4 <> 0 AND '/data/files/' || x.source || '/' || x.doc_id || '.pdf' = r.path_or_value)""")
 def dq7(d: Data):
     listing = d.sql("SELECT '/data/files/' || source || '/' || doc_id || '.pdf' AS path FROM {documents} WHERE doc_id % 4 <> 0")
-    return ops.missing_files(d.records.where(F.col("dataset_type") == "DOCUMENT"), listing)
+    return ops.missing_files(d.records, listing)
 
 
 @query("dq8_leak_scan", f"WITH {FIELDS} SELECT CASE code WHEN 'URL_QUERY_PARAMS' THEN 'info' ELSE 'warning' END AS severity, code, record_id, field FROM leaks")

@@ -6,6 +6,7 @@ from ..functions import levels as L
 from ..functions import receipts as R
 from ..functions.exprs import hit_rules, pin
 from ..operators import receipts as ops
+from . import inputs  # noqa: F401
 from .registry import Data, query, sql_array
 
 # ---- SQL twins: shared text --------------------------------------------------
@@ -138,14 +139,14 @@ def rcp11(d: Data):
 
 
 @query("rcp12_utr_lookup", rf"""WITH {IND}, asked AS (SELECT receipt_id, regexp_replace(utr, '\D', '', 'g') AS u FROM ver WHERE utr IS NOT NULL),
-  bad AS (SELECT DISTINCT utr FROM ver WHERE score >= 60 AND receipt_id % 2 = 0)
+  bad AS (SELECT DISTINCT utr FROM ver WHERE score >= 60)
   SELECT receipt_id, length(u) = 12 AS is_valid, bad.utr IS NOT NULL AS known_fraud_match,
   CASE WHEN length(u) <> 12 THEN 75 WHEN bad.utr IS NOT NULL THEN 100 ELSE 0 END AS risk_score,
   CASE WHEN length(u) <> 12 THEN 'HIGH' WHEN bad.utr IS NOT NULL THEN 'HIGH' ELSE 'CLEAN' END AS risk_level
   FROM asked LEFT JOIN bad ON asked.u = bad.utr""")
 def rcp12(d: Data):
     rows = _scored(d).select("receipt_id", "utr", "forgery_score")
-    past = rows.where(F.col("receipt_id") % 2 == 0).select(
+    past = rows.select(
         F.col("utr").alias("utr_number"), F.col("forgery_score").alias("risk_score"))
     asked = rows.where(F.col("utr").isNotNull()).select("receipt_id", "utr")
     return ops.lookup_utr(asked, past).select("receipt_id", "is_valid", "known_fraud_match", "risk_score", "risk_level")

@@ -9,6 +9,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import datasets, manifests, stores
 from .evaluation import M, P, T, cells
 from .quality import BINARY, STRICT
+from . import inputs  # noqa: F401
 from .registry import Data, query
 
 
@@ -18,10 +19,10 @@ def _folder(d: Data) -> str:
 
 
 def _raw(d: Data):
-    return d.records.where(F.col("dataset_type") == "URL").select("path_or_value", F.col("raw_label").alias("label"), "source", "meta_note")
+    return d.records.select("path_or_value", F.col("raw_label").alias("label"), "source", "meta_note")
 
 
-_REC = f"""SELECT DISTINCT 'rec_url_' || substr(sha256(path_or_value), 1, 12) AS id, path_or_value, {STRICT} AS label, source, meta_note AS note FROM {{records}} WHERE dataset_type = 'URL' AND {STRICT} IS NOT NULL"""
+_REC = f"""SELECT DISTINCT 'rec_url_' || substr(sha256(path_or_value), 1, 12) AS id, path_or_value, {STRICT} AS label, source, meta_note AS note FROM {{records}} WHERE {STRICT} IS NOT NULL"""
 
 
 @query("src1_ingest_csv", _REC)
@@ -41,6 +42,16 @@ def src2(d: Data):
     return out.select("id", "path_or_value", "label", "source", F.element_at("metadata", "meta_note").alias("note")).distinct()
 
 
+@query("src4_encodings", "SELECT 'Stra\u00dfe \u00e9 ' || source || ' ' || doc_id AS line, CASE doc_id % 2 WHEN 0 THEN 'utf' ELSE 'latin' END AS folder FROM {documents}")
+def src4(d: Data):
+    path = _folder(d)
+    lines = d.documents.selectExpr("concat('Stra\u00dfe \u00e9 ', source, ' ', doc_id) AS line", "doc_id % 2 AS odd")
+    lines.where("odd = 0").select("line").write.csv(f"{path}/utf")
+    lines.where("odd = 1").select("line").write.option("encoding", "ISO-8859-1").csv(f"{path}/latin")
+    read = datasets.read_lines_any_encoding(d.spark, f"{path}/*")
+    return read.select("line", F.element_at(F.split("file", "/"), -2).alias("folder"))
+
+
 @query("src5_phish_export", """SELECT 'rec_pt_' || substr(sha256(page_id::VARCHAR), 1, 12) AS id, url AS path_or_value, CASE page_id % 3 WHEN 0 THEN 'HIGH' ELSE 'SUSPICIOUS' END AS label FROM {pages} WHERE page_id % 11 <> 0""")
 def src5(d: Data):
     path = _folder(d)
@@ -51,7 +62,7 @@ def src5(d: Data):
 
 
 @query("src6_url_list", f"""SELECT DISTINCT 'rec_md_' || substr(sha256(path_or_value), 1, 12) AS id, path_or_value, CASE WHEN lower(trim(raw_label)) IN ('suspicious', 'warn', 'warning') THEN 'SUSPICIOUS' ELSE {BINARY} END AS label
-  FROM {{records}} WHERE dataset_type = 'URL'""")
+  FROM {{records}}""")
 def src6(d: Data):
     path = _folder(d)
     _raw(d).select(F.col("path_or_value").alias("link"), F.col("label").alias("status")).write.option("header", True).csv(path)
@@ -99,6 +110,22 @@ def src12(d: Data):
     return stores.find_by_document(stores.read_events(d.spark, path), "doc_7").select("event_id", "doc_id", "risk_score")
 
 
+@query("src13_training_table", "SELECT split, label, count(*) AS n, round(sum(ocr_confidence), 6) AS confidence FROM {receipt_features} GROUP BY ALL")
+def src13(d: Data):
+    path = _folder(d)
+    stores.write_training_table(d.receipt_features.select("id", "label", "split", "ocr_confidence"), path, "csv")
+    rows = d.spark.read.option("header", True).schema("id string, label int, split string, ocr_confidence double").csv(path)
+    return rows.groupBy("split", "label").agg(F.count("*").alias("n"), F.round(F.sum("ocr_confidence"), 6).alias("confidence"))
+
+
+@query("src14_experiments", "SELECT module, run_id, count(*) AS n, sum(score_a) AS total FROM {predictions}, (VALUES ('first'), ('second')) r(run_id) GROUP BY ALL")
+def src14(d: Data):
+    path = _folder(d)
+    for run in ("first", "second"):
+        stores.append_experiment(d.predictions.groupBy("module").agg(F.count("*").alias("n"), F.sum("score_a").alias("total")), path, run)
+    return d.spark.read.schema("module string, run_id string, n long, total long").json(path)
+
+
 _ML = ["accuracy", "precision", "recall", "f1", "fpr", "fnr"]
 
 

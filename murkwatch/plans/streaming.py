@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..streaming import drift, feed
+from . import inputs  # noqa: F401
 from .registry import Data, define_input, query
 
 define_input("detections", """

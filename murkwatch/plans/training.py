@@ -7,6 +7,7 @@ from ..operators import documents as docs
 from ..operators import training as tr
 from ..session import cut_lineage
 from .documents import RULED
+from . import inputs  # noqa: F401
 from .registry import Data, query
 
 FEATS = ["brand_palette_distance", "text_height_variance", "ela_hotspot_density", "utr_valid", "ocr_confidence", "font_consistent"]

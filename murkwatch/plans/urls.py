@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.exprs import hit_rules, pin, strip
 from ..operators import urls as ops
+from . import inputs  # noqa: F401
 from .registry import Data, query, sql_array
 
 # ---- SQL twins: shared text ---------------------------------------------------

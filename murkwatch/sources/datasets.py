@@ -60,14 +60,14 @@ def to_records(rows: DataFrame, dataset_type: str, value: str = "path_or_value",
     return out, rejected
 
 
-def ingest_csv(spark: SparkSession, path: str, dataset_type: str, **options) -> tuple[DataFrame, DataFrame]:
-    """CSV with a header; every column is read as text."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def ingest_csv(spark: SparkSession, path: str, dataset_type: str, multi_line: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """CSV with a header; every column is read as text. ``multi_line`` allows line feeds in quotes, at one task a file."""
+    rows = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return to_records(rows, dataset_type, **options)
 
 
-def ingest_json(spark: SparkSession, path: str, dataset_type: str, columns: str, multi_line: bool = True, **options) -> tuple[DataFrame, DataFrame]:
-    """JSON list, object or lines with an explicit column list (DDL)."""
+def ingest_json(spark: SparkSession, path: str, dataset_type: str, columns: str, multi_line: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """JSON lines with an explicit column list (DDL); with ``multi_line`` a list or object, at one task a file."""
     return to_records(spark.read.schema(columns).option("multiLine", multi_line).json(path), dataset_type, **options)
 
 

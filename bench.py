@@ -14,10 +14,10 @@ from murkwatch.session import build_session
 
 HEADLINE = [
     "url1_lexical_features", "url13_rule_hits", "url14_risk_score", "url15_registration_join", "rcp4_utr_candidates",
-    "rcp10_forgery_score", "doc1_top_keywords", "doc10_risk_score", "dna1_tfidf",
+    "rcp10_forgery_score", "doc1_top_keywords", "doc10_risk_score", "dna1_tfidf", "dna3_similar_pairs", "dna4_clusters", "dna7_campaigns",
     "fus3_unified_score", "agg1_store_statistics", "agg5_timeline", "agg8_dataset_profile", "dq6_duplicates", "dq8_leak_scan",
-    "red7_anonymize_records", "eva2_classification_metrics", "eva4_auc", "eva6_latency_summary", "eva11_delong_compare",
-    "eva14_agreement", "eva20_signal_ablation", "trn1_stratified_split", "str3_error_rates", "str5_ddm",
+    "red7_anonymize_records", "eva2_classification_metrics", "eva4_auc", "eva6_latency_summary", "eva9_stratified_bootstrap", "eva11_delong_compare",
+    "eva14_agreement", "eva20_signal_ablation", "trn1_stratified_split", "trn3_smote", "str3_error_rates", "str5_ddm",
 ]
 
 

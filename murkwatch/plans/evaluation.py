@@ -122,9 +122,24 @@ def eva8(d: Data):
     return r9(ev.bootstrap_metrics(d.predictions, F.col("truth") == 1, F.col("score_a") >= 30), "estimate", "ci_lower", "ci_upper")
 
 
-@query("eva9_stratified_bootstrap")
+_SB = {"f1": F1, "precision": PREC, "recall": REC, "mcc": MCC}
+_LO, _HI = (int(x * 2000) for x in ((1 - 0.95) / 2, 1 - (1 - 0.95) / 2))
+
+
+@query("eva9_stratified_bootstrap", f"""WITH h AS (SELECT truth AS y, score_a >= 30 AS p, score_a AS s, count(*) AS n FROM {{predictions}} GROUP BY ALL), r AS (SELECT *, unnest(range(1, 2001)) AS rep FROM h), d AS (
+  SELECT *, {weight_sql('strata', "(y || '|' || p::VARCHAR || '|' || s || '.0|' || rep)", 'n')} AS g FROM r), w AS (SELECT *, g * sum(n) OVER c / sum(g) OVER c AS v FROM d WINDOW c AS (PARTITION BY rep, y)), b AS (
+  SELECT rep, s, coalesce(sum(v) FILTER (y = 1 AND p), 0) AS tp, coalesce(sum(v) FILTER (y = 0 AND p), 0) AS fp, coalesce(sum(v) FILTER (y = 0 AND NOT p), 0) AS tn, coalesce(sum(v) FILTER (y = 1 AND NOT p), 0) AS fn FROM w GROUP BY ALL), o AS (
+  SELECT *, coalesce(sum(fp + tn) OVER (PARTITION BY rep ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b), t AS (
+  SELECT rep, sum((tp + fn) * (below + 0.5 * (fp + tn))) / (sum(tp + fn) * sum(fp + tn)) AS auc, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM o GROUP BY rep), m AS (
+  SELECT 'auc' AS metric, auc AS stat FROM t UNION ALL """ + " UNION ALL ".join(f"SELECT '{m}', {x} FROM t" for m, x in _SB.items()) + f"""), k AS (
+  SELECT metric, stat, row_number() OVER (PARTITION BY metric ORDER BY stat) - 1 AS i FROM m), e AS (SELECT {cells(T, P)} FROM {{predictions}}), q AS (
+  SELECT score_a AS s, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth = 0) AS neg FROM {{predictions}} GROUP BY 1), u AS (
+  SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM q), z AS (
+  SELECT 'auc' AS metric, sum(pos * (less + 0.5 * neg)) / (sum(pos) * sum(neg)) AS estimate FROM u UNION ALL """ + " UNION ALL ".join(f"SELECT '{m}', {x} FROM e" for m, x in _SB.items()) + f""")
+  SELECT metric, round(any_value(estimate), 8) AS estimate, round(max(stat) FILTER (i = {_LO}), 8) AS ci_lower, round(max(stat) FILTER (i = {_HI}), 8) AS ci_upper FROM k JOIN z USING (metric) GROUP BY metric""")
 def eva9(d: Data):
-    return ev.stratified_bootstrap(d.predictions, "truth", F.col("score_a") >= 30, "score_a")
+    out = ev.stratified_bootstrap(d.predictions, "truth", F.col("score_a") >= 30, "score_a")
+    return out.select("metric", *[F.round(c, 8).alias(c) for c in ("estimate", "ci_lower", "ci_upper")])
 
 
 def place(tag: str, score: str) -> str:

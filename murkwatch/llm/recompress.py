@@ -179,13 +179,14 @@ def _digested(touched: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         for batch in small_batches(batches):
             seen: dict[tuple[int, bytes], list[tuple]] = {}
-            for row, text, shared in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                digests = window_digests(_named(text.encode().split(), hashes), width)
+            for row, text, shared, digest in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                words = text.encode().split()
+                if hashlib.sha256(b" ".join(words)).digest() != digest:
+                    raise RuntimeError("the documents came in another order when read again; give a stored table")
+                digests = window_digests(_named(words, hashes), width)
                 for item in shared:
                     low, high = item["low"], item["high"]
                     windows = digests[low:high + 1].tobytes()
-                    if len(windows) != 8 * (high - low + 1):
-                        raise RuntimeError("the documents changed between two reads; give a stored table")
                     seen.setdefault((item["name"], windows), []).append((row, low, high))
             out = []
             for (name, windows), places in seen.items():
@@ -264,7 +265,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     found = found.select("row_id", F.col("at.names").alias("name"), F.col("at.low").alias("low"), F.col("at.high").alias("high"))
     shared = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     marked = found.join(shared, "name").groupBy("row_id").agg(F.collect_list(F.struct("name", "low", "high")).alias("shared"))
-    touched = cut_lineage(rows.join(marked, "row_id").select("row_id", "text", "shared"))
+    marked = marked.join(parsed.select("row_id", "digest"), "row_id")
+    touched = cut_lineage(rows.join(marked, "row_id").select("row_id", "text", "shared", "digest"))
 
     key = F.when(F.col("name").isNull(), F.xxhash64("row_id")).otherwise(F.xxhash64("name"))
     met = _digested(touched, width).repartition(shuffle_width(docs), key).sortWithinPartitions("name")

@@ -179,8 +179,8 @@ def mcnemar(df: DataFrame, truth: Column, pred_a: Column, pred_b: Column, by: li
     sig = F.col("p_value") < alpha
     return out.withColumn("significant", sig).withColumn("interpretation", F.when(
         ~sig, "no difference shown").when(
-        F.col("b") > F.col("c"), "A makes fewer errors").otherwise(
-        "B makes fewer errors"))
+        F.col("b") > F.col("c"), "A is better, with fewer errors").otherwise(
+        "A is worse, with more errors"))
 
 
 def paired_differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

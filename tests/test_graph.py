@@ -65,8 +65,8 @@ def test_clusters_equal_union_find(spark, texts):
     assert {frozenset(g) for g in got.values()} == want
     ids = {r.component: r for r in dna.campaign_ids(assigned, "event_id").collect()}
     assert all(ids[c].event_count == len(m) for c, m in got.items())
-    split = {r.component: r.event_count for r in dna.campaign_ids(assigned, "event_id", exact_limit=3).collect()}
-    assert split == {c: r.event_count for c, r in ids.items()}
+    again = {r.component: r.campaign_id for r in dna.campaign_ids(assigned.repartition(7), "event_id").collect()}
+    assert again == {c: r.campaign_id for c, r in ids.items()} and len(set(again.values())) == len(ids)
 
 
 def test_dbscan_two_samples_equals_clusters(spark, texts):

@@ -3,8 +3,8 @@
 Two permutations make the whole signature: the first spreads shingles over positions, the second gives values, and
 coordinate k reads the value k places further round. Equal sets collapse first. In each band bucket nodes are compared
 with a centre, then with another one; what shares a component need not be compared again, so a bucket that a third of
-all rows share costs a few comparisons a row. Pairs of a bucket that are still in different components are all compared.
-Every link is confirmed on the full shingle sets.
+all rows share costs a few comparisons a row. Nodes of buckets that still hold several components then meet by a prefix
+filter over exact shingles, which loses no pair. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -132,6 +132,42 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
+def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of ``nodes`` (node, n, component) in different components whose sets could be similar enough.
+
+    Prefix filter: with shingles ordered by how many nodes have them, rarest first, two similar sets share one among the
+    first n - ceil(n * percent / 100) + 1 of either. Positions bound the rest: at the first shingle two sets share, the
+    overlap is at most what follows in the shorter remainder, so edits of a node's own, which come first, exclude it from
+    what a large group has in common. Within a shingle, only nodes outside its most frequent component look for partners.
+    """
+    own = nodes.join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            lists = [np.frombuffer(raw, np.int64) for raw in batch.column(3).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(lists)), [len(names) for names in lists]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(at) for k in range(3)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))],
+                names=["node", "n", "component", "shingle"])
+
+    each = own.select("node", "n", "component", "shingles").mapInArrow(run, "node long, n long, component long, shingle long")
+    common = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("df > 1")
+    held = each.join(common, "shingle")
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    rare = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    ranked = held.withColumns({"place": F.row_number().over(order) + rare}).where(F.col("place") <= prefix)
+    ranked = cut_lineage(ranked.where("c0 < c1").select(
+        "shingle", "node", "n", "component", (F.col("n") - F.col("place") + 1).alias("left")))
+    counts = ranked.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+    most = counts.groupBy("shingle").agg(F.max(F.struct("m", "component"))["component"].alias("most"))
+    left = ranked.join(most, "shingle").where("component <> most").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("left").alias("left_a"))
+    right = ranked.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("left").alias("left_b"))
+    # The overlap is least(left_a, left_b) at most, the union what the two sets hold without it.
+    fits = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    return left.join(right, "shingle").where((F.col("c_a") != F.col("c_b")) & fits)
+
+
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs whose sizes allow a link."""
     return (pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b")))
@@ -177,9 +213,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
                 found = (held.join(other, F.col("high.node") == F.col("_node")).where("component <> _component")
                          .select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("high.node").alias("b"), F.col("high.n").alias("n_b")))
             else:
-                left = held.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-                right = held.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-                found = left.join(right, "band").where("c_a < c_b AND 100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
+                found = _across(held.select("node", "n", "component").distinct(), sets, percent)
         pairs = _near(found, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

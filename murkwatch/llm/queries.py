@@ -43,7 +43,7 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return recompress.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+    return recompress.remove_repeats(table(spark, folder, "documents"), texts=False).drop("kept_text")
 
 
 @query

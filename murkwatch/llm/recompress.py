@@ -6,8 +6,8 @@ for, so all tasks give equal content equal names without an exchange of dictiona
 decide it: inside a window only symbols decided within the window count, and these are the same wherever the window's
 words stand. Of the highest round that has one, the longest such symbol represents the window.
 
-Spark then brings equal names together. A window whose symbol occurs once is unique. Among occurrences of a shared
-symbol, windows are compared by digests of their words, and what occurs twice is covered.
+Spark then brings equal names together. A window whose symbol occurs once is unique; most of a corpus ends here. Among
+occurrences of a shared symbol, windows are compared by digests of their words, and what occurs twice is covered.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .exchange import BATCH_BITS, answered, exchanged, five_bytes, from_five_bytes, shared_names, told
 from .minhash import WordHashes, mixed
 from .shared import id_and_text, shuffle_width, small_batches
 
@@ -138,105 +139,120 @@ def _named(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return mixed(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) + _C)
 
 
-def _parsed(docs: DataFrame, width: int) -> DataFrame:
-    """(row_id, doc_id, n_words, digest, names, low, high): a document's representatives and their windows."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def _parsed(texts: list[str], hashes: WordHashes, width: int) -> tuple[np.ndarray, ...]:
+    """(symbol, document, first window, last window) of a batch, and the digests of all windows with each document's first word."""
+    words = [text.encode().split() for text in texts]
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    name = _named([w for each in words for w in each], hashes)
+    symbol, low, high = representatives(name, sizes, width)
+    base = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(sizes)), sizes)[low] if len(low) else low
+    return symbol, doc, low - base[doc], high - base[doc], name, base
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in small_batches(batches, 256):
-            texts = [text.encode().split() for text in batch.column(1).to_pylist()]
-            sizes = np.array([len(words) for words in texts], dtype=np.int64)
-            name = _named([word for words in texts for word in words], hashes)
-            symbol, low, high = representatives(name, sizes, width)
-            base = np.cumsum(sizes) - sizes
-            doc = np.repeat(np.arange(len(sizes)), sizes)[low] if len(low) else low
-            offsets = np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32)
-            each = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(0), pa.array(sizes), pa.array([hashlib.sha256(b" ".join(words)).digest() for words in texts], pa.binary()),
-                 each(symbol.view(np.int64)), each((low - base[doc]).astype(np.int32)), each((high - base[doc]).astype(np.int32))],
-                names=["row_id", "doc_id", "n_words", "digest", "names", "low", "high"])
 
-    return docs.mapInArrow(run, f"row_id long, doc_id {id_type}, n_words long, digest binary, names array<long>, low array<int>, high array<int>")
+PACKED = "bucket int, batch long, windows binary, row_id long, check long, spans array<struct<low:int,high:int>>"
+MARKS = "row_id long, check long, spans array<struct<low:int,high:int>>"
+_SPANS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
 
-SPAN = "name long, row_id long, low int, high int, windows binary, times int"
-SPAN_NAMES = ["name", "row_id", "low", "high", "windows", "times"]
+def _check(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-    columns = zip(*rows) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=SPAN_NAMES)
+def _windows(rows: DataFrame, answers: DataFrame, width: int, buckets: int) -> DataFrame:
+    """For each batch and bucket the window digests under shared symbols; for each document with one, its settled spans.
 
+    What occurs twice within a batch is settled there and goes on once, with weight two, so a passage that very many
+    documents share sends little.
+    """
 
-def _digested(touched: DataFrame, width: int) -> DataFrame:
-    """Window digests under their symbols. What occurs twice within a batch is settled there (name is null) and one of
-    its rows goes on for all, so a passage that very many documents share sends few rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in small_batches(batches):
-            seen: dict[tuple[int, bytes], list[tuple]] = {}
-            for row, text, shared, digest in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                words = text.encode().split()
-                if hashlib.sha256(b" ".join(words)).digest() != digest:
-                    raise RuntimeError("the documents came in another order when read again; give a stored table")
-                digests = window_digests(_named(words, hashes), width)
-                for item in shared:
-                    low, high = item["low"], item["high"]
-                    windows = digests[low:high + 1].tobytes()
-                    seen.setdefault((item["name"], windows), []).append((row, low, high))
-            out = []
-            for (name, windows), places in seen.items():
-                row, low, high = places[0]
-                out.append((name, row, low, high, windows, min(2, len(places))))
-                if len(places) > 1:
-                    out.extend((None, row, low, high, None, 1) for row, low, high in places)
-            yield _spans(out)
-
-    return touched.mapInArrow(run, SPAN)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("row_id")
+        texts, ids = left.column("text").to_pylist(), left.column("row_id").to_pylist()
+        symbol, doc, low, high, name, base = _parsed(texts, WordHashes(), width)
+        low_name, bucket, inverse, count = exchanged(symbol, buckets)
+        shared = shared_names(bucket, count, right, buckets)
+        kept = np.flatnonzero(shared[inverse]) if len(symbol) else np.zeros(0, np.int64)
+        digests = window_digests(name, width)
+        seen: dict[tuple[int, bytes], list[tuple]] = {}
+        for which, owner, a, b in zip(inverse[kept].tolist(), doc[kept].tolist(), low[kept].tolist(), high[kept].tolist()):
+            at = int(base[owner])
+            seen.setdefault((which, digests[at + a:at + b + 1].tobytes()), []).append((owner, a, b))
+        settled: dict[int, list[dict]] = {int(owner): [] for owner in np.unique(doc[kept])}
+        sent: dict[int, list[tuple]] = {}
+        for (which, windows), places in seen.items():
+            owner, a, _ = places[0]
+            sent.setdefault(int(bucket[which]), []).append((int(low_name[which]), ids[owner] & ((1 << BATCH_BITS) - 1), a, min(2, len(places)), windows))
+            if len(places) > 1:
+                for owner, a, b in places:
+                    settled[owner].append({"low": a, "high": b})
+        n, m = len(sent), len(settled)
+        return pa.table([
+            pa.array(list(sent) + [None] * m, pa.int32()), pa.array([ids[0] >> BATCH_BITS if ids else None] * n + [None] * m, pa.int64()),
+            pa.array([_packed(*zip(*items)) for items in sent.values()] + [None] * m, pa.binary()),
+            pa.array([None] * n + [ids[owner] for owner in settled], pa.int64()),
+            pa.array([None] * n + [_check(texts[owner]) for owner in settled], pa.int64()),
+            pa.array([None] * n + list(settled.values()), _SPANS)], names=["bucket", "batch", "windows", "row_id", "check", "spans"])
+
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, PACKED)
+
+
+def _packed(names, owners, lows, times, windows) -> bytes:
+    columns = [five_bytes(np.array(names, "<u8")), np.array(owners, "<u2"), np.array(lows, "<u4"), np.array(times, "u1"),
+               np.array([len(w) // 8 for w in windows], "<u4")]
+    return np.uint32(len(names)).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns) + b"".join(windows)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(name, owner, low, times, how many windows, digests)."""
+    n, at = int(np.frombuffer(raw, "<u4", 1)[0]), 4
+    out = [from_five_bytes(np.frombuffer(raw, np.uint8, 5 * n, at))]
+    at += 5 * n
+    for kind, size in (("<u2", 2), ("<u4", 4), ("u1", 1), ("<u4", 4)):
+        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+        at += n * size
+    return (*out, np.frombuffer(raw[at:], "<u8"))
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by name: of each name's windows, those that occur twice; neighbours become one span."""
-
-    def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        digests = np.frombuffer(b"".join(row[4] for row in rows), np.uint64)
-        sizes = np.array([len(row[4]) // 8 for row in rows])
-        group = np.repeat(np.array([row[0] for row in rows], dtype=np.int64), sizes)
-        weight = np.repeat(np.array([row[5] for row in rows]), sizes)
+    """Rows sorted by bucket: of each symbol's windows, those that occur twice; neighbours become one span."""
+
+    def close(values: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        parts = [_unpacked(value) for _, value in values]
+        name, owner, low, times, sizes, digests = (np.concatenate(column) for column in zip(*parts))
+        row = np.repeat(np.array([batch << BATCH_BITS for batch, _ in values]), [len(part[0]) for part in parts]) + owner
+        group, weight = np.repeat(name, sizes), np.repeat(times, sizes)
         order = np.lexsort((digests, group))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (digests[order][1:] != digests[order][:-1]) | (group[order][1:] != group[order][:-1])
         number = np.cumsum(new) - 1
         twice = np.zeros(len(order), dtype=bool)
         twice[order] = np.bincount(number, weight[order])[number] > 1
-        place = np.repeat(np.array([row[2] for row in rows]) - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(twice))
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        opens = twice.copy()
-        opens[1:] &= ~(twice[:-1] & (owner[1:] == owner[:-1]))
-        shuts = twice.copy()
-        shuts[:-1] &= ~(twice[1:] & (owner[1:] == owner[:-1]))
-        heads, tails = np.flatnonzero(opens), np.flatnonzero(shuts)
-        yield _spans([(None, rows[owner[h]][1], int(place[h]), int(place[t]), None, 1) for h, t in zip(heads, tails)])
-
-    held: list[tuple] = []
-    for batch in batches:
-        rows = list(zip(*(column.to_pylist() for column in batch.columns)))
-        ready = [row for row in rows if row[0] is None]
-        if ready:
-            yield _spans(ready)
-        rows = held + [row for row in rows if row[0] is not None]
-        cut = len(rows)
-        while cut and rows[cut - 1][0] == rows[-1][0]:
-            cut -= 1
-        held = rows[cut:]
-        yield from close(rows[:cut])
-    yield from close(held)
+        item = np.repeat(np.arange(len(row)), sizes)
+        place = (low - (np.cumsum(sizes) - sizes))[item] + np.arange(len(twice))
+        joined = twice[:-1] & twice[1:] & (item[1:] == item[:-1])
+        opens, shuts = twice.copy(), twice.copy()
+        opens[1:] &= ~joined
+        shuts[:-1] &= ~joined
+        found: dict[int, list[dict]] = {}
+        for at, a, b in zip(row[item[opens]].tolist(), place[opens].tolist(), place[shuts].tolist()):
+            found.setdefault(at, []).append({"low": a, "high": b})
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(list(found.values()), _SPANS)],
+            names=["row_id", "check", "spans"])
+
+    held, current = [], None
+    for piece in batches:
+        yield piece.filter(piece.column(0).is_null()).select(["row_id", "check", "spans"])
+        rest = piece.filter(piece.column(0).is_valid())
+        for bucket, batch, value in zip(*(rest.column(k).to_pylist() for k in range(3))):
+            if bucket != current:
+                if held:
+                    yield close(held)
+                held, current = [], bucket
+            held.append((batch, value))
+    if held:
+        yield close(held)
 
 
 def covered(spans: list[dict], width: int) -> list[tuple[int, int]]:
@@ -250,48 +266,51 @@ def covered(spans: list[dict], width: int) -> list[tuple[int, int]]:
     return [(start, stop) for start, stop in out]
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256), one row for each input row.
 
     Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return. A word goes
     if a window of ``width`` words that covers it also starts anywhere else, in the same document or another, judged on the
-    input. kept_text joins the other words by spaces where a word went and is null where none did; kept_sha256 is the
-    digest of the kept words, so joined, in either case. Null text has no words. Windows are told apart by two 64-bit digests.
-    ``docs`` must give the same rows in the same order each time it is read, as stored tables do.
+    input. kept_text joins the other words by spaces where a word went and is null where none did (and without ``texts``);
+    kept_sha256 is the digest of the kept words, so joined, in either case. Null text has no words. Windows are told apart
+    by a name of 40 bits and its bucket and a digest of 64 bits. ``docs`` must give the same rows in the same order each
+    time it is read, as stored tables do; the job stops with an error where it doesn't.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id())
-    parsed = cut_lineage(_parsed(rows, width))
-    found = parsed.select("row_id", F.explode(F.arrays_zip("names", "low", "high")).alias("at"))
-    found = found.select("row_id", F.col("at.names").alias("name"), F.col("at.low").alias("low"), F.col("at.high").alias("high"))
-    shared = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    marked = found.join(shared, "name").groupBy("row_id").agg(F.collect_list(F.struct("name", "low", "high")).alias("shared"))
-    marked = marked.join(parsed.select("row_id", "digest"), "row_id")
-    touched = cut_lineage(rows.join(marked, "row_id").select("row_id", "text", "shared", "digest"))
-
-    key = F.when(F.col("name").isNull(), F.xxhash64("row_id")).otherwise(F.xxhash64("name"))
-    met = _digested(touched, width).repartition(shuffle_width(docs), key).sortWithinPartitions("name")
-    spans = met.mapInArrow(_settled, SPAN).groupBy("row_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    cut = touched.select("row_id", "text").join(spans, "row_id").select("row_id", "text", "spans").mapInArrow(
-        _removed(width), "row_id long, n_removed long, kept_text string, kept_sha256 string")
-    out = parsed.select("row_id", "doc_id", "n_words", F.lower(F.hex("digest")).alias("_whole")).join(cut, "row_id", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept_text",
-                      F.coalesce("kept_sha256", "_whole").alias("kept_sha256"))
-
-
-def _removed(width: int):
+    buckets = shuffle_width(docs)
+
+    def names(batch: list[str]) -> np.ndarray:
+        return _parsed(batch, WordHashes(), width)[0]
+
+    answers = answered(told(rows.select("row_id", "text"), names, buckets), buckets)
+    read = rows.select("row_id", "text").withColumn("batch", F.shiftright("row_id", BATCH_BITS))
+    key = F.when(F.col("bucket").isNull(), F.xxhash64("row_id")).otherwise(F.xxhash64("bucket"))
+    met = _windows(read, answers, width, buckets).repartition(buckets, key).sortWithinPartitions("bucket")
+    marks = met.mapInArrow(_settled, MARKS).groupBy("row_id").agg(
+        F.max("check").alias("check"), F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.join(marks, "row_id", "left").select("doc_id", "text", "spans", "check").mapInArrow(
+        _removed(width, texts), f"doc_id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
+def _removed(width: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            removed, kept = [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            sizes, removed, kept, digests = [], [], [], []
+            for text, spans, check in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 words, left, at, gone = text.encode().split(), [], 0, 0
-                for start, stop in covered(spans, width):
+                if spans and _check(text) != check:
+                    raise RuntimeError("the documents came in another order when read again; give a stored table")
+                for start, stop in covered(spans or [], width):
                     left += words[at:start]
                     at, gone = stop, gone + stop - start
+                rest = b" ".join(left + words[at:])
+                sizes.append(len(words))
                 removed.append(gone)
-                kept.append(b" ".join(left + words[at:]))
+                kept.append(rest.decode() if texts and gone else None)
+                digests.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array([words.decode() for words in kept], pa.string()),
-                 pa.array([hashlib.sha256(words).hexdigest() for words in kept], pa.string())],
-                names=["row_id", "n_removed", "kept_text", "kept_sha256"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     return run

@@ -39,7 +39,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     # The tail keeps rows apart that are equal in everything, so that they too can be dealt to several ranges.
     order = ["head", "digest", "doc_id"]
     ranged = keyed.withColumn("tail", F.monotonically_increasing_id()).repartitionByRange(shuffle_width(docs), *order, "tail")
-    placed = ranged.sortWithinPartitions("head", "content", "doc_id", "tail").select("doc_id", "digest", "content", "tail")
+    # The same order within a range: only then is a group that a splitter cuts the last run of one range and the first of the next.
+    placed = ranged.sortWithinPartitions("head", "digest", "content", "doc_id", "tail").select("doc_id", "digest", "content", "tail")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     parts = cut_lineage(placed.mapInArrow(
         _runs, f"doc_id {id_type}, keep_id {id_type}, group_size long, tail long, text_sha256 string, edge binary"))

@@ -37,6 +37,17 @@ def test_exact_group_over_many_ranges(spark):
     assert len(got) == 1000 and {r.group_size for r in got} == {1000} and [r.doc_id for r in got if r.kept] == [0]
 
 
+def test_exact_groups_amid_texts_of_one_head(spark):
+    head = "a header that many texts of a hot source have in common: "
+    rows = spark.range(6000).selectExpr("id AS doc_id", f"concat('{head}', CASE WHEN id % 2 = 0 THEN 'big' WHEN id % 6 = 1 THEN concat('small ', id % 60) ELSE sha2(string(id), 256) END) AS text")
+    times = Counter(r.text for r in rows.collect())
+    least = {r.text: r.doc_id for r in reversed(rows.orderBy("doc_id").collect())}
+    by_id = {r.doc_id: r.text for r in rows.collect()}
+    got = exact.groups(rows.repartition(5)).collect()
+    assert len(got) == 6000
+    assert all((r.keep_id, r.group_size, r.kept) == (least[t := by_id[r.doc_id]], times[t], r.doc_id == least[t]) for r in got)
+
+
 def jaccard_components(rows, size, percent):
     sets = []
     for _, text in rows:

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations in DataFrame expressions.
 
-Candidates are found by one pattern and validated: check digits of cards and account numbers, octets, calendar days. A
-valid one is permuted within its own format: digits stay digits and letters letters, separators stay where they are,
+Candidates are found by one pattern and validated: check digits of cards and account numbers, octets, calendar days. Card
+and account numbers are looked for at all borders within a run of digits or upper-case words. A valid one is permuted within its own format: digits stay digits and letters letters, separators stay where they are,
 check digits are computed anew, a date becomes another day of the same 400-year calendar cycle. The permutation depends
 on the kind, the value and the key only, so equal values stay equal in all documents, and ``restore`` inverts it.
 """
@@ -20,16 +20,31 @@ ROUNDS = 8
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 ASSIGNED = r"(?<=(?:password|passwd|secret|token|api_key)[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_\-]{8,}"
-DATE = r"(?<![\d.\-/])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\-/.]?\d)"
+DATE = r"(?<![\d.\-/])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\-/.]?\d)"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:\(\d{3}\)[ ]?|\d{3}[\-.])\d{3}[\-.]\d{4}(?!\d)"
 SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\-]?\d)"
-CARD = r"(?<![\d])\d(?:[ \-]?\d){12,18}(?!\d)"
-KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "assigned": ASSIGNED, "date": DATE, "address": ADDRESS, "account": ACCOUNT,
+#: A run ends before a separator after which one of these begins.
+OTHERS = "|".join([EMAIL, ACCESS_KEY, DATE, ADDRESS, PHONE, SOCIAL])
+#: Runs of upper-case words and digits that begin as an account number does, and runs of digits.
+ACCOUNT_SHAPE = r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}"
+ACCOUNT = (r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2}(?:(?:[ ](?!" + OTHERS + r"))?[A-Z0-9]){11,30}(?![A-Za-z0-9]))[A-Z0-9]++"
+           r"(?:[ ](?!\d{4,6}-\d{4,6}-\d|" + OTHERS + r")[A-Z0-9]++(?![a-z]))*+")
+CARD_SHAPE = r"\d(?:[ \-]?\d){12,18}"
+CARD = r"(?<!\d)(?=\d(?:(?:[ \-](?!" + OTHERS + r"))?\d){12})\d++(?:[ \-](?!" + OTHERS + r")\d++)*+"
+KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "assigned": f"({ASSIGNED})", "date": DATE, "address": ADDRESS, "account": ACCOUNT,
          "phone": PHONE, "social": SOCIAL, "card": CARD}
-#: Groups are numbered over the whole pattern; the date's separator is the only one.
+#: Groups are numbered over the whole pattern; the assigned secret is the only one.
 ANY = "|".join(KINDS.values())
+#: Characters of an account number by country.
+LENGTHS = """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27
+GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
+MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22
+VG24 XK20""".split()
+OWN_LENGTH = "^(?:" + "|".join(f"{x[:2]}.{{{int(x[2:]) - 2}}}" for x in LENGTHS) + ")$"
+LISTED = "^(?:" + "|".join(x[:2] for x in LENGTHS) + ")"
+#: Usual lengths and first digits of cards.
+USUAL = r"^(?:[2-6]\d{15}|3[47]\d{13}|3[0689]\d{12})$"
 #: A text without any of these characters has no candidate.
 HINT = r"[0-9@]|AKIA|password|passwd|secret|token|api_key"
 
@@ -124,6 +139,10 @@ def _placed(shape: Column, bare: Column) -> Column:
     return F.array_join(F.transform(_chars(shape), char), "")
 
 
+def _valid_account(bare: Column) -> Column:
+    return _let(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4))), _mod97) == 1
+
+
 def _card(m: Column, key: str, sign: int) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", sign)
@@ -131,7 +150,7 @@ def _card(m: Column, key: str, sign: int) -> Column:
     def checked(value: Column) -> Column:
         return F.concat(value, F.pmod(10 - _luhn(F.concat(value, F.lit("0"))) % 10, F.lit(10)).cast("string"))
 
-    return F.when(_let(digits, _luhn) % 10 == 0, _dressed(m, _let(body, checked))).otherwise(m)
+    return _dressed(m, _let(body, checked))
 
 
 def _account(m: Column, key: str, sign: int) -> Column:
@@ -142,8 +161,71 @@ def _account(m: Column, key: str, sign: int) -> Column:
         check = F.lpad((98 - _let(F.concat(value, land, F.lit("00")), _mod97)).cast("string"), 2, "0")
         return F.concat(land, check, value)
 
-    valid = _let(F.concat(rest, F.substr(bare, F.lit(1), F.lit(4))), _mod97) == 1
-    return F.when(valid, _dressed(m, _let(permuted_text(rest, key, "account", sign), checked))).otherwise(m)
+    return _dressed(m, _let(permuted_text(rest, key, "account", sign), checked))
+
+
+def _spans(m: Column) -> Column:
+    """(rank, start, less, size) of the valid card and account numbers of a run that don't overlap, by place. Of
+    overlapping ones the whole run goes first, then an account of its country's length, a card of a usual kind, and the
+    earlier and longer one."""
+    at = lambda text, i: F.substr(text, i, F.lit(1))
+
+    def ranked(part: Column, start: Column, size: Column) -> Column:
+        bare = F.regexp_replace(part, "[ \\-]", "")
+
+        def rank(bare: Column) -> Column:
+            whole = (start == 1) & (size == F.length(m))
+            account = (F.when(~_valid_account(bare), 9).when(whole, 0).when(bare.rlike(OWN_LENGTH), 1).when(bare.rlike(LISTED), 9).otherwise(3))
+            card = F.when(_let(bare, _luhn) % 10 != 0, 9).when(whole, 0).when(bare.rlike(USUAL), 2).otherwise(4)
+            return F.when(part.rlike(f"^{CARD_SHAPE}$"), card).when(part.rlike(f"^{ACCOUNT_SHAPE}$"), account).otherwise(9)
+
+        return F.struct(_let(bare, rank).alias("rank"), start.alias("start"), (-size).alias("less"), size.alias("size"))
+
+    def from_start(start: Column) -> Column:
+        def ends(window: Column) -> Column:
+            border = lambda j: ~at(window, j).isin(" ", "-") & ~(
+                at(window, j + 1).rlike("[0-9]") | (at(window, j + 1).rlike("[A-Z]") & at(window, F.lit(1)).rlike("[A-Z]")))
+            sizes = F.filter(F.sequence(F.lit(1), F.least(F.length(window), F.lit(67))), lambda j: (j >= 13) & border(j))
+            return F.transform(sizes, lambda j: ranked(F.substr(window, F.lit(1), j), start, j))
+
+        return F.filter(_let(F.substr(m, start, F.lit(68)), ends), lambda x: x["rank"] < 9)
+
+    begins = lambda i: F.when(at(m, i).rlike("[0-9]"), (i == 1) | ~at(m, i - 1).rlike("[0-9]")).otherwise(
+        F.substr(m, i, F.lit(4)).rlike("^[A-Z]{2}[0-9]{2}$") & ((i == 1) | at(m, i - 1).isin(" ", "-")))
+    found = F.flatten(F.transform(F.filter(_chars(m), begins), from_start))
+    kind = "array<struct<rank:int,start:int,less:int,size:int>>"
+
+    def free(chosen: Column, x: Column) -> Column:
+        met = F.exists(chosen, lambda y: (y["start"] < x["start"] + x["size"]) & (x["start"] < y["start"] + y["size"]))
+        return F.when(met, chosen).otherwise(F.concat(chosen, F.array(x)))
+
+    chosen = F.aggregate(F.array_sort(found.cast(kind)), F.array().cast(kind), free)
+    return F.array_sort(F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"))))
+
+
+def _run(m: Column, key: str, sign: int) -> Column:
+    """(new, n): the run with its valid numbers replaced. The permutation is repeated until the same places are valid in
+    the outcome, at most 64 times, so that the inverse finds them; runs of over three numbers are permuted once."""
+
+    def moved(run: Column, spans: Column) -> Column:
+        def part(held: Column, x: Column) -> Column:
+            value = F.substr(run, x["start"], x["size"])
+            new = _let(value, lambda v: F.when(v.rlike("^[A-Z]"), _account(v, key, sign)).otherwise(_card(v, key, sign)))
+            return F.struct(F.concat(held["out"], F.substr(run, held["at"], x["start"] - held["at"]), new).alias("out"),
+                            (x["start"] + x["size"]).alias("at"))
+
+        done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), part)
+        return _let(done, lambda d: F.concat(d["out"], F.substr(run, d["at"])))
+
+    def replaced(spans: Column) -> Column:
+        def step(held: Column, turn: Column) -> Column:
+            return F.when(held["same"], held).otherwise(_let(moved(held["run"], spans), lambda y: F.struct(
+                y.alias("run"), ((F.size(spans) > 3) | (_spans(y) == spans)).alias("same"))))
+
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(m.alias("run"), F.lit(False).alias("same")), step)
+        return F.struct(F.when(F.size(spans) > 0, walked["run"]).otherwise(m).alias("new"), F.size(spans).alias("n"))
+
+    return _let(_spans(m), replaced)
 
 
 def _phone(m: Column, key: str, sign: int) -> Column:
@@ -162,10 +244,13 @@ def _address(m: Column, key: str, sign: int) -> Column:
 
 
 def _date(m: Column, key: str, sign: int) -> Column:
-    """Days of 1800 to 2199, one cycle of 146097 = 27 x 5411 days."""
+    """Days of 1800 to 2199, one cycle of 146097 = 27 x 5411 days. What is no day as day/month/year is read as
+    month/day/year; it is permuted until its day is over 12 again, so that it can be read in one way only."""
     iso = m.rlike("^[0-9]{4}-")
     parts = F.split(m, r"[./\-]")
-    year, month, day = F.when(iso, parts[0]).otherwise(parts[2]), parts[1], F.when(iso, parts[2]).otherwise(parts[0])
+    us = ~iso & (parts[1].cast("int") > 12)
+    year = F.when(iso, parts[0]).otherwise(parts[2])
+    month, day = F.when(us, parts[0]).otherwise(parts[1]), F.when(iso, parts[2]).when(us, parts[1]).otherwise(parts[0])
     parsed = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     first = F.lit("1800-01-01").cast("date")
     offset = F.datediff(parsed, first)
@@ -174,9 +259,14 @@ def _date(m: Column, key: str, sign: int) -> Column:
 
     def shown(turned: Column) -> Column:
         y, mo, d = F.date_format(turned, "yyyy"), two(F.month(turned), month), two(F.day(turned), day)
-        return F.when(iso, F.concat_ws("-", y, mo, d)).otherwise(F.concat(d, separator, mo, separator, y))
+        return (F.when(iso, F.concat_ws("-", y, mo, d)).when(us, F.concat(mo, separator, d, separator, y))
+                .otherwise(F.concat(d, separator, mo, separator, y)))
+
+    def step(held: Column, turn: Column) -> Column:
+        again = (turn == 1) | (us & (F.day(F.date_add(first, held.cast("int"))) <= 12))
+        return F.when(again, permuted_number(held, 27, 5411, key, "date", sign)).otherwise(held)
 
-    moved = F.date_add(first, permuted_number(offset.cast("long"), 27, 5411, key, "date", sign).cast("int"))
+    moved = F.date_add(first, F.aggregate(F.sequence(F.lit(1), F.lit(64)), offset.cast("long"), step).cast("int"))
     return F.when(offset.between(0, 146096), _let(moved, shown)).otherwise(m)
 
 
@@ -187,28 +277,32 @@ def _email(m: Column, key: str, sign: int) -> Column:
     return F.concat(permuted_text(F.substr(m, F.lit(1), dot - 1), key, "email", sign), F.substr(m, dot))
 
 
-def pseudonym(m: Column, key: str, sign: int = 1) -> Column:
-    """The replacement of one candidate, or the candidate itself where it isn't valid."""
-    whole = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
+def pseudonym(m: Column, assigned: Column, key: str, sign: int = 1) -> Column:
+    """(new, n): the replacement of one candidate and how many values it replaces, or the candidate itself where it isn't
+    valid. ``assigned`` is true for what follows the name of a secret."""
+    whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
     prefix = F.substr(m, F.lit(1), F.lit(4))
-    return (F.when(m.contains("@"), _email(m, key, sign))
-            .when(whole("access_key"), F.concat(prefix, permuted_text(F.substr(m, F.lit(5)), key, "access_key", sign)))
-            .when(whole("date"), _date(m, key, sign)).when(whole("address"), _address(m, key, sign))
-            .when(whole("account"), _account(m, key, sign)).when(whole("phone"), _phone(m, key, sign))
-            .when(whole("social"), _dressed(m, permuted_text(F.regexp_replace(m, "-", ""), key, "social", sign)))
-            .when(whole("card"), _card(m, key, sign))
-            .when(m.rlike("^[A-Za-z0-9_\\-]{8,}$"), permuted_text(m, key, "assigned", sign)).otherwise(m))
+    one = lambda new: _let(new, lambda x: F.struct(x.alias("new"), F.lit(1).alias("n")))
+    run = whole(ACCOUNT_SHAPE) | whole(CARD_SHAPE)
+    return (F.when(m.contains("@"), one(_email(m, key, sign)))
+            .when(whole(ACCESS_KEY), one(F.concat(prefix, permuted_text(F.substr(m, F.lit(5)), key, "access_key", sign))))
+            .when(whole(DATE), one(_date(m, key, sign))).when(whole(ADDRESS), one(_address(m, key, sign)))
+            .when(whole(PHONE) & ~whole(ACCOUNT_SHAPE), one(_phone(m, key, sign)))
+            .when(whole(SOCIAL), one(_dressed(m, permuted_text(F.regexp_replace(m, "-", ""), key, "social", sign))))
+            .when(assigned & ~run, one(permuted_text(m, key, "assigned", sign)))
+            .otherwise(_run(m, key, sign)))
 
 
 def _replaced(docs: DataFrame, key: str, text_col: str, count_col: str | None, sign: int) -> DataFrame:
     text = F.col(text_col)
-    names = {"_found": F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))}
-    found = pin(docs, names)
+    none = F.array().cast("array<string>")
+    found = pin(docs, {"_found": F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(none)})
     some = F.size("_found") > 0
-    turned = pin(found, {"_turned": F.when(some, F.transform("_found", lambda m: pseudonym(m, key, sign))).otherwise(F.col("_found"))})
+    marks = F.when(some, F.regexp_extract_all(text, F.lit(ANY), 1)).otherwise(none)
+    turned = pin(found, {"_turned": F.zip_with("_found", marks, lambda m, mark: pseudonym(m, F.coalesce(mark, F.lit("")) != "", key, sign))})
     gaps = F.split(text, ANY, -1)
-    spliced = F.array_join(F.zip_with(gaps, "_turned", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_turned", lambda a, b: a != b), lambda x: x))
+    spliced = F.array_join(F.zip_with(gaps, "_turned", lambda gap, new: F.concat(gap, F.coalesce(new["new"], F.lit("")))), "")
+    changed = F.aggregate(F.zip_with("_found", "_turned", lambda a, b: F.when(a != b["new"], b["n"]).otherwise(0)), F.lit(0), lambda n, x: n + x)
     out = turned.withColumns({text_col: F.when(F.size("_found") > 0, spliced).otherwise(text)} | ({count_col: changed.cast("long")} if count_col else {}))
     order = docs.columns + ([count_col] if count_col and count_col not in docs.columns else [])
     return out.select(*order)
@@ -227,5 +321,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
 def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The inverse of ``pseudonymise`` with the same key, for texts in which no pseudonym abuts on new digits or letters.
-    A day or month of one digit may come back with a zero before it."""
+    A day or month of one digit may come back with a zero before it; a run of over three card or account numbers amid other
+    digits may come back otherwise where its pseudonyms make other numbers valid."""
     return _replaced(docs, key, text_col, None, -1)

@@ -137,6 +137,23 @@ def test_pseudonyms(spark, nothing):
     assert pii.pseudonymise(nothing, "key").count() == 0
 
 
+def test_pseudonyms_beside_digits_and_words(spark):
+    card, iban = "4539 1488 0343 6467", "DE89 3704 0044 0532 0130 00"
+    cases = [(f"{card} 124", [card]), (f"{card} 12/26", [card]), ("12 4539148803436467", ["4539148803436467"]), (f"1234 {card}", [card]),
+             (f"{card} {card}", [card, card]), (f"{card} 10.20.30.40", [card, "10.20.30.40"]), (f"{card} 2025-01-31", [card, "2025-01-31"]),
+             (f"{iban} BIC COBADEFFXXX", [iban]), (f"{iban} EUR 500", [iban]), (f"AB12 {iban} EUR", [iban]), (f"ID42 {card} OK", [card]),
+             (f"{iban} {card}", [iban, card]), ("on 12/25/1990 at", ["12/25/1990"]), ("token=1234-5678-9012-3456-7890-12", ["1234-5678-9012-3456-7890-12"])]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    made = pii.pseudonymise(docs, "key")
+    out = {r.doc_id: r for r in made.collect()}
+    for k, (text, values) in enumerate(cases):
+        assert out[k].n_replaced == len(values) and not any(v in out[k].text for v in values), (text, out[k])
+        assert len(out[k].text) == len(text) or "10.20.30.40" in values  # an address may have other digits
+    assert out[7].text.endswith(" BIC COBADEFFXXX") and out[8].text.endswith(" EUR 500") and out[1].text.endswith(" 12/26")
+    assert luhn(out[0].text.replace(" ", "")[:16]) and out[0].text.endswith(" 124")
+    assert {r.doc_id: r.text for r in pii.restore(made, "key").collect()} == {k: text for k, (text, _) in enumerate(cases)}
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 

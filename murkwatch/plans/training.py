@@ -62,7 +62,7 @@ def _parts(d: Data):
 @query("trn7_model_candidates")
 def trn7(d: Data):
     train, _, test = _parts(d)
-    return tr.compare_models(train, test, tr.candidates(FEATS, trees=20))
+    return tr.compare_models(train, test, tr.candidates(FEATS))
 
 
 @query("trn8_calibration")

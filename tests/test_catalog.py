@@ -32,3 +32,12 @@ def test_runs(spark, name):
 def test_filters_reach_the_scan(spark):
     plan = entry.queries()["agg5_timeline"](spark, SF)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts" in plan and "props" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_model_candidates_are_those_of_the_operator(spark, monkeypatch):
+    from murkwatch.operators import training as tr
+
+    seen = {}
+    monkeypatch.setattr(tr, "compare_models", lambda train, test, models: seen.update(models))
+    entry.queries()["trn7_model_candidates"](spark, SF)
+    assert seen["RF"].getStages()[-1].getNumTrees() == 200 and seen["GBT"].getStages()[-1].getMaxIter() == 200

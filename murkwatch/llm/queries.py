@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, minhash, packing, pii, quality, recompress, rindex, token_counts
+from . import bpe, chat, clustering, exact, minhash, packing, pii, quality, recompress, rindex, sharding, token_counts, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,88 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rindex.remove_earlier(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"))
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """The seeds, ``rounds`` pairs of assignment and means, and the last assignment."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT kept.r, any_value(vec_id) AS vec_id, any_value(kept.v) AS v,
+         min(struct_pack(d := CAST(list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i]))) AS BIGINT), c := c{r}.c)) AS best
+  FROM kept CROSS JOIN c{r} GROUP BY kept.r)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(means.v, c{r}.v) AS v
+  FROM c{r} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t (i) GROUP BY best.c, i) GROUP BY c) means ON means.c = c{r}.c)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM kept QUALIFY c < 16),{",".join(steps)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.c = c{rounds}.c
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
+
+
+@query
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.shuffled(table(spark, folder, "documents").select("doc_id", "text"))
+    return placed.select(
+        "row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op13_conversation_trie"] = """
+WITH RECURSIVE turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 5 AS base, max(place) AS own,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: CAST(i AS BIGINT))),
+             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h
+  FROM turns GROUP BY c),
+lent AS (SELECT convs.*, least(h, coalesce(b.own, 0)) AS shared FROM convs LEFT JOIN (SELECT c AS base, own FROM convs) b USING (base)),
+rebuilt AS (
+  SELECT lent.c, place AS depth, role, text FROM lent JOIN turns ON turns.c = base WHERE place <= shared
+  UNION ALL
+  SELECT lent.c, place - h + shared, role, text FROM lent JOIN turns ON turns.c = lent.c WHERE place > h),
+paths AS (
+  SELECT c, depth, strlen(text) AS bytes, list(md5(role) || md5(text)) OVER (PARTITION BY c ORDER BY depth) AS path FROM rebuilt
+  UNION ALL
+  SELECT c, 0, 0, CAST([] AS VARCHAR[]) FROM convs),
+ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends FROM paths),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, any_value(bytes) AS bytes, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM ended GROUP BY path),
+kids AS (
+  SELECT nodes.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = nodes.depth + 1 AND k.path[:len(k.path) - 1] = nodes.path) AS n_children
+  FROM nodes LEFT JOIN nodes p ON nodes.depth = p.depth + 1 AND p.path = nodes.path[:len(nodes.path) - 1]),
+below AS (
+  SELECT top.path, count(*) FILTER (WHERE low.n_children = 0) AS n_leaves, sum((low.n_convs - 1) * low.bytes) AS saved_tokens
+  FROM kids top JOIN kids low ON low.depth >= top.depth AND low.path[:len(top.path)] = top.path GROUP BY top.path)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM kids JOIN below USING (path)
+"""

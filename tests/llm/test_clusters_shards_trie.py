@@ -152,10 +152,12 @@ def plain_trie(rows):
             members[tuple(turns[:d])].append(c)
     kids = Counter(path[:-1] for path in members if path)
     leaves, saved = Counter(), Counter()
-    for path, convs in members.items():
-        for d in range(len(path) + 1):
-            leaves[path[:d]] += not kids[path]
-            saved[path[:d]] += (len(convs) - 1) * (len(path[-1][1].encode()) if path else 0)
+    for path, convs in sorted(members.items(), key=lambda m: -len(m[0])):
+        leaves[path] += not kids[path]
+        saved[path] += (len(convs) - 1) * (len(path[-1][1].encode()) if path else 0)
+        if path:
+            leaves[path[:-1]] += leaves[path]
+            saved[path[:-1]] += saved[path]
     return sorted((convs[0], len(p), members[p[:-1]][0] if p else -1, len(convs), kids[p], leaves[p], saved[p],
                    hashlib.sha256(",".join(str(c) for c in convs if len(built[c]) == len(p)).encode()).hexdigest()) for p, convs in members.items())
 
@@ -167,7 +169,7 @@ def conversations(rng):
         rows += [(c, turn, rng.choice(["user", "assistant"]) if turn > 2 else "user", rng.choice(said[:3])) for turn in range(rng.randrange(1, 9))]
     rows += [(c, turn, "user", "common") for c in range(300, 420) for turn in range(3)]  # copies
     rows += [(70, None, "user", "b"), (70, None, "user", "a"), (70, 3, None, None), (70, 3, "user", "x" * 500), (70, 3, "user", "x" * 500), (None, 1, "user", "lost")]
-    rows += [(71, turn, "user", f"t{turn % 3}") for turn in range(2600)]  # one long conversation
+    rows += [(71, turn, "user", f"t{turn % 3}") for turn in range(1500)]  # one long conversation
     return rows
 
 

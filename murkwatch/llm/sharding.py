@@ -8,6 +8,8 @@ bucket begins is known before texts move, from a count of the same hashes, so te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -66,24 +68,42 @@ def shuffled(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: str = "d
     """
     rows = _scattered(docs, seed, id_col, text_col)
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    buckets = max(-(-total.bytes // bucket_bytes), -(-total.n // BUCKET_ROWS), 4 * shuffle_width(docs))
+    buckets = max(-(-total.bytes // bucket_bytes), -(-total.n // BUCKET_ROWS), 16 * shuffle_width(docs))
     n = total.n
+    kind = docs.schema.simpleString()
 
-    def run(key: tuple, held: pa.Table, start: pa.Table) -> pa.Table:
-        if start.num_rows != 1 or start.column("rows")[0].as_py() != held.num_rows:
+    def placed(bucket: int, start: int, rows: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        if table.num_rows != rows:
             raise RuntimeError("the documents came in another order when read again; give a stored table")
-        first = np.lexsort((held.column("_at").to_numpy(), held.column("_hash").to_numpy()))
-        order = first[fisher_yates(held.num_rows, np.random.default_rng([seed, key[0].as_py()]))]
-        at = start.column("start")[0].as_py() + np.arange(held.num_rows)
+        at = start + np.arange(rows)
         shard = at * shards // n
-        slot = at - -(-shard * n // shards)
-        return pa.table({"row": held.column("row").take(pa.array(order)), "size": held.column("size").take(pa.array(order)),
-                         "shard": pa.array(shard, pa.int32()), "slot": pa.array(slot, pa.int64())})
-
-    dealt = rows.select("row", "size", "_at", "_hash", _bucket(buckets))
-    kind = docs.schema.simpleString()
-    return dealt.groupBy("bucket").cogroup(_starts(rows, buckets).groupBy("bucket")).applyInArrow(
-        run, f"row {kind}, size long, shard int, slot long")
+        mixed = table.take(pa.array(fisher_yates(rows, np.random.default_rng([seed, bucket]))))
+        out = pa.table({"row": mixed.column("row"), "size": mixed.column("size"), "shard": pa.array(shard, pa.int32()),
+                        "slot": pa.array(at - -(-shard * n // shards), pa.int64())})
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            heads = np.flatnonzero(np.asarray(batch.column("start").is_valid()))
+            cuts = [*heads.tolist(), batch.num_rows]
+            if cuts[0]:
+                held.append(batch.slice(0, cuts[0]).select(["row", "size"]))
+            for head, end in zip(cuts, cuts[1:]):
+                if current is not None:
+                    yield placed(*current, held)
+                current = [batch.column(c)[head].as_py() for c in ("bucket", "start", "rows")]
+                held = [batch.slice(head + 1, end - head - 1).select(["row", "size"])]
+        if current is not None:
+            yield placed(*current, held)
+
+    # The line that tells where a bucket starts comes before its rows.
+    none = F.lit(None).cast("long")
+    heads = _starts(rows, buckets).select(F.lit(None).cast(kind).alias("row"), none.alias("size"), none.alias("_at"), none.alias("_hash"), "bucket", "start", "rows")
+    dealt = rows.select("row", "size", "_at", "_hash", _bucket(buckets), none.alias("start"), none.alias("rows")).unionByName(heads)
+    sorted_ = dealt.repartition(shuffle_width(docs), "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("start"), "_hash", "_at")
+    return sorted_.select("row", "size", "bucket", "start", "rows").mapInArrow(run, f"row {kind}, size long, shard int, slot long")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -102,7 +102,7 @@ def test_shards_hold_every_row_once(spark, docs, stored, tmp_path):
 
 def test_shuffle_equals_plain_form(spark, docs, nothing):
     """Buckets by the seeded hash, each in the order of hash and place, shuffled from its end, one behind the other."""
-    buckets = 16
+    buckets = 64
     rows = sharding._scattered(docs, 20, "doc_id", "text").select("row.doc_id", "_hash", "_at", sharding._bucket(buckets)).collect()
     by = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["_hash"], r["_at"])):

@@ -4,7 +4,8 @@ Two permutations make the whole signature: the first spreads shingles over posit
 coordinate k reads the value k places further round. Equal sets collapse first. In each band bucket nodes are compared
 with a centre, then with another one; what shares a component need not be compared again, so a bucket that a third of
 all rows share costs a few comparisons a row. Nodes of buckets that still hold several components then meet by a prefix
-filter over exact shingles, which loses no pair. Every link is confirmed on the full shingle sets.
+filter over exact shingles, which loses no pair: first with centres of a shingle, more each round, as links with
+them join most of what it holds, then with all that is left in other components. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut_lineage
-from .shared import id_and_text, small_batches
+from ..session import cut_lineage, drop_table
+from .shared import batches_of_bytes, id_and_text, small_batches
 
 BANDS, ROWS = 25, 5
 #: Positions of the circulant permutations.
@@ -132,40 +133,74 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
-def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of ``nodes`` (node, n, component) in different components whose sets could be similar enough.
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n, left): the prefixes of the sets of ``nodes`` (node, n).
 
     Prefix filter: with shingles ordered by how many nodes have them, rarest first, two similar sets share one among the
-    first n - ceil(n * percent / 100) + 1 of either. Positions bound the rest: at the first shingle two sets share, the
-    overlap is at most what follows in the shorter remainder, so edits of a node's own, which come first, exclude it from
-    what a large group has in common. Within a shingle, only nodes outside its most frequent component look for partners.
+    first n - ceil(n * percent / 100) + 1 of either. ``left`` counts what a set holds from the shingle on.
     """
     own = nodes.join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            lists = [np.frombuffer(raw, np.int64) for raw in batch.column(3).to_pylist()]
+        for batch in batches_of_bytes(batches):
+            lists = [np.frombuffer(raw, np.int64) for raw in batch.column(2).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(lists)), [len(names) for names in lists]))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(3)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))],
-                names=["node", "n", "component", "shingle"])
+                [*(batch.column(k).take(at) for k in range(2)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))],
+                names=["node", "n", "shingle"])
 
-    each = own.select("node", "n", "component", "shingles").mapInArrow(run, "node long, n long, component long, shingle long")
-    common = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("df > 1")
+    each = own.select("node", "n", "shingles").mapInArrow(run, "node long, n long, shingle long")
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     held = each.join(common, "shingle")
     order = Window.partitionBy("node").orderBy("df", "shingle")
     rare = F.col("n") - F.count("*").over(Window.partitionBy("node"))
     prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     ranked = held.withColumns({"place": F.row_number().over(order) + rare}).where(F.col("place") <= prefix)
-    ranked = cut_lineage(ranked.where("c0 < c1").select(
-        "shingle", "node", "n", "component", (F.col("n") - F.col("place") + 1).alias("left")))
-    counts = ranked.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+    return ranked.select("shingle", "node", "n", (F.col("n") - F.col("place") + 1).alias("left"))
+
+
+def _split(held: DataFrame, key: str) -> DataFrame:
+    """The rows of the keys that still hold several components."""
+    several = held.groupBy(key).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select(key)
+    return held.join(several, key)
+
+
+def _side(rows: DataFrame, letter: str) -> DataFrame:
+    return rows.select("shingle", F.col("node").alias(letter), *[F.col(c).alias(f"{c}_{letter}") for c in ("n", "component", "left")])
+
+
+def _fits(percent: int) -> Column:
+    """Whether two sets that first meet at a shingle can be similar: the overlap is what is left of the shorter rest at most."""
+    return (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+
+
+def _with_centres(live: DataFrame, percent: int, centres: int) -> DataFrame:
+    """Pairs of each node with about ``centres`` of its shingle, drawn by hash; one at least.
+
+    Of two sets that fit the smaller one also fits one of its own size, so centres are drawn from these.
+    """
+    able = (100 + percent) * F.col("left") >= 2 * percent * F.col("n")
+    drawn = live.withColumn("draw", F.when(able, F.pmod(F.xxhash64(F.lit(centres), "node"), F.lit(1 << 30))))
+    lots = drawn.groupBy("shingle").agg(F.count("draw").alias("m"), F.min("draw").alias("first")).where("m > 0")
+    chosen = (F.col("draw") == F.col("first")) | (F.col("draw") * F.col("m") < F.lit(centres << 30))
+    drawn = drawn.join(lots, "shingle").where(chosen)
+    return _side(live, "a").join(_side(drawn, "b"), "shingle").where((F.col("component_a") != F.col("component_b")) & _fits(percent))
+
+
+def _all_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a shingle that lie in different components: nodes outside its most frequent component meet all others."""
+    counts = live.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     most = counts.groupBy("shingle").agg(F.max(F.struct("m", "component"))["component"].alias("most"))
-    left = ranked.join(most, "shingle").where("component <> most").select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("left").alias("left_a"))
-    right = ranked.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("left").alias("left_b"))
-    # The overlap is least(left_a, left_b) at most, the union what the two sets hold without it.
-    fits = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    return left.join(right, "shingle").where((F.col("c_a") != F.col("c_b")) & fits)
+    outside = live.join(most, "shingle").where("component <> most")
+    return _side(outside, "a").join(_side(live, "b"), "shingle").where((F.col("component_a") != F.col("component_b")) & _fits(percent))
+
+
+def _pairs_ahead(live: DataFrame) -> tuple[int, int]:
+    """Rows of ``live``, and the rows that all pairs of its shingles would make."""
+    counts = live.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.sum("m").alias("all"), F.max("m").alias("most"))
+    product = (F.col("all") - F.col("most")).cast("decimal(19,0)") * F.col("all").cast("decimal(19,0)")
+    row = counts.agg(F.sum("all").alias("rows"), F.sum(product).alias("pairs")).first()
+    return int(row.rows or 0), int(row.pairs or 0)
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -174,6 +209,15 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after ``links`` (a, b). Only components that links touch take part in the rounds."""
+    left, right = (labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in ("a", "b"))
+    met = cut_lineage(links.join(left, "a").join(right, "b").where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
+    touched = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    roots = connected_components(touched, met).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return cut_lineage(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each input row.
 
@@ -197,31 +241,39 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "rep", "set_key")
     sets = cut_lineage(_sets(rows, wanted, size))
 
-    links, tested, labels = None, None, None
-    for centre in ("low", "high", None):
-        if centre == "low":
-            found = buckets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("low.node").alias("b"), F.col("low.n").alias("n_b"))
-        else:
-            # Only buckets that still hold several components go on.
-            held = buckets.join(labels, "node")
-            split = held.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band")
-            held = cut_lineage(held.join(split, "band"))
-            if held.isEmpty():
-                break
-            if centre == "high":
-                other = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-                found = (held.join(other, F.col("high.node") == F.col("_node")).where("component <> _component")
-                         .select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("high.node").alias("b"), F.col("high.n").alias("n_b")))
-            else:
-                found = _across(held.select("node", "n", "component").distinct(), sets, percent)
+    labels = nodes.select("node", F.col("node").alias("component"))
+    tested = None
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        """The links among pairs that were not tested before."""
+        nonlocal tested
         pairs = _near(found, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        fresh = cut_lineage(_linked(pairs, sets, percent))
+        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
-        links = fresh if links is None else links.union(fresh)
-        labels = cut_lineage(connected_components(nodes.select(F.col("node").alias("id")), links).withColumnRenamed("id", "node"))
+        return cut_lineage(_linked(pairs, sets, percent))
+
+    found = buckets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("low.node").alias("b"), F.col("low.n").alias("n_b"))
+    labels = _merged(labels, confirmed(found))
+    # Only buckets that still hold several components go on.
+    held = cut_lineage(_split(buckets.join(labels, "node"), "band"))
+    other = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    found = (held.join(other, F.col("high.node") == F.col("_node")).where("component <> _component")
+             .select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("high.node").alias("b"), F.col("high.n").alias("n_b")))
+    labels = _merged(labels, confirmed(found))
+    held = cut_lineage(_split(held.drop("component").join(labels, "node"), "band").select("node", "n").distinct())
+    live = cut_lineage(_split(_prefixes(held, sets, percent).join(labels, "node"), "shingle"))
+    # Links draw a shingle's components together, so nodes first meet one centre of it, then more, four times as many each round,
+    # as long as that takes fewer rows than all pairs of what is still apart. Shingles left with one component are done.
+    centres = 1
+    while True:
+        rows, ahead = _pairs_ahead(live)
+        if rows * centres >= ahead:
+            break
+        labels, centres, before = _merged(labels, confirmed(_with_centres(live, percent, centres))), 4 * centres, live
+        live = cut_lineage(_split(before.drop("component").join(labels, "node"), "shingle"))
+        drop_table(before)
+    if rows:
+        labels = _merged(labels, confirmed(_all_pairs(live, percent)))
 
     named = nodes.join(labels, "node").select("set_key", "rep", "component")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))

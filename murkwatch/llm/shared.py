@@ -19,6 +19,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(start, rows)
 
 
+def batches_of_bytes(batches: Iterator[pa.RecordBatch], most: int = 8 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows that hold about ``most`` bytes, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        step = max(1, min(rows, int(most / max(batch.nbytes / batch.num_rows, 1))))
+        yield from small_batches([batch], step)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names; null text becomes empty."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -1,6 +1,7 @@
 """Deduplication operators against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -83,6 +84,21 @@ def test_minhash_empty_table_and_pipeline_form(nothing, docs):
     assert minhash.keep_representatives(docs).columns == docs.columns
 
 
+def test_minhash_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Edits put pairs on both sides of the threshold; centres must join components without pairing the whole group."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.006 * (k % 6) else w for w in base)) for k in range(300)]
+    rows += [(1000 + k, " ".join(f"o{rng.randrange(400)}" for _ in range(60))) for k in range(40)]
+    rounds, pairs = [], []
+    centres, rest = minhash._with_centres, minhash._all_pairs
+    monkeypatch.setattr(minhash, "_with_centres", lambda live, percent, n: rounds.append(n) or centres(live, percent, n))
+    monkeypatch.setattr(minhash, "_all_pairs", lambda live, percent: pairs.append(rest(live, percent).count()) or rest(live, percent))
+    got = minhash.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_components(rows, 5, 80)
+    assert rounds[:2] == [1, 4] and sum(pairs) < 300 * 299 / 2
+
+
 def test_minhash_group_linked_through_others(spark):
     """A chain: each text is similar to the next one only, and all share buckets."""
     words = [f"w{k}" for k in range(400)]

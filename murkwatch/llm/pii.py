@@ -166,7 +166,7 @@ def _account(m: Column, key: str, sign: int) -> Column:
 
 def _spans(m: Column) -> Column:
     """(rank, start, less, size) of the valid card and account numbers of a run that don't overlap, by place. Of
-    overlapping ones the whole run goes first, then an account of its country's length, a card of a usual kind, and the
+    overlapping ones an account of its country's length goes first, then a card of a usual kind, the whole run, and the
     earlier and longer one."""
     at = lambda text, i: F.substr(text, i, F.lit(1))
 
@@ -175,8 +175,8 @@ def _spans(m: Column) -> Column:
 
         def rank(bare: Column) -> Column:
             whole = (start == 1) & (size == F.length(m))
-            account = (F.when(~_valid_account(bare), 9).when(whole, 0).when(bare.rlike(OWN_LENGTH), 1).when(bare.rlike(LISTED), 9).otherwise(3))
-            card = F.when(_let(bare, _luhn) % 10 != 0, 9).when(whole, 0).when(bare.rlike(USUAL), 2).otherwise(4)
+            account = (F.when(~_valid_account(bare), 9).when(bare.rlike(OWN_LENGTH), 1).when(whole, 3).when(bare.rlike(LISTED), 9).otherwise(4))
+            card = F.when(_let(bare, _luhn) % 10 != 0, 9).when(bare.rlike(USUAL), 2).when(whole, 3).otherwise(5)
             return F.when(part.rlike(f"^{CARD_SHAPE}$"), card).when(part.rlike(f"^{ACCOUNT_SHAPE}$"), account).otherwise(9)
 
         return F.struct(_let(bare, rank).alias("rank"), start.alias("start"), (-size).alias("less"), size.alias("size"))
@@ -204,28 +204,19 @@ def _spans(m: Column) -> Column:
 
 
 def _run(m: Column, key: str, sign: int) -> Column:
-    """(new, n): the run with its valid numbers replaced. The permutation is repeated until the same places are valid in
-    the outcome, at most 64 times, so that the inverse finds them; runs of over three numbers are permuted once."""
+    """(new, n): the run with its valid numbers replaced, each for itself."""
 
-    def moved(run: Column, spans: Column) -> Column:
+    def moved(spans: Column) -> Column:
         def part(held: Column, x: Column) -> Column:
-            value = F.substr(run, x["start"], x["size"])
+            value = F.substr(m, x["start"], x["size"])
             new = _let(value, lambda v: F.when(v.rlike("^[A-Z]"), _account(v, key, sign)).otherwise(_card(v, key, sign)))
-            return F.struct(F.concat(held["out"], F.substr(run, held["at"], x["start"] - held["at"]), new).alias("out"),
+            return F.struct(F.concat(held["out"], F.substr(m, held["at"], x["start"] - held["at"]), new).alias("out"),
                             (x["start"] + x["size"]).alias("at"))
 
         done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), part)
-        return _let(done, lambda d: F.concat(d["out"], F.substr(run, d["at"])))
+        return F.struct(_let(done, lambda d: F.concat(d["out"], F.substr(m, d["at"]))).alias("new"), F.size(spans).alias("n"))
 
-    def replaced(spans: Column) -> Column:
-        def step(held: Column, turn: Column) -> Column:
-            return F.when(held["same"], held).otherwise(_let(moved(held["run"], spans), lambda y: F.struct(
-                y.alias("run"), ((F.size(spans) > 3) | (_spans(y) == spans)).alias("same"))))
-
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(m.alias("run"), F.lit(False).alias("same")), step)
-        return F.struct(F.when(F.size(spans) > 0, walked["run"]).otherwise(m).alias("new"), F.size(spans).alias("n"))
-
-    return _let(_spans(m), replaced)
+    return _let(_spans(m), moved)
 
 
 def _phone(m: Column, key: str, sign: int) -> Column:
@@ -243,9 +234,26 @@ def _address(m: Column, key: str, sign: int) -> Column:
     return F.when(valid, _let(permuted_number(number, 65536, 65536, key, "address", sign), shown)).otherwise(m)
 
 
+def _late_days(offset: Column, first: Column) -> Column:
+    """Rank of a day among those after the 12th of their month."""
+    day = F.date_add(first, offset.cast("int"))
+    months = (F.year(day) - 1800) * 12 + F.month(day)
+    return (offset - 12 * months).cast("long")
+
+
+def _late_day(rank: Column, first: Column) -> Column:
+    """The day of this rank: months hold 16 to 19 such days, 88497 in 4800, so an estimate is off by a few months at most."""
+    guess = F.floor(rank * 4800 / 88497).cast("int")
+    months = F.sequence(F.greatest(guess - 3, F.lit(0)), guess + 3)
+    before = lambda i: F.datediff(F.add_months(first, i), first) - 12 * i
+    found = F.array_max(F.filter(months, lambda i: before(i) <= rank))
+    return _let(found, lambda i: F.date_add(F.add_months(first, i), (rank - before(i) + 12).cast("int")))
+
+
 def _date(m: Column, key: str, sign: int) -> Column:
     """Days of 1800 to 2199, one cycle of 146097 = 27 x 5411 days. What is no day as day/month/year is read as
-    month/day/year; it is permuted until its day is over 12 again, so that it can be read in one way only."""
+    month/day/year and becomes another day after the 12th, of which there are 88497 = 9 x 9833, so that it can be read in one
+    way only."""
     iso = m.rlike("^[0-9]{4}-")
     parts = F.split(m, r"[./\-]")
     us = ~iso & (parts[1].cast("int") > 12)
@@ -253,7 +261,7 @@ def _date(m: Column, key: str, sign: int) -> Column:
     month, day = F.when(us, parts[0]).otherwise(parts[1]), F.when(iso, parts[2]).when(us, parts[1]).otherwise(parts[0])
     parsed = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     first = F.lit("1800-01-01").cast("date")
-    offset = F.datediff(parsed, first)
+    offset = F.datediff(parsed, first).cast("long")
     two = lambda value, part: F.lpad(value.cast("string"), F.greatest(F.length(value.cast("string")), F.length(part)), "0")
     separator = F.regexp_extract(m, r"([./\-])", 1)
 
@@ -262,12 +270,9 @@ def _date(m: Column, key: str, sign: int) -> Column:
         return (F.when(iso, F.concat_ws("-", y, mo, d)).when(us, F.concat(mo, separator, d, separator, y))
                 .otherwise(F.concat(d, separator, mo, separator, y)))
 
-    def step(held: Column, turn: Column) -> Column:
-        again = (turn == 1) | (us & (F.day(F.date_add(first, held.cast("int"))) <= 12))
-        return F.when(again, permuted_number(held, 27, 5411, key, "date", sign)).otherwise(held)
-
-    moved = F.date_add(first, F.aggregate(F.sequence(F.lit(1), F.lit(64)), offset.cast("long"), step).cast("int"))
-    return F.when(offset.between(0, 146096), _let(moved, shown)).otherwise(m)
+    any_day = _let(permuted_number(offset, 27, 5411, key, "date", sign), lambda x: F.date_add(first, x.cast("int")))
+    late = _let(permuted_number(_late_days(offset, first), 9, 9833, key, "late date", sign), lambda x: _late_day(x, first))
+    return F.when(offset.between(0, 146096), _let(F.when(us, late).otherwise(any_day), shown)).otherwise(m)
 
 
 def _email(m: Column, key: str, sign: int) -> Column:
@@ -294,18 +299,19 @@ def pseudonym(m: Column, assigned: Column, key: str, sign: int = 1) -> Column:
 
 
 def _replaced(docs: DataFrame, key: str, text_col: str, count_col: str | None, sign: int) -> DataFrame:
-    text = F.col(text_col)
-    none = F.array().cast("array<string>")
-    found = pin(docs, {"_found": F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(none)})
-    some = F.size("_found") > 0
+    # The documents' own columns travel in one struct, so no name of theirs meets a helper column.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    text, none = F.col("text"), F.array().cast("array<string>")
+    found = pin(own, {"found": F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(none)})
+    some = F.size("found") > 0
     marks = F.when(some, F.regexp_extract_all(text, F.lit(ANY), 1)).otherwise(none)
-    turned = pin(found, {"_turned": F.zip_with("_found", marks, lambda m, mark: pseudonym(m, F.coalesce(mark, F.lit("")) != "", key, sign))})
+    turned = pin(found, {"turned": F.zip_with("found", marks, lambda m, mark: pseudonym(m, F.coalesce(mark, F.lit("")) != "", key, sign))})
     gaps = F.split(text, ANY, -1)
-    spliced = F.array_join(F.zip_with(gaps, "_turned", lambda gap, new: F.concat(gap, F.coalesce(new["new"], F.lit("")))), "")
-    changed = F.aggregate(F.zip_with("_found", "_turned", lambda a, b: F.when(a != b["new"], b["n"]).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    out = turned.withColumns({text_col: F.when(F.size("_found") > 0, spliced).otherwise(text)} | ({count_col: changed.cast("long")} if count_col else {}))
+    spliced = F.array_join(F.zip_with(gaps, "turned", lambda gap, new: F.concat(gap, F.coalesce(new["new"], F.lit("")))), "")
+    changed = F.aggregate(F.zip_with("found", "turned", lambda a, b: F.when(a != b["new"], b["n"]).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    made = {text_col: F.when(some, spliced).otherwise(text)} | ({count_col: changed.cast("long")} if count_col else {})
     order = docs.columns + ([count_col] if count_col and count_col not in docs.columns else [])
-    return out.select(*order)
+    return turned.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in order])
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_replaced") -> DataFrame:
@@ -313,14 +319,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     security and card number in ``text_col`` replaced, and ``count_col``: how many.
 
     One narrow stage without shuffle; the key reaches the executors in the plan. Null text stays null and counts 0, texts
-    without candidates stay byte for byte. A column named ``count_col`` is replaced; columns named ``_found`` or
-    ``_turned`` are not allowed.
+    without candidates stay byte for byte. A column named ``count_col`` is replaced; columns of any other name go along. A
+    value's pseudonym depends on its kind, the value and the key only. Which digits of a run of digit groups are a number is
+    found by check digits: an account of its country's length first, then a card of a usual kind, then others.
     """
     return _replaced(docs, key, text_col, count_col, 1)
 
 
 def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """The inverse of ``pseudonymise`` with the same key, for texts in which no pseudonym abuts on new digits or letters.
-    A day or month of one digit may come back with a zero before it; a run of over three card or account numbers amid other
-    digits may come back otherwise where its pseudonyms make other numbers valid."""
+    """The inverse of ``pseudonymise`` with the same key, for values that stand apart from other digits and upper-case words.
+    A day or month of one digit may come back with a zero before it. In a run of digit groups a pseudonym can make other
+    digits valid; such runs may not come back."""
     return _replaced(docs, key, text_col, None, -1)

@@ -17,8 +17,9 @@ from .shared import SPACES
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Measure: (least spread, whether it has a lower fence). Grid values: 0 to 1000.
-MEASURES = {"symbols": (20, False), "dup_lines": (100, False), "repeats": (65, False), "word_length": (20, True)}
+#: Measure: (least spread, least possible value, whether it has a lower fence). Grid values: 0 to 1000. Shares are per mille,
+#: word_length is in tenths of a character.
+MEASURES = {"symbols": (20, 0, False), "dup_lines": (100, 0, False), "repeats": (45, 0, False), "word_length": (5, 10, True)}
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -64,15 +65,17 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, low, high): quartiles of the merged sketch, three spreads out. A value's rank is exact on the grid."""
+    """(keys, measure, low, high): quartiles of the merged sketch, three spreads out, but no further than half the way to the
+    end of the scale, so that every fence can act. A value's rank is exact on the grid."""
     merged = sketch.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "all": F.sum("n").over(group)})
     quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("value")))
-    spread = F.element_at(F.create_map(*[F.lit(x) for name, (least, _) in MEASURES.items() for x in (name, least)]), F.col("measure"))
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for name, facts in MEASURES.items() for x in (name, facts[k])]), F.col("measure"))
     found = ranked.groupBy(*keys, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-    out = 3 * F.greatest(F.col("q3") - F.col("q1"), spread)
-    return found.select(*keys, "measure", (F.col("q1") - out).alias("low"), (F.col("q3") + out).alias("high"))
+    out = 3 * F.greatest(F.col("q3") - F.col("q1"), of(0))
+    low, high = F.ceil((F.col("q1") + of(1)) / 2).cast("int"), F.floor((F.col("q3") + 1000) / 2).cast("int")
+    return found.select(*keys, "measure", F.greatest(F.col("q1") - out, low).alias("low"), F.least(F.col("q3") + out, high).alias("high"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
@@ -86,21 +89,20 @@ def thresholds(measured: DataFrame) -> DataFrame:
     both = own.join(wide, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_measure")))
     of = lambda col, name: F.max(F.when(F.col("measure") == name, col))
     return both.groupBy("lang", "source").agg(
-        *[of(F.least("low", "_low"), name).alias(f"low_{name}") for name, (_, lower) in MEASURES.items() if lower],
+        *[of(F.least("low", "_low"), name).alias(f"low_{name}") for name, (*_, lower) in MEASURES.items() if lower],
         *[of(F.greatest("high", "_high"), name).alias(f"high_{name}") for name in MEASURES])
 
 
-def judged(measured: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def judged(measured: DataFrame) -> DataFrame:
     """``measured`` with kept: false for base_failed and for a measure outside its group's thresholds.
 
-    ``measured`` should be a stored table: it is read for the sketches and again for the verdicts. The thresholds are
-    counted first; they are broadcast up to ``broadcast_rows`` groups and joined by key beyond.
+    ``measured`` should be a stored table: it is read for the sketches and again for the verdicts. Adaptive execution
+    broadcasts the thresholds where they are small.
     """
     limits = cut_lineage(thresholds(measured).withColumnsRenamed({"lang": "_lang", "source": "_source"}))
-    side = F.broadcast(limits) if limits.count() <= broadcast_rows else limits
-    met = measured.join(side, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    met = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     outside: Column = F.lit(False)
-    for name, (_, lower) in MEASURES.items():
+    for name, (*_, lower) in MEASURES.items():
         outside = outside | (F.col(f"m_{name}") > F.col(f"high_{name}"))
         if lower:
             outside = outside | (F.col(f"m_{name}") < F.col(f"low_{name}"))

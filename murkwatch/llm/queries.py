@@ -102,11 +102,13 @@ long AS (
 own AS (
   SELECT lang, source, measure, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
 wide AS (SELECT lang, measure, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM long GROUP BY ALL),
-spread AS (SELECT * FROM (VALUES ('symbols', 20), ('dup_lines', 100), ('repeats', 65), ('word_length', 20)) t (measure, least_spread)),
+spread AS (SELECT * FROM (VALUES ('symbols', 20, 0), ('dup_lines', 100, 0), ('repeats', 45, 0), ('word_length', 5, 10)) t (measure, least_spread, least_value)),
 fences AS (
   SELECT own.lang, own.source, measure,
-         least(own.q1 - 3 * greatest(own.q3 - own.q1, least_spread), wide.q1 - 3 * greatest(wide.q3 - wide.q1, least_spread)) AS low,
-         greatest(own.q3 + 3 * greatest(own.q3 - own.q1, least_spread), wide.q3 + 3 * greatest(wide.q3 - wide.q1, least_spread)) AS high
+         least(greatest(own.q1 - 3 * greatest(own.q3 - own.q1, least_spread), CAST(ceil((own.q1 + least_value) / 2) AS BIGINT)),
+               greatest(wide.q1 - 3 * greatest(wide.q3 - wide.q1, least_spread), CAST(ceil((wide.q1 + least_value) / 2) AS BIGINT))) AS low,
+         greatest(least(own.q3 + 3 * greatest(own.q3 - own.q1, least_spread), (own.q3 + 1000) // 2),
+                  least(wide.q3 + 3 * greatest(wide.q3 - wide.q1, least_spread), (wide.q3 + 1000) // 2)) AS high
   FROM own JOIN spread USING (measure) JOIN wide USING (measure) WHERE own.lang IS NOT DISTINCT FROM wide.lang),
 refused AS (
   SELECT DISTINCT doc_id FROM long JOIN fences USING (measure)

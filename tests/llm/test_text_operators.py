@@ -1,6 +1,7 @@
 """Counting, encoding, packing, quality, pseudonyms and chat formatting against the libraries and plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -108,6 +109,25 @@ def test_quality_fences_follow_the_group(spark):
     assert kept == {r[0] for r in rows} - {200}
 
 
+def test_quality_fences_act_within_a_group(spark):
+    """Single letters and unusual repeats are refused, and so are doubled lines in a group that has many; clean ones stay."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeionrtsld") for _ in range(rng.randrange(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(80)), "en", "a") for i in range(200)]
+    rows += [(500, " ".join(rng.choice("bcdfghjklm") for _ in range(60)), "en", "a")]
+    phrase = [word() for _ in range(6)]
+    rows += [(501, " ".join([word() for _ in range(30)] + phrase + [word() for _ in range(32)] + phrase + [word() for _ in range(6)]), "en", "a")]
+    lines = lambda own: "\n".join([word() + " " + word() for _ in range(own)] + ["same line"] * (20 - own))
+    rows += [(600 + i, lines(rng.choice([6, 10, 14])), "de", "b") for i in range(60)] + [(700, "\n".join([f"{word()} {word()} {word()}"] * 2 + ["x y"] * 40), "de", "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.verdicts(table).where("kept").collect()}
+    counts = {r.doc_id: r for r in quality.verdicts(table).collect()}
+    assert 100 * counts[501].n_repeat_words <= 20 * counts[501].n_words and not counts[501].base_failed
+    assert kept & {500, 501, 700} == set() and {i for i, *_ in rows if i < 200} <= kept
+    fences = quality.thresholds(quality.measure(table))
+    assert fences.where("low_word_length <= 10 OR high_repeats >= 200 OR high_dup_lines >= 1000").count() == 0
+
+
 def luhn(digits):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -151,7 +171,38 @@ def test_pseudonyms_beside_digits_and_words(spark):
         assert len(out[k].text) == len(text) or "10.20.30.40" in values  # an address may have other digits
     assert out[7].text.endswith(" BIC COBADEFFXXX") and out[8].text.endswith(" EUR 500") and out[1].text.endswith(" 12/26")
     assert luhn(out[0].text.replace(" ", "")[:16]) and out[0].text.endswith(" 124")
-    assert {r.doc_id: r.text for r in pii.restore(made, "key").collect()} == {k: text for k, (text, _) in enumerate(cases)}
+    alone = spark.createDataFrame([(k, f"a {v}, b") for k, (_, values) in enumerate(cases) for v in values[:1]], "doc_id long, text string")
+    assert sorted(pii.restore(pii.pseudonymise(alone, "key", count_col=None), "key").collect()) == sorted(alone.collect())
+
+
+def test_one_card_has_one_pseudonym(spark):
+    """Whatever stands beside it: numbers, dates, words, other cards."""
+    card, flat = "4539 1488 0343 6467", "4539148803436467"
+    beside = [f"{{}} {n}" for n in range(100, 250)] + [f"qty {n} {{}}" for n in range(10, 99)] + [f"{{}} {m:02}/{y}" for m in range(1, 13) for y in range(24, 32)]
+    beside += [f"{m:02} {y} {{}}" for m in range(1, 13) for y in range(24, 31)] + [f"{{}}, {n}" for n in range(40)] + [f"W{n} {{}} OK" for n in range(40)] + ["{} {}"]
+    assert len(beside) >= 500
+    docs = spark.createDataFrame([(k, b.replace("{}", card)) for k, b in enumerate(beside)] + [(1000, card), (1001, flat)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs, "key").collect()}
+    new = out[1000]
+    assert new != card and luhn(new.replace(" ", "")) and out[1001] == new.replace(" ", "")
+    wrong = {b: out[k] for k, b in enumerate(beside) if out[k] != b.replace("{}", new)}
+    assert not wrong
+
+
+def test_month_day_dates_are_permuted_among_late_days(spark):
+    docs = spark.sql("SELECT id AS doc_id, date_add(DATE '1800-01-01', CAST(id AS INT)) AS day FROM range(146097)").where("day(day) > 12")
+    docs = docs.selectExpr("doc_id", "'on ' || date_format(day, 'MM/dd/yyyy') || ' at' AS text", "'x' AS found", "'y' AS row", "1 AS `turned`")
+    made = pii.pseudonymise(docs, "key", count_col=None).persist()
+    assert made.columns == docs.columns and made.select("text").distinct().count() == docs.count() == 88497
+    assert made.where("int(substr(text, 7, 2)) <= 12 OR found <> 'x' OR row <> 'y'").count() == 0
+    assert pii.restore(made, "key").exceptAll(docs).count() == 0
+    made.unpersist()
+
+
+def test_pseudonyms_of_a_long_text(spark):
+    text = " ".join(f"{k} 4539148803436467 {k % 28 + 1:02}.03.2001 a{k}@b.example" for k in range(3000))
+    out = pii.pseudonymise(spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string"), "key").collect()
+    assert [r.n_replaced for r in sorted(out, key=lambda r: r.doc_id)] == [9000, 9000, 0, 0] and "4539148803436467" not in out[0].text
 
 
 def test_feistel_is_a_permutation(spark):

@@ -62,6 +62,56 @@ def scale(df: DataFrame, features: list[str], fit_on: Column | None = None) -> D
     return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
+class PointTree:
+    """A k-d tree over fixed points: median cuts across the widest side down to leaves, which have bounding boxes.
+
+    A row's k-th distance within its nearest leaf bounds the search; other leaves are read if their box comes as near.
+    """
+
+    def __init__(self, at: np.ndarray, leaf: int = 128):
+        self.at, self.leaves, parts = at, [], [np.arange(len(at))] if len(at) else []
+        while parts:
+            part = parts.pop()
+            if len(part) <= leaf:
+                self.leaves.append(np.sort(part))
+                continue
+            side = np.argmax(np.ptp(at[part], axis=0))
+            part = part[np.argsort(at[part, side], kind="stable")]
+            parts += [part[:len(part) // 2], part[len(part) // 2:]]
+        self.low = np.array([at[part].min(axis=0) for part in self.leaves])
+        self.high = np.array([at[part].max(axis=0) for part in self.leaves])
+
+    def _gaps(self, own: np.ndarray, leaf: int, selves: np.ndarray) -> np.ndarray:
+        points = self.leaves[leaf]
+        gap = sum((own[:, i, None] - self.at[None, points, i]) ** 2 for i in range(own.shape[1]))
+        gap[selves[:, None] == points[None, :]] = np.inf
+        return gap
+
+    def nearest(self, own: np.ndarray, k: int, selves: np.ndarray) -> list[list[int]]:
+        """For each row the indexes of its ``k`` nearest points, nearest first, ties by index. ``selves`` holds the index of a row's own
+        point, which is left out, or -1."""
+        if not self.leaves or not k:
+            return [[] for _ in own]
+        # Rounding keeps order, so a box never seems farther than a point in it.
+        box = sum(np.maximum(np.maximum(self.low[None, :, i] - own[:, i, None], own[:, i, None] - self.high[None, :, i]), 0) ** 2 for i in range(own.shape[1]))
+        first, bound = box.argmin(axis=1), np.full(len(own), np.inf)
+        for leaf in np.unique(first):
+            rows = np.flatnonzero(first == leaf)
+            if len(self.leaves[leaf]) >= k:
+                bound[rows] = np.partition(self._gaps(own[rows], leaf, selves[rows]), k - 1, axis=1)[:, k - 1]
+        found = []
+        for leaf, points in enumerate(self.leaves):
+            rows = np.flatnonzero(box[:, leaf] <= bound)
+            if len(rows):
+                gap = self._gaps(own[rows], leaf, selves[rows])
+                r, c = np.nonzero((gap <= bound[rows, None]) & (gap < np.inf))
+                found.append((rows[r], gap[r, c], points[c]))
+        row, gap, point = (np.concatenate(parts) for parts in zip(*found))
+        order = np.lexsort((point, gap, row))
+        parts = np.split(point[order], np.searchsorted(row[order], np.arange(1, len(own))))
+        return [part[:k].tolist() for part in parts]
+
+
 def smote(df: DataFrame, key: str, label: str, features: list[str], minority: int = 1, k: int = 5,
           fit_points: int = 20_000, seed: str = SEED) -> DataFrame:
     """Append synthetic minority rows until both classes are equal.
@@ -81,17 +131,14 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], minority: in
     def nearest(batches):
         at, names, copies = known.value
         place = {name: i for i, name in enumerate(names)}
+        tree, spots = PointTree(at), at.tolist()
         for batch in batches:
             near = []
-            for start in range(0, batch.num_rows, 256):
-                ids = batch.column(0).slice(start, 256).to_pylist()
-                own = np.array(batch.column(1).slice(start, 256).to_pylist()).reshape(-1, len(features))
-                gap = sum((own[:, i, None] - at[None, :, i]) ** 2 for i in range(len(features)))
-                for row, name in enumerate(ids):
-                    if name in place:
-                        gap[row, place[name]] = np.inf
-                first = np.argsort(gap, axis=1, kind="stable")[:, :k]
-                near += [[at[i].tolist() for i in line for _ in range(min(copies[i], k)) if gap[row, i] < np.inf] for row, line in enumerate(first)]
+            for start in range(0, batch.num_rows, 2048):
+                ids = batch.column(0).slice(start, 2048).to_pylist()
+                own = batch.column(1).slice(start, 2048).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
+                selves = np.array([place.get(name, -1) for name in ids])
+                near += [[spots[i] for i in line for _ in range(min(copies[i], k))] for line in tree.nearest(own, k, selves)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.list_(pa.list_(pa.float64())))], names=["_pid", "_others"])
 
     others = points.select("_pid", "_x").mapInArrow(nearest, "_pid string, _others array<array<double>>")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,17 @@ def test_smote_balances_and_stays_between_neighbours(spark):
         F.count("*").alias("n"), F.min("y").alias("lo"), F.max("x").alias("hi")).collect()}
     assert r[(0, False)].n == 60 and r[(1, False)].n + r[(1, True)].n == 60
     assert r[(1, True)].lo == 1.0 and r[(1, True)].hi <= 0.5
+
+
+def test_nearest_points_equal_full_sort():
+    rng = np.random.default_rng(8)
+    for points, k in ((400, 5), (3, 5), (1, 2), (0, 3)):
+        at = rng.integers(0, 4, (points, 3)).astype(float)  # many ties
+        own = np.concatenate([at[:40], rng.normal(size=(30, 3))])
+        selves = [*range(len(at[:40])), *[-1] * 30]
+        want = []
+        for x, own_index in zip(own, selves):
+            gaps = sorted((((x - y) ** 2).sum(), i) for i, y in enumerate(at) if i != own_index)
+            want.append([i for _, i in gaps[:k]])
+        for leaf in (4, 64, 1000):
+            assert tr.PointTree(at, leaf).nearest(own, k, np.array(selves)) == want

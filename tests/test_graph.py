@@ -69,6 +69,25 @@ def test_clusters_equal_union_find(spark, texts):
     assert again == {c: r.campaign_id for c, r in ids.items()} and len(set(again.values())) == len(ids)
 
 
+def test_spanning_links_stay_few_in_a_hot_group(spark):
+    """Near copies of one text: components come from links with centres, not from the group's pairs."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(w if rng.random() > 0.04 else f"x{rng.randrange(500)}" for w in base) for _ in range(150)] + [" ".join(rng.choices([f"v{i}" for i in range(60)], k=12)) for _ in range(40)]
+    (vecs, _), vec = _setup(spark, texts)
+    labels, links = dna.linked_components(vecs, 0.5)
+    ids = sorted(r.vid for r in vecs.select("vid").collect())
+    pairs = [(a, b) for a, b in itertools.combinations(ids, 2) if _cos(vec[a], vec[b]) >= 0.5]
+    group = {k: k for k in ids}
+    for a, b in pairs:
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = {k: new if g == old else g for k, g in group.items()}
+    assert {r.vid: r.component for r in labels.collect()} == group
+    found = [(r.a, r.b) for r in links.collect()]
+    assert len(found) == len(set(found)) and set(found) <= set(pairs) 
+    assert len(found) < 4 * len(ids) and len(found) < len(pairs) / 5
+
+
 def test_dbscan_two_samples_equals_clusters(spark, texts):
     (vecs, members), _ = _setup(spark, texts)
     a = {(r.event_id, r.component) for r in dna.clusters(vecs, members, "event_id").collect()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as LB
@@ -158,6 +160,34 @@ def anonymize_map(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.transform_values(column, lambda k, v: LB.anonymize(v)))
 
 
+#: A string of a JSON text, with the colon if it is a key.
+JSON_STRING = r'"(?:[^"\\]++|\\.)*+":?'
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _redacted(text: Column) -> Column:
+    return reduce(lambda held, layer: _bound(held, lambda x: layer(x)), P.REDACTIONS, text)
+
+
+def anonymize_json(column: Column) -> Column:
+    """Apply all redactions to every string value inside a JSON text, at any depth; keys, numbers and structure stay.
+
+    The text is brought into canonical form first, so a string is a key exactly if a colon follows it. One pass without
+    levels, whatever the depth. Text that is not JSON is redacted as a plain string, null stays null.
+    """
+    def literal(m: Column) -> Column:
+        own = F.try_variant_get(F.parse_json(m), "$", "string")
+        json = F.to_json(F.array(_redacted(own)))
+        return F.when(m.endswith(":"), m).otherwise(_bound(json, lambda j: F.substr(j, F.lit(2), F.length(j) - 2)))
+
+    canonical = F.to_json(F.try_parse_json(column))
+    return F.when(canonical.isNull(), _redacted(column)).otherwise(_bound(canonical, lambda j: P.replace_matches(j, JSON_STRING, literal)))
+
+
 def pii_report(fields: DataFrame, source: str = "source") -> DataFrame:
     """Leak counts per source and code from rows (source, record_id, field, text)."""
     issues = leak_issues(fields.withColumn("record_id", F.struct(source, "record_id")))

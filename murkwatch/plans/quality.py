@@ -178,6 +178,31 @@ def red7_docs(d: Data):
     return out.select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("bigint").alias("n"))
 
 
+# Metadata as nested JSON; keys are in order, as the canonical form has them.
+_NESTED = """nested AS (SELECT id AS record_id, source, seq, to_json({'contacts': [meta_note, path_or_value], 'note': meta_note,
+  'owner': {'deep': {'deeper': [{'name': meta_owner, 'sources': [[source], [path_or_value]]}]}, 'seq': seq}}) AS js FROM {records}), leaves AS (
+  SELECT record_id, source, 'metadata' || substr(fullkey, 2) AS field, atom ->> '$' AS t FROM nested, json_tree(nested.js) WHERE type = 'VARCHAR')"""
+
+
+def _nested(d: Data):
+    return d.records.select("id", F.to_json(F.struct(
+        F.array("meta_note", "path_or_value").alias("contacts"), F.col("meta_note").alias("note"), F.struct(
+            F.struct(F.array(F.struct(F.col("meta_owner").alias("name"), F.array(F.array("source"), F.array("path_or_value")).alias("sources"))).alias("deeper")).alias("deep"),
+            F.col("seq").alias("seq")).alias("owner"))).alias("metadata"))
+
+
+@query("red7_nested_metadata", f"WITH {_NESTED}, {chain('leaves', 'record_id, field')} SELECT record_id, field, t AS text FROM t6")
+def red7_nested(d: Data):
+    redacted = _nested(d).select("id", ops.anonymize_json(F.col("metadata")).alias("metadata"))
+    return ops.flatten_json(redacted, "id", "metadata")
+
+
+@query("dq8_nested_leak_scan", f"WITH {_NESTED}, leaks AS (SELECT record_id, field, unnest({flags('t')}) AS code FROM leaves WHERE t <> '') "
+       "SELECT CASE code WHEN 'URL_QUERY_PARAMS' THEN 'info' ELSE 'warning' END AS severity, code, record_id, field FROM leaks")
+def dq8_nested(d: Data):
+    return ops.leak_issues(ops.flatten_json(_nested(d), "id", "metadata"))
+
+
 @query("red8_pii_report", f"WITH {FIELDS} SELECT source, code, count(*) AS n FROM leaks GROUP BY ALL")
 def red8(d: Data):
     recs = d.records.withColumn("metadata", F.create_map(F.lit("note"), F.col("meta_note"), F.lit("owner"), F.col("meta_owner")))

@@ -35,6 +35,29 @@ def test_nested_metadata_scan(spark):
     assert any(code == "LEAK_UPI_ID" and field.startswith("metadata.deep") for code, field in got)
 
 
+def test_nested_metadata_redaction(spark):
+    import json
+
+    deep = {"k": "a@corp.com"}
+    for _ in range(30):
+        deep = {"in": [deep, "é \\ \"x\" a@corp.com: b"]}
+    values = [{"mail@x.com": "a@corp.com", "n": 5, "t": True, "z": None, "list": ["987654321012", ["x"], {}]}, deep, "a@corp.com", [], 7]
+    rows = [(k, json.dumps(v)) for k, v in enumerate(values)] + [(10, "not json a@corp.com"), (11, None), (12, ""), (13, "{ \"a\" : \"a@corp.com\" , \"b\":\"x:y\"}")]
+    df = spark.createDataFrame(rows, "id int, j string")
+    got = {r.id: r.j for r in df.select("id", quality.anonymize_json(F.col("j")).alias("j")).collect()}
+
+    def plain(v):
+        if isinstance(v, dict):
+            return {k: plain(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [plain(x) for x in v]
+        return v.replace("a@corp.com", tag).replace("987654321012", utr) if isinstance(v, str) else v
+
+    tag, utr = spark.range(1).select(P.redact_emails(F.lit("a@corp.com")), P.redact_utrs(F.lit("987654321012"))).first()
+    assert all(json.loads(got[k]) == plain(v) for k, v in enumerate(values))
+    assert got[10] == f"not json {tag}" and got[11] is None and got[12] == "" and json.loads(got[13]) == {"a": tag, "b": "x:y"}
+
+
 def test_user_paths(spark):
     df = spark.createDataFrame([("1", "f", "/home/alice/x"), ("2", "f", "C:\\Users\\Public\\x"), ("3", "f", "c:\\users\\bob\\x")], "record_id string, field string, text string")
     assert {r.record_id for r in quality.leak_issues(df).where("code = 'LEAK_USERNAME'").collect()} == {"1", "3"}

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..session import bounded_stream, cut_lineage, shared_folder
 from ..streaming import drift, feed
 from . import inputs  # noqa: F401
 from .registry import Data, define_input, query
@@ -127,3 +128,30 @@ def str11(d: Data):
 def str13(d: Data):
     rows = d.events.select("event_id", "ts", (F.col("user_id") % 50).alias("client"))
     return feed.spacing_violations(rows, min_ms=600_000).select("event_id", "gap_ms")
+
+
+@query("str8_state_snapshot", """WITH nm AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY module) AS n FROM {error_stream})
+  SELECT module, any_value(n) AS n, count(*) FILTER (r > n - 500) AS window_n, CAST(sum(error) FILTER (r > n - 500) AS BIGINT) AS window_errors,
+  count(*) FILTER (r <= 500) AS baseline_n, CAST(sum(error) FILTER (r <= 500) AS BIGINT) AS baseline_errors FROM nm GROUP BY module""")
+def str8(d: Data):
+    """Detectors are stored half way, put into a new stream from that table, and go on to the end."""
+    errors = d.error_stream.select("module", F.col("ts").cast("timestamp").alias("ts"), "event_id", "error", F.lit(False).alias("reset"), F.lit(None).cast("string").alias("restore"))
+    cut = F.expr("TIMESTAMP '2024-01-16 00:00:00'")
+    order = ("ts", "event_id")
+    _, checkpoint = drift.run_signals(bounded_stream(errors.where(F.col("ts") < cut)), order)
+    half = cut_lineage(drift.state_snapshot(d.spark, checkpoint))
+    control = drift.restore_rows(half, cut - F.expr("INTERVAL 1 SECOND"))
+    rest = errors.where(F.col("ts") >= cut).unionByName(control, allowMissingColumns=True)
+    _, checkpoint = drift.run_signals(bounded_stream(rest), order)
+    return drift.state_snapshot(d.spark, checkpoint).select("module", "n", "window_n", "window_errors", "baseline_n", "baseline_errors")
+
+
+@query("str12_alert_fanout", """WITH a AS (SELECT event_id, lower(risk_level) AS severity FROM {fraud_events}) SELECT 'all' AS sink, severity, count(*) AS n FROM a GROUP BY ALL
+  UNION ALL SELECT 'urgent', severity, count(*) FROM a WHERE severity IN ('critical', 'high') GROUP BY ALL""")
+def str12(d: Data):
+    alerts = bounded_stream(d.fraud_events.select("event_id", F.lower("risk_level").alias("severity")))
+    folder = shared_folder(d.spark, "alerts")
+    feed.alert_fanout(alerts, f"{folder}/all", f"{folder}/urgent", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kind = "event_id string, severity string"
+    sinks = [d.spark.read.schema(kind).parquet(f"{folder}/{name}").select(F.lit(name).alias("sink"), "severity") for name in ("all", "urgent")]
+    return sinks[0].unionByName(sinks[1]).groupBy("sink", "severity").agg(F.count("*").alias("n"))

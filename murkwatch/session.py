@@ -76,3 +76,16 @@ def drop_table(df: DataFrame) -> None:
         if "/cut-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bounded_stream(df: DataFrame) -> DataFrame:
+    """``df`` as a stream that ends: a stored table, read by a streaming file source (use an available-now trigger)."""
+    stored = cut_lineage(df)
+    folder = {file.rsplit("/", 1)[0] for file in stored.inputFiles()}.pop()
+    return df.sparkSession.readStream.schema(stored.schema).parquet(folder)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -12,10 +12,10 @@ from collections import deque
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 
 SLICE_SECONDS = 21_600
 WINDOW = 500
@@ -310,10 +310,11 @@ SIGNAL = ("module string, ts timestamp, n long, adwin boolean, ph boolean, ddm b
 def drift_signals(errors: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Streaming drift signals per module, one output row per change of status.
 
-    errors: module, ts, error, and optionally ``reset`` (true on a control row after retraining,
-    which clears the module's state). State is one small value per module. A module's rows of a
-    micro-batch are put in order before they are read; the source's trigger limits bound them. Detection is sequential per key by nature: for more parallelism give
-    finer keys, for example module and source.
+    errors: module, ts, error, and optionally ``reset`` (true on a control row after retraining, which clears the module's
+    state) and ``restore`` (on a control row, a state as ``state_snapshot`` gives it, which replaces the module's). State is
+    one small value per module. A module's rows of a micro-batch are put in order before they are read, of equal ones
+    control rows first; the source's trigger limits bound them. Detection is sequential per key by nature: for more
+    parallelism give finer keys, for example module and source.
     """
     import json
 
@@ -321,12 +322,21 @@ def drift_signals(errors: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFr
 
     if "reset" not in errors.columns:
         errors = errors.withColumn("reset", F.lit(False))
+    if "restore" not in errors.columns:
+        errors = errors.withColumn("restore", F.lit(None).cast("string"))
+    columns = list(dict.fromkeys(["module", "ts", "error", "reset", "restore", *order]))
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         data = json.loads(state.get[0]) if state.exists else {}
         monitor, status = Monitor(data.get("monitor")), data.get("status", "stable")
         out = []
-        for row in pd.concat(list(chunks)).sort_values(list(order), kind="stable").itertuples():
+        rows = pd.concat(list(chunks))
+        control = rows["restore"].isna() & ~rows["reset"].fillna(False).astype(bool)
+        for row in rows.assign(control=control).sort_values([*order, "control"], kind="stable").itertuples():
+            if isinstance(row.restore, str):
+                held = json.loads(row.restore)
+                monitor, status = Monitor(held["monitor"]), held["status"]
+                continue
             if row.reset:
                 monitor, status = Monitor(), "stable"
                 continue
@@ -338,5 +348,42 @@ def drift_signals(errors: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFr
             yield pd.DataFrame(out).astype({"drift_detected_at": "Int64"})
         state.update((json.dumps({"monitor": monitor.state(), "status": status}),))
 
-    return errors.select("module", "ts", "error", "reset").groupBy("module").applyInPandasWithState(
+    return errors.select(*columns).groupBy("module").applyInPandasWithState(
         step, SIGNAL, "data string", "append", GroupStateTimeout.NoTimeout)
+
+
+def state_snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(module, state, n, status, drift_detected_at, window_n, window_errors, baseline_n, baseline_errors): the detectors of a
+    ``drift_signals`` stream as its checkpoint holds them, one row a module.
+
+    ``state`` is what a control row's ``restore`` takes, so a stream can go on from a stored snapshot with a new checkpoint.
+    """
+    kept = spark.read.format("statestore").load(checkpoint)
+    kind = ("status string, monitor struct<n: long, recent: array<int>, base: array<long>, drift_at: long>")
+    rows = kept.select(F.col("key.module").alias("module"), F.col("value.groupState.data").alias("state")).withColumn("s", F.from_json("state", kind))
+    m = F.col("s.monitor")
+    return rows.select(
+        "module", "state", m["n"].alias("n"), F.col("s.status").alias("status"), m["drift_at"].alias("drift_detected_at"),
+        F.size(m["recent"]).cast("long").alias("window_n"), F.aggregate(m["recent"], F.lit(0).cast("long"), lambda a, x: a + x).alias("window_errors"),
+        m["base"][0].alias("baseline_n"), m["base"][1].alias("baseline_errors"))
+
+
+def restore_rows(snapshot: DataFrame, at: Column) -> DataFrame:
+    """Control rows (module, ts, error, reset, restore) that set the detectors to a snapshot; ``at`` lies before the rows that follow."""
+    return snapshot.select("module", at.alias("ts"), F.lit(0).alias("error"), F.lit(False).alias("reset"), F.col("state").alias("restore"))
+
+
+def run_signals(errors: DataFrame, order: tuple[str, ...] = ("ts",), checkpoint: str | None = None) -> tuple[DataFrame, str]:
+    """(signals, checkpoint): runs ``drift_signals`` over what a bounded stream holds and waits for its end.
+
+    Signals are written to the shared folder by micro-batch, so a batch that runs again writes the same files anew.
+    """
+    spark = errors.sparkSession
+    path, checkpoint = shared_folder(spark, "signals"), checkpoint or shared_folder(spark, "drift")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream = drift_signals(errors, order).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(SIGNAL).parquet(path), checkpoint

@@ -16,6 +16,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,25 +71,67 @@ class PerfectHash:
         return self.seeds.tolist(), self.ids.tolist()
 
 
+def _ranges(chars: set[str]) -> str:
+    """The characters as the inside of a character class."""
+    codes, out = sorted(map(ord, chars)), []
+    for code in codes:
+        if out and out[-1][1] + 1 == code:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@cache
+def known_classes() -> tuple[dict[str, str], str]:
+    """Letters, numbers and white space as tiktoken's pattern engine knows them, and the characters that ``regex`` reads otherwise.
+
+    The two follow different versions of Unicode. An encoding of single bytes keeps what its pattern matches and drops the
+    rest, so it tells a class when it is asked for all characters.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    classes, disputed = {}, set()
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        told = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        known = set(bytes(told.encode_ordinary(every)).decode())
+        classes[name] = _ranges(known)
+        disputed |= known ^ set(regex.findall(name, every))
+    return classes, _ranges(disputed)
+
+
+def _with_classes(pattern: str, classes: dict[str, str]) -> str:
+    """``pattern`` with the classes written out, inside brackets and outside."""
+    out, inside = [], False
+    for part in regex.findall(r"\\p\{\w\}|\\.|.", pattern, flags=regex.DOTALL):
+        inside = part == "[" or inside and part != "]"
+        held = classes.get(part.lower() if part == r"\S" else part)
+        if held and part == r"\S" and inside:
+            raise ValueError("a negated class inside brackets is not supported")
+        out.append(part if held is None else held if inside else f"[{'^' if part == chr(92) + 'S' else ''}{held}]")
+    return "".join(out)
+
+
 class Codec:
     """Encoder and decoder over one vocabulary; built on the driver, used in tasks."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens, self.pattern = tokens, pattern
+        self.tokens, self.pattern, (self.classes, self.disputes) = tokens, pattern, known_classes()
         self.present = [i for i, token in enumerate(tokens) if token]
         self.hash = PerfectHash([tokens[i] for i in self.present])
         self.prepare()
 
     def __getstate__(self):
-        return self.tokens, self.pattern, self.present, self.hash
+        return self.tokens, self.pattern, self.classes, self.disputes, self.present, self.hash
 
     def __setstate__(self, state):
-        self.tokens, self.pattern, self.present, self.hash = state
+        self.tokens, self.pattern, self.classes, self.disputes, self.present, self.hash = state
         self.prepare()
 
     def prepare(self) -> None:
         self.memo = Memo(self.spaced, cache(self.ids_of))
         self.split = regex.compile(self.pattern).findall
+        self.disputed = regex.compile(f"[{self.disputes}]").search if self.disputes else lambda text: None
+        self.exact_split = regex.compile(_with_classes(self.pattern, self.classes)).findall
         self.seeds, slots = self.hash.tables()
         self.slot_ids = [self.present[i] for i in slots]
         # The merge step asks for pairs that mostly aren't tokens; it reads ranks from the vocabulary's own mapping.
@@ -144,7 +187,8 @@ class Codec:
 
     def part(self, text: str) -> bytes:
         """Ids of a text or part, each as four little-endian bytes."""
-        return b"".join(map(self.ids_of, self.split(text)))
+        split = self.split if text.isascii() or not self.disputed(text) else self.exact_split
+        return b"".join(map(self.ids_of, split(text)))
 
     def spaced(self, part: str) -> bytes:
         """Ids of a part with its space; letters alone are one pre-token."""

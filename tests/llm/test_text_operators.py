@@ -42,6 +42,20 @@ def test_bpe(docs, stored, nothing):
     assert set(docs.columns) <= set(both.columns) and bpe.encode(nothing, RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    """In four surroundings, against the library: its Unicode version decides what a letter, a number or a space is."""
+    tokens = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens) if t}, special_tokens={})
+    coder = bpe.codec(RANKS, P.PATTERN)
+    codes = [*range(0xD800), *range(0xE000, 0x110000)]
+    for form in ("{}'s ", " a{}b", "1{}2", " {} . "):
+        for start in range(0, len(codes), 40_000):
+            text = "|".join(form.format(chr(c)) for c in codes[start:start + 40_000])
+            if coder.encode(text) != np.array(library.encode_ordinary(text), dtype="<u4").tobytes():
+                wrong = [hex(c) for c in codes[start:start + 40_000] if coder.encode(form.format(chr(c))) != np.array(library.encode_ordinary(form.format(chr(c))), dtype="<u4").tobytes()]
+                raise AssertionError((form, wrong[:20], len(wrong)))
+
+
 def test_perfect_hash():
     coder = bpe.codec(RANKS, P.PATTERN)
     assert all(coder.whole(token) == i for i, token in enumerate(coder.tokens) if token)

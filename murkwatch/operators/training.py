@@ -8,13 +8,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_bits, md5_unit, pin, safe_div
 from ..session import cut_lineage
 from . import evaluation as ev
+from .isotonic import isotonic_apply, isotonic_blocks
 from .ranking import hash_rank
 
 SEED = "42"
@@ -203,9 +203,7 @@ def best_model(metrics: DataFrame) -> DataFrame:
 
 def calibrate_isotonic(held_out: DataFrame, target: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """Append calibrated: isotonic fit on held-out probabilities applied to ``target``."""
-    model = IsotonicRegression(featuresCol=p, labelCol=label, predictionCol="calibrated").fit(
-        held_out.select(F.col(p), F.col(label).cast("double").alias(label)))
-    return model.transform(target)
+    return isotonic_apply(target, isotonic_blocks(held_out, p, label), p)
 
 
 def calibrate_platt(held_out: DataFrame, target: DataFrame, label: str = "label", p: str = "p") -> DataFrame:

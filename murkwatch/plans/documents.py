@@ -103,10 +103,13 @@ define_input("layout_pages", _LPAGES)
 @query("doc9_layout_rules", """WITH f AS (SELECT doc_id, count(DISTINCT font) AS fc, count(DISTINCT round_even(size, 1)) AS sc FROM {spans} GROUP BY 1),
   p AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (blocks < 3) AS sparse, count(*) FILTER (blocks < 3 AND height > 400) AS gaps FROM {layout_pages} GROUP BY 1)
   SELECT doc_id, fc AS font_count, sc AS font_size_count, pages, sparse AS sparse_pages, gaps AS spacing_pages,
-  CASE WHEN fc > 3 THEN 15 ELSE 0 END + CASE WHEN sc > 5 THEN 10 ELSE 0 END + CASE WHEN sparse > 0 AND pages > 1 THEN 15 ELSE 0 END + CASE WHEN gaps > 0 THEN 10 ELSE 0 END AS layout_score
+  CASE WHEN fc > 3 THEN 15 ELSE 0 END + CASE WHEN sc > 5 THEN 10 ELSE 0 END + CASE WHEN sparse > 0 AND pages > 1 THEN 15 ELSE 0 END + CASE WHEN gaps > 0 THEN 10 ELSE 0 END AS layout_score,
+  array_to_string(list_filter([CASE WHEN fc > 3 THEN 'font_anomaly 15 Four or more typefaces share one document.' END, CASE WHEN sc > 5 THEN 'font_size_anomaly 8 Six or more letter sizes share one document.' END,
+    CASE WHEN sparse > 0 AND pages > 1 THEN 'sparse_text_layout 10 Some pages hold next to no blocks of text.' END, CASE WHEN gaps > 0 THEN 'suspicious_spacing 5 Some pages are mostly blank.' END], lambda x: x IS NOT NULL), '|') AS indicators
   FROM f FULL JOIN p USING (doc_id)""")
 def doc9(d: Data):
-    return ops.layout(d.spans, d.layout_pages).drop("indicators")
+    told = F.transform("indicators", lambda i: F.concat_ws(" ", i["rule"], i["score"].cast("string"), i["detail"]))
+    return ops.layout(d.spans, d.layout_pages).withColumn("indicators", F.array_join(told, "|"))
 
 
 @query("doc10_risk_score", f"WITH {RULED} SELECT doc_id, array_to_string(rules, '|') AS rules, risk_score, CASE WHEN risk_score <= 30 THEN 'CLEAN' WHEN risk_score <= 60 THEN 'SUSPICIOUS' ELSE 'HIGH' END AS risk_level, len(rules)::INT AS explanations FROM sc")

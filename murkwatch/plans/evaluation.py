@@ -364,11 +364,12 @@ def eva28(d: Data):
         F.count("*").alias("n"), *[F.round(F.avg(c), 8).alias(c) for c in [*_COLS, "utr_valid"]])
 
 
-@query("eva30_experiment_rollup", f"""WITH {RES}, m AS (SELECT module, {cells(TP_, PP_)}, count(*) AS support, avg(latency_ms) AS mean, quantile_cont(latency_ms, 0.95) AS p95, count(*) FILTER (({TP_}) <> ({PP_})) AS errors,
-  count(*) FILTER (known AND cl = label_a) / count(*) FILTER (known) AS ag FROM j GROUP BY 1) SELECT module, support, {mcols('accuracy', 'f1')}, round(mean, 9) AS mean, round(p95, 9) AS p95, round(ag, 9) AS agreement_rate, errors FROM m""")
+@query("eva30_experiment_rollup", f"""WITH {RES}, m AS (SELECT module, {cells(TP_, PP_)}, count(*) AS support, avg(latency_ms) AS mean, quantile_cont(latency_ms, 0.5) AS median, quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99, count(*) FILTER (({TP_}) <> ({PP_})) AS errors,
+  count(*) FILTER (known AND cl = label_a) / count(*) FILTER (known) AS ag FROM j GROUP BY 1) SELECT module, support, {mcols('accuracy', 'precision', 'recall', 'f1')}, round(mean, 9) AS mean, round(median, 9) AS median, round(p95, 9) AS p95, round(p99, 9) AS p99, round(ag, 9) AS agreement_rate, errors FROM m""")
 def eva30(d: Data):
     out = ev.experiment_rollup(d.predictions, _majority(d))
-    return r9(out.select("module", "support", "accuracy", "f1", "mean", "p95", "agreement_rate", "errors"), "accuracy", "f1", "mean", "p95", "agreement_rate")
+    rounded = ["accuracy", "precision", "recall", "f1", "mean", "median", "p95", "p99", "agreement_rate"]
+    return r9(out.select("module", "support", *rounded, "errors"), *rounded)
 
 
 @query("eva31_baseline_run", f"""WITH {CAND}, u AS (SELECT receipt_id, tamper_suspected AS y, lower(ocr_text) AS low, nutr, ocr_text FROM utr1), s AS (

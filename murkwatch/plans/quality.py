@@ -37,8 +37,8 @@ FIELDS = """fields AS (SELECT id AS record_id, source, 'path_or_value' AS field,
   SELECT record_id, source, field, unnest(""" + flags("text") + """) AS code FROM fields WHERE text <> '')"""
 
 
-def chain(source: str, key: str, steps=("email", "utr", "phone", "handle", "amount", "url")) -> str:
-    """CTEs t0..tn that redact column ``t`` of ``source`` step by step."""
+def chain(source: str, key: str, steps=("email", "utr", "phone", "handle", "amount", "url"), name: str = "t") -> str:
+    """CTEs <name>0..n that redact column ``t`` of ``source`` step by step."""
     rules = {
         "email": (P.EMAIL, f"'<EMAIL_HASH:' || substr(sha256(lower(m) || '{P.SALT}'), 1, 16) || '>'"),
         "utr": (P.UTR, f"'<UTR_HASH:' || substr(sha256(m || '{P.SALT}'), 1, 16) || '>'"),
@@ -46,7 +46,7 @@ def chain(source: str, key: str, steps=("email", "utr", "phone", "handle", "amou
         "handle": (P.HANDLE, f"'<UPI_ID_HASH:' || substr(sha256(lower(m) || '{P.SALT}'), 1, 16) || '>'"),
         "url": (P.URL, f"lower(split_part(m, '://', 1)) || '://' || regexp_extract(m, '^[^:]+://([^/?#]*)', 1) || CASE WHEN regexp_replace(regexp_extract(m, '^[^:]+://[^/?#]*(.*)$', 1), '^[?#]+$', '') = '' THEN '' ELSE '/<PATH_HASH:' || substr(sha256(m || '{P.SALT}'), 1, 16) || '>' END"),
     }
-    out = [f"t0 AS (SELECT {key}, t FROM {source})"]
+    out = [f"{name}0 AS (SELECT {key}, t FROM {source})"]
     for i, s in enumerate(steps):
         if s == "amount":
             expr = f"regexp_replace(t, '{P.AMOUNT}', '<AMOUNT>', 'g')"
@@ -54,7 +54,7 @@ def chain(source: str, key: str, steps=("email", "utr", "phone", "handle", "amou
             pat, rep = rules[s]
             expr = (f"array_to_string(list_transform(regexp_split_to_array(t, '{pat}'), lambda p, i: p || coalesce(list_transform("
                     f"regexp_extract_all(t, '{pat}'), lambda m: {rep})[i], '')), '')")
-        out.append(f"t{i + 1} AS MATERIALIZED (SELECT {key}, {expr} AS t FROM t{i})")
+        out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT {key}, {expr} AS t FROM {name}{i})")
     return ", ".join(out)
 
 

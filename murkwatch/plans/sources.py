@@ -8,7 +8,7 @@ from ..operators import evaluation as ev
 from ..session import ensure_checkpoint_dir
 from ..sources import datasets, manifests, stores
 from .evaluation import M, P, T, cells
-from .quality import BINARY, STRICT
+from .quality import BINARY, STRICT, chain
 from . import inputs  # noqa: F401
 from .registry import Data, query
 
@@ -22,14 +22,17 @@ def _raw(d: Data):
     return d.records.select("path_or_value", F.col("raw_label").alias("label"), "source", "meta_note")
 
 
-_REC = f"""SELECT DISTINCT 'rec_url_' || substr(sha256(path_or_value), 1, 12) AS id, path_or_value, {STRICT} AS label, source, meta_note AS note FROM {{records}} WHERE {STRICT} IS NOT NULL"""
+# Identifiers come from the raw value; value and note are redacted.
+_RAW = f"""raw AS (SELECT DISTINCT 'rec_url_' || substr(sha256(path_or_value), 1, 12) AS id, path_or_value AS t, {STRICT} AS label, source, meta_note AS note FROM {{records}} WHERE {STRICT} IS NOT NULL)"""
+_REC = f"""WITH {_RAW}, {chain('raw', 'id, label, source, note')}, {chain('(SELECT id, label, source, t AS path_or_value, note AS t FROM t6)', 'id, label, source, path_or_value', name='u')}
+  SELECT DISTINCT id, path_or_value, label, source, t AS note FROM u6"""
 
 
 @query("src1_ingest_csv", _REC)
 def src1(d: Data):
     path = _folder(d)
     _raw(d).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
-    out, _ = datasets.ingest_csv(d.spark, path, "URL", anonymize=False)
+    out, _ = datasets.ingest_csv(d.spark, path, "URL")
     return out.select("id", "path_or_value", "label", "source", F.element_at("metadata", "meta_note").alias("note")).distinct()
 
 
@@ -38,7 +41,7 @@ def src2(d: Data):
     path = _folder(d)
     _raw(d).write.json(path)
     out, _ = datasets.ingest_json(
-        d.spark, path, "URL", "path_or_value string, label string, source string, meta_note string", multi_line=False, anonymize=False)
+        d.spark, path, "URL", "path_or_value string, label string, source string, meta_note string", multi_line=False)
     return out.select("id", "path_or_value", "label", "source", F.element_at("metadata", "meta_note").alias("note")).distinct()
 
 

@@ -75,6 +75,21 @@ def trn8(d: Data):
     return iso.join(platt, "id")
 
 
+@query("trn8_isotonic_values", """WITH g AS (SELECT score_a / 100.0::DOUBLE AS p, count(*) AS n, sum(truth)::BIGINT AS s FROM {predictions} WHERE score_a % 2 = 1 GROUP BY 1),
+  c AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS cn, sum(s) OVER (ORDER BY p) AS cs FROM g),
+  m AS (SELECT a.i AS a, b.i AS b, (b.cs - coalesce(pa.cs, 0)) / (b.cn - coalesce(pa.cn, 0)) AS mean FROM c a JOIN c b ON a.i <= b.i LEFT JOIN c pa ON pa.i = a.i - 1),
+  lo AS (SELECT c.i, m.a, min(mean) AS least_mean FROM c JOIN m ON m.a <= c.i AND m.b >= c.i GROUP BY ALL), v AS (SELECT c.p, max(least_mean) AS v FROM c JOIN lo USING (i) GROUP BY 1),
+  t AS (SELECT score_b / 100.0::DOUBLE AS x, count(*) AS n FROM {predictions} GROUP BY 1)
+  SELECT x AS p, n, round(CASE WHEN b.p IS NULL THEN a.v WHEN b.p = x OR a.p IS NULL THEN b.v ELSE b.v + (a.v - b.v) * (x - b.p) / (a.p - b.p) END, 9) AS calibrated
+  FROM t ASOF LEFT JOIN v b ON t.x >= b.p ASOF LEFT JOIN v a ON t.x < a.p""")
+def trn8_values(d: Data):
+    """Fitted on the odd scores of one model, applied to all scores of the other; the twin has the max-min form of the fit."""
+    rows = d.predictions
+    held = rows.where("score_a % 2 = 1").select((F.col("score_a") / 100.0).alias("p"), F.col("truth").alias("label"))
+    out = tr.calibrate_isotonic(held, rows.select((F.col("score_b") / 100.0).alias("p")))
+    return out.groupBy("p").agg(F.count("*").alias("n"), F.round(F.max("calibrated"), 9).alias("calibrated"))
+
+
 @query("trn9_soft_vote", """SELECT record_id, round((score_a / 100.0::DOUBLE + score_b / 100.0::DOUBLE) / 2, 9) AS p, (round((score_a / 100.0::DOUBLE + score_b / 100.0::DOUBLE) / 2, 9) >= 0.5)::INT AS vote FROM {predictions}""")
 def trn9(d: Data):
     rows = d.predictions.select("record_id", (F.col("score_a") / 100.0).alias("pa"), (F.col("score_b") / 100.0).alias("pb"))

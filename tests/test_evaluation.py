@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murkwatch.operators import evaluation as ev
-from murkwatch.operators import ranking
+from murkwatch.operators import isotonic, ranking
 from murkwatch.operators import training as tr
 
 
@@ -110,3 +110,30 @@ def test_nearest_points_equal_full_sort():
             want.append([i for _, i in gaps[:k]])
         for leaf in (4, 64, 1000):
             assert tr.PointTree(at, leaf).nearest(own, k, np.array(selves)) == want
+
+
+@pytest.mark.parametrize("rise, n, least", [(0.2, 2000, 40), (-1.0, 800, 4096), (0.0, 0, 4096)])
+def test_isotonic_blocks_equal_the_sequential_rule(spark, monkeypatch, rise, n, least):
+    monkeypatch.setattr(isotonic, "RANGE", least)  # small ranges: borders must be settled
+    rng = random.Random(6)
+    rows = [(round(rng.random(), 3), 0) for _ in range(n)]
+    rows = [(p, int(rng.random() < min(max(0.5 + rise * (p - 0.5), 0), 1))) for p, _ in rows] + [(0.5, 1)] * (n // 2)
+    sums = {}
+    for p, y in rows:
+        a, b = sums.get(p, (0, 0))
+        sums[p] = a + 1, b + y
+    held = []
+    for p in sorted(sums):
+        block = [p, p, *sums[p]]
+        while held and held[-1][3] * block[2] >= block[3] * held[-1][2]:
+            last = held.pop()
+            block = [last[0], block[1], last[2] + block[2], last[3] + block[3]]
+        held.append(block)
+    df = spark.createDataFrame(rows + [(None, 1), (0.1, None)], "p double, label int").repartition(5)
+    blocks = isotonic.isotonic_blocks(df)
+    assert sorted(map(list, blocks.collect())) == held
+    target = spark.createDataFrame([(k / 977 - 0.01, k) for k in range(1000)] + [(None, -1)], "p double, k int")
+    got = {r.k: r.calibrated for r in isotonic.isotonic_apply(target, blocks).collect()}
+    ends = [(x, b[3] / b[2]) for b in held for x in b[:2]]
+    want = np.interp([k / 977 - 0.01 for k in range(1000)], *zip(*ends)) if ends else [None] * 1000
+    assert len(got) == 1001 and got[-1] is None and [got[k] for k in range(1000)] == (pytest.approx(list(want)) if ends else want)

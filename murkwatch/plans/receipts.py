@@ -177,14 +177,16 @@ def rcp14(d: Data):
   len(regexp_extract_all(low, '\d{1,2}[/-]\d{1,2}[/-]\d{2,4}'))::DOUBLE AS ocr_dates,
   (ref <> '')::INT::DOUBLE AS utr_present, length(ref)::DOUBLE AS utr_length, regexp_matches(ref, '^\d{12}$')::INT::DOUBLE AS utr_twelve_digits,
   (ref <> '' AND ((position('utr' IN low) > 0 AND position('utr' IN low) <= at_ + 5) OR (position('ref' IN low) > 0 AND position('ref' IN low) <= at_ + 5)
-    OR (position('txn' IN low) > 0 AND position('txn' IN low) <= at_ + 5) OR (position('transaction id' IN low) > 0 AND position('transaction id' IN low) <= at_ + 5)))::INT::DOUBLE AS utr_labelled FROM w""")
+    OR (position('txn' IN low) > 0 AND position('txn' IN low) <= at_ + 5) OR (position('transaction id' IN low) > 0 AND position('transaction id' IN low) <= at_ + 5)))::INT::DOUBLE AS utr_labelled,
+  CASE WHEN ocr_text = '' THEN 0 ELSE coalesce(ocr_confidence, 0) END::DOUBLE AS ocr_confidence_value, 0::DOUBLE AS ocr_low_conf_ratio,
+  contains(low, 'paid to')::INT::DOUBLE AS has_paid_to, contains(low, 'received by')::INT::DOUBLE AS has_received_by, contains(low, 'successful')::INT::DOUBLE AS has_successful,
+  (contains(ocr_text, '₹') OR contains(low, 'rs.'))::INT::DOUBLE AS has_currency, regexp_matches(ref, '^T\d+$')::INT::DOUBLE AS utr_t_form,
+  (regexp_matches(ref, '[a-zA-Z]') AND regexp_matches(ref, '\d'))::INT::DOUBLE AS utr_mixed, (ref <> '')::INT::DOUBLE AS utr_length_ok, (ref <> '')::INT::DOUBLE AS utr_likely_real FROM w""")
 def rcp15(d: Data):
     t = F.col("ocr_text")
     rows = pin(d.receipts, {"ref": F.regexp_extract(t, r"\b([a-zA-Z0-9]{10,18})\b", 1)})
     cols = {**R.ocr_features(t, F.col("ocr_confidence")), **R.utr_features(t, F.col("ref"))}
-    keep = ["ocr_length", "ocr_words", "ocr_digits", "ocr_handles", "ocr_amounts", "ocr_dates",
-            "utr_present", "utr_length", "utr_twelve_digits", "utr_labelled"]
-    return rows.select("receipt_id", *[cols[k].alias(k) for k in keep])
+    return rows.select("receipt_id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query("rcp16_baseline_features", r"""WITH b AS (SELECT *, lower(ocr_text) AS low FROM {receipts})

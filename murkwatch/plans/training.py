@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hit_rules
 from ..operators import documents as docs
 from ..operators import training as tr
 from ..session import cut_lineage
@@ -111,11 +110,15 @@ def trn11(d: Data):
     return tr.feature_importance(model.stages[-1], FEATS, d.spark)
 
 
-@query("trn12_instruction_rows", f"""WITH {RULED} SELECT doc_id, 'DOCUMENT FORENSIC SCAN REPORT:' || chr(10) || '- Subject: ' || filename || chr(10) || '- Risk Score: ' || risk_score AS head, len(rules)::INT AS k,
-  'VERDICT: ' || CASE WHEN risk_score > 60 THEN 'FRAUDULENT' WHEN risk_score > 30 THEN 'SUSPICIOUS' ELSE 'GENUINE' END || chr(10) || 'CONFIDENCE: ' || greatest(risk_score, 100 - risk_score) || '%' || chr(10) || 'INDICATORS: ' || len(rules) AS output FROM sc""")
+@query("trn12_instruction_rows", f"""WITH {RULED}, told AS (SELECT *, array_to_string(list_transform(rules, lambda r: r || ': ' || CASE r WHEN 'suspicious_editor' THEN 'Made or changed with an image editor.'
+    WHEN 'metadata_mismatch' THEN 'Created and modified at different times.' WHEN 'blank_author' THEN 'The author is empty.' WHEN 'encrypted_pdf' THEN 'Encrypted file.'
+    ELSE 'Scam wording: ' || array_to_string(phrases, ', ') || '.' END), ', ') AS lines FROM sc)
+  SELECT doc_id, '{tr.INSTRUCTION}' AS instruction, 'DOCUMENT FORENSIC SCAN REPORT:' || chr(10) || '- Subject: ' || filename || chr(10) || '- Risk Score: ' || risk_score || chr(10) || '- Indicators: ' || lines AS input,
+  'VERDICT: ' || CASE WHEN risk_score > 60 THEN 'FRAUDULENT' WHEN risk_score > 30 THEN 'SUSPICIOUS' ELSE 'GENUINE' END || chr(10) || 'CONFIDENCE: ' || greatest(risk_score, 100 - risk_score) || '%' || chr(10) || 'INDICATORS: ' || len(rules) AS output FROM told""")
 def trn12(d: Data):
+    # Fixed value: the title of the report.
     out = tr.instruction_rows(docs.analyze(d.docs), "DOCUMENT FORENSIC SCAN REPORT", "filename")
-    return out.select("doc_id", F.substring_index("input", "\n- Indicators", 1).alias("head"), F.size(hit_rules("indicators")).alias("k"), "output")
+    return out.select("doc_id", "instruction", "input", "output")
 
 
 _REPORT = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'verdict: FRAUD' || chr(10) || 'CONFIDENCE: ' || (doc_id % 100) || '%' || chr(10) || 'ATTACK_TYPE: ' || source || chr(10) || 'ANALYST_NOTE: see: file'

@@ -72,15 +72,16 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, conv_col:
     base = F.when(F.col("_led") == 1, first["tokens"]).otherwise(F.lit(0)).cast("long")
     begun = F.struct(base.alias("base"), F.array(F.lit(1)).alias("starts"))
     spans = pin(held, {"_starts": F.aggregate("turns", begun, span)["starts"]})
-    each = spans.select("conv_id", "turns", "_led", "_starts", F.posexplode("_starts").alias("window", "_from"))
-    until = F.coalesce(F.try_element_at("_starts", F.col("window") + 2), F.size("turns") + 1)
-    each = each.withColumn("_new", F.slice("turns", F.col("_from"), until - F.col("_from")))
-
-    lowest = F.greatest(F.col("_led") + 1, F.col("_from") - F.lit(history))  # a turn has a token at least
-    past = F.slice("turns", lowest, F.greatest(F.lit(0), F.col("_from") - lowest))
-    reach = F.element_at("_new", 1)["before"] - history
-    repeated = F.concat(F.slice("turns", 1, F.col("_led")), F.filter(past, lambda t: t["before"] >= reach))
-    each = pin(each, {"_old": F.when(F.col("window") == 0, F.slice("turns", 1, 0)).otherwise(repeated)})
+    def cut(start: Column, i: Column) -> Column:
+        """The repeated and the new turns of window ``i``: only these go on, not the whole conversation."""
+        until = F.coalesce(F.try_element_at("_starts", i + 2), F.size("turns") + 1)
+        lowest = F.greatest(F.col("_led") + 1, start - F.lit(history))  # a turn has a token at least
+        past = F.slice("turns", lowest, F.greatest(F.lit(0), start - lowest))
+        reach = F.element_at("turns", start)["before"] - history
+        repeated = F.concat(F.slice("turns", 1, F.col("_led")), F.filter(past, lambda t: t["before"] >= reach))
+        return F.struct(F.when(i == 0, F.slice("turns", 1, 0)).otherwise(repeated).alias("_old"), F.slice("turns", start, until - start).alias("_new"))
+
+    each = spans.select("conv_id", F.posexplode(F.transform("_starts", cut)).alias("window", "_cut")).select("conv_id", "window", "_cut.*")
 
     def mask(acc: Column, t: Column) -> Column:
         target = F.array(F.struct((acc["at"] + t["skip"]).alias("start"), t["chars"].alias("length")))

@@ -246,3 +246,17 @@ def test_chat(spark):
     system = [r for r in windows.collect() if r.conv_id == 1]
     assert all(r.text.startswith("<<SYS>>") for r in system) and len(system) > 1
     assert chat.windows(turns.limit(0)).count() == 0
+
+
+def test_chat_windows_carry_their_own_turns_only(spark):
+    """Time grows with the turns: what leaves the cutting holds slices, not a conversation a window."""
+    import time
+
+    took = []
+    for n in (4000, 4000, 8000, 16000):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, ' says something of some length') AS text", "'x' AS turns", "7 AS window", "8 AS place")
+        begun = time.perf_counter()
+        read = chat.read_back(chat.windows(turns)).first()
+        took.append(time.perf_counter() - begun)
+        assert len(read.turns) == n and read.turns[n - 1].text == f"turn {n - 1} says something of some length"
+    assert took[3] < 3 * took[2] + 1

@@ -6,9 +6,9 @@ import __spark_entry__ as entry
 from murkwatch.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-# No SQL twin: IDN encoding, model fits, p values, general DBSCAN.
+# No SQL twin: IDN encoding, model fits, p values.
 ROWS_ONLY = {
-    "url6_punycode_hosts", "eva11_delong_p_value", "eva12_mcnemar_p_value", "dna5_dbscan_core_points",
+    "url6_punycode_hosts", "eva11_delong_p_value", "eva12_mcnemar_p_value",
     "trn3_smote", "trn7_model_candidates", "trn8_calibration", "trn10_meta_learner", "trn11_feature_importance",
     "eva21_module_ablation", "eva22_feature_group_ablation", "eva23_class_balance_ablation", "eva24_cross_dataset_grid", "eva29_hardening",
 }

@@ -253,10 +253,10 @@ def test_chat_windows_carry_their_own_turns_only(spark):
     import time
 
     took = []
-    for n in (4000, 4000, 8000, 16000):
+    for n in (4000, 8000, 8000, 32000):
         turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, ' says something of some length') AS text", "'x' AS turns", "7 AS window", "8 AS place")
         begun = time.perf_counter()
         read = chat.read_back(chat.windows(turns)).first()
         took.append(time.perf_counter() - begun)
         assert len(read.turns) == n and read.turns[n - 1].text == f"turn {n - 1} says something of some length"
-    assert took[3] < 3 * took[2] + 1
+    assert took[3] < 6 * took[2] + 3  # four times the turns; with whole conversations it was over twelve times

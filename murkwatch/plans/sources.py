@@ -45,6 +45,63 @@ def src2(d: Data):
     return out.select("id", "path_or_value", "label", "source", F.element_at("metadata", "meta_note").alias("note")).distinct()
 
 
+def _one_file_each(rows, path: str, extension: str) -> None:
+    """A file of one line for each row (folder, line), in a folder of that name."""
+    rows.write.partitionBy("folder").option("maxRecordsPerFile", 1).option("extension", extension).option("quote", "").csv(path)
+
+
+# One file for each document; the folder is the label. Names of files are Spark's own, so keys that contain them stay out.
+_FOLDER = "CASE doc_id % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'forged' WHEN 2 THEN 'Fraud' WHEN 3 THEN lang ELSE 'genuine' END"
+
+
+@query("src3_directory_scan", f"""WITH f AS (SELECT {_FOLDER} AS parent_folder, 'file-' || doc_id AS line FROM {{documents}}), l AS (
+  SELECT *, CASE WHEN upper(parent_folder) IN ('CLEAN', 'SUSPICIOUS', 'HIGH') THEN upper(parent_folder) WHEN upper(parent_folder) = 'FRAUD' THEN 'HIGH' END AS known FROM f)
+  SELECT 'DOCUMENT' AS dataset_type, coalesce(known, 'SUSPICIOUS') AS label, parent_folder, (strlen(line) + 1)::VARCHAR AS size_bytes, known IS NOT NULL AS label_inferred, count(*) AS n FROM l GROUP BY ALL""")
+def src3(d: Data):
+    path = _folder(d)
+    _one_file_each(d.documents.selectExpr(f"{_FOLDER} AS folder", "'file-' || doc_id AS line"), path, "txt")
+    out = datasets.ingest_directory(d.spark, path)
+    meta = [F.element_at("metadata", k).alias(k) for k in ("parent_folder", "size_bytes")]
+    return out.select("dataset_type", "label", *meta, "label_inferred").groupBy(
+        "dataset_type", "label", "parent_folder", "size_bytes", "label_inferred").agg(F.count("*").alias("n"))
+
+
+_RECEIPT = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'genuine' WHEN 1 THEN 'forged_font' WHEN 2 THEN 'tampered' ELSE 'unsorted' END AS folder,
+  CASE page_id % 7 WHEN 0 THEN ' Clean ' WHEN 1 THEN 'FORGED' WHEN 2 THEN 'unclear' WHEN 3 THEN '1' ELSE NULL END AS label,
+  'Paid Rs. ' || (page_id % 900) || ' to shop' || page_id || '@okaxis UTR ' || lpad(CAST(page_id AS STRING), 12, '4') || ' from ' || url AS ocr FROM {pages}"""
+
+
+@query("src7_receipt_directory", f"""WITH r AS ({_RECEIPT}), {chain("(SELECT page_id, ocr AS t FROM r WHERE page_id % 3 <> 0)", "page_id")}
+  SELECT r.page_id, CASE WHEN r.page_id % 3 <> 0 AND lower(trim(label)) = 'clean' THEN 'CLEAN' WHEN r.page_id % 3 <> 0 AND lower(trim(label)) IN ('forged', '1') THEN 'HIGH'
+    WHEN folder = 'genuine' THEN 'CLEAN' WHEN folder = 'unsorted' THEN 'SUSPICIOUS' ELSE 'HIGH' END AS label, folder AS parent_folder, t6.t AS ocr_text
+  FROM r LEFT JOIN t6 ON t6.page_id = r.page_id""")
+def src7(d: Data):
+    """Images by name; two of three have a row in the label table, which is built from what each file says it is."""
+    path = _folder(d)
+    rows = d.sql(_RECEIPT)
+    for folder in ("genuine", "forged_font", "tampered", "unsorted"):  # a job each, so no two files have one name
+        _one_file_each(rows.where(F.col("folder") == folder).selectExpr("folder", "CAST(page_id AS STRING) AS line"), f"{path}/{folder}", "png")
+    files = d.spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("value").cast("long").alias("page_id"))
+    named = files.join(rows.where("page_id % 3 <> 0").select("page_id", "label", F.col("ocr").alias("ocr_text")), "page_id")
+    out = datasets.receipt_directory(d.spark, path, named.select("file_name", "label", "ocr_text"))
+    return out.withColumn("file_name", F.element_at("metadata", "filename")).join(files.select("file_name", "page_id"), "file_name").select(
+        "page_id", "label", F.element_at("metadata", "parent_folder").alias("parent_folder"), F.element_at("metadata", "ocr_text").alias("ocr_text"))
+
+
+@query("src8_document_directory", f"""SELECT CASE lower(parent_folder) WHEN 'clean' THEN 'CLEAN' WHEN 'forged' THEN 'HIGH' ELSE 'SUSPICIOUS' END AS label, parent_folder, (strlen(line) + 1)::VARCHAR AS size_bytes, count(*) AS n
+  FROM (SELECT {_FOLDER} AS parent_folder, doc_id || ' ' || source AS line FROM {{documents}} WHERE doc_id % 3 <> 0) GROUP BY ALL""")
+def src8(d: Data):
+    """Scans of two types; a third of the files has a type that is not taken."""
+    path = _folder(d)
+    rows = d.documents.selectExpr("doc_id", f"{_FOLDER} AS folder", "doc_id || ' ' || source AS line")
+    for rest, extension in ((0, "log"), (1, "pdf"), (2, "jpg")):
+        _one_file_each(rows.where(F.col("doc_id") % 3 == rest).drop("doc_id"), f"{path}/{extension}", extension)
+    out = datasets.forensic_directory(d.spark, path)
+    return out.select("label", *[F.element_at("metadata", k).alias(k) for k in ("parent_folder", "size_bytes")]).groupBy(
+        "label", "parent_folder", "size_bytes").agg(F.count("*").alias("n"))
+
+
 @query("src4_encodings", "SELECT 'Stra\u00dfe \u00e9 ' || source || ' ' || doc_id AS line, CASE doc_id % 2 WHEN 0 THEN 'utf' ELSE 'latin' END AS folder FROM {documents}")
 def src4(d: Data):
     path = _folder(d)

@@ -86,11 +86,15 @@ def read_lines_any_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, parent, extension, size) of all files below ``path``; contents are not read."""
+    """(path, name, parent, extension, size) of all files below ``path``; contents are not read.
+
+    Of a folder written as key=value, as partitioned tables have, the parent is the value.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
     name = F.substring_index("path", "/", -1)
     return files.select(
-        "path", "size", name.alias("name"), F.substring_index(F.substring_index("path", "/", -2), "/", 1).alias("parent"),
+        "path", "size", name.alias("name"),
+        F.substring_index(F.substring_index(F.substring_index("path", "/", -2), "/", 1), "=", -1).alias("parent"),
         F.lower(F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise("")).alias("extension"))
 
 
@@ -114,18 +118,28 @@ def ingest_directory(spark: SparkSession, path: str, default_type: str = "DOCUME
 
 
 def receipt_directory(spark: SparkSession, path: str, labels: DataFrame | None = None) -> DataFrame:
-    """Receipt images: label from the folder, overridden by a label table (file_name, label, ocr_text)."""
+    """Receipt images: label from the folder, overridden by a label table with file_name and any of label, ocr_text and others.
+
+    The table's columns become metadata, redacted; a file without a row there has none of them. Of several rows for one
+    file_name the least counts. Labels that are neither known as clean nor as forged leave the folder's label.
+    """
     files = list_files(spark, path).where(F.col("extension").isin(IMAGE_TYPES))
     folder = F.when(F.col("parent") == "genuine", "CLEAN").when(
         F.col("parent").startswith("forged_") | (F.col("parent") == "tampered"), "HIGH").otherwise("SUSPICIOUS")
     kind = F.lit("UPI_SCREENSHOT")
     if labels is None:
         return _file_records(files, F.lit("upi"), kind, folder, "upi_receipts")
-    j = files.join(labels.withColumnRenamed("file_name", "name").withColumnRenamed("label", "_given"), "name", "left")
-    given = F.lower(F.trim("_given"))
-    label = F.when(given.isin("genuine", "clean", "benign", "safe", "0"), "CLEAN").when(
-        given.isin("forged", "tampered", "fraud", "high", "1"), "HIGH").otherwise(folder)
-    return _file_records(j, F.lit("upi"), kind, label, "upi_receipts", {"ocr_text": LB.anonymize(F.col("ocr_text"))})
+    told = [c for c in labels.columns if c != "file_name"]
+    given = labels.groupBy(F.col("file_name").alias("name")).agg(F.min(F.struct(*[F.col(c).cast("string").alias(c) for c in told])).alias("_told"))
+    raw = F.lower(F.trim(F.col("_told")["label"] if "label" in told else F.lit(None).cast("string")))
+    held = given.select("name", raw.alias("_given"), *[F.col("_told")[c].alias(f"_raw_{c}") for c in told], *[F.col("_told")[c].alias(f"_told_{c}") for c in told])
+    j = files.join(quality.anonymize(held, *[f"_told_{c}" for c in told]), "name", "left")
+    raw = F.col("_given")
+    label = F.when(raw.isin("genuine", "clean", "benign", "safe", "0"), "CLEAN").when(
+        raw.isin("forged", "tampered", "fraud", "high", "1"), "HIGH").otherwise(folder)
+    extra = {c: F.when(F.col(f"_raw_{c}").isNotNull(), F.col(f"_told_{c}")) for c in told}
+    out = _file_records(j, F.lit("upi"), kind, label, "upi_receipts", extra)
+    return out.withColumn("metadata", F.map_filter("metadata", lambda k, v: v.isNotNull()))
 
 
 def forensic_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -159,16 +173,41 @@ def url_list(rows: DataFrame, url_column: str = "url", label_column: str = "labe
         LB.url_list_label(F.col("_l")).alias("label"), F.lit("BENCHMARK").alias("split"), F.lit("mendeley").alias("source"))
 
 
+def arff_names(spark: SparkSession, path: str) -> list[str]:
+    """Attribute names of the first ARFF header among the files at ``path``; of each file only the head is read.
+
+    Any file system that Spark reads will do. A file is left at its first line that is neither blank, comment nor header.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.globStatus(target) or []
+    files = sorted((f.getPath() for top in found for f in fs.listStatus(top.getPath())
+                    if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=str)
+    for file in files:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(file), "UTF-8"))
+        try:
+            names, line = [], reader.readLine()
+            while line is not None and (not line.strip() or line.strip()[0] in "@%") and line.strip().lower() != "@data":
+                words = line.split(None, 1)
+                if words and words[0].lower() == "@attribute":
+                    name = words[1].strip()
+                    names.append(name[1:].split(name[0])[0] if name[0] in "'\"" else name.split()[0])
+                line = reader.readLine()
+        finally:
+            reader.close()
+        if names:
+            return names
+    raise ValueError(f"no ARFF header in {path}")
+
+
 def parse_arff(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an ARFF text file: attributes by name plus label (result -1 becomes 1).
+    """Rows of ARFF text: attributes by name plus label (result -1 becomes 1). The data is scanned once, without a job before.
 
-    The header is bounded by the number of attributes and is the only part that reaches the driver;
-    data lines are the non-comment lines that start with neither '@' nor '%'.
+    Data lines are the non-comment lines that start with neither '@' nor '%' and hold a comma.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where(F.col("line") != "")
-    header = lines.where(F.lower("line").startswith("@attribute"))
-    quoted = F.btrim(F.get(F.split("line", r"\s+"), 1), F.lit("'\""))
-    names = [r[0] for r in header.select(quoted).collect()]
+    names = arff_names(spark, path)
+    lines = spark.read.text(path).select(F.trim("value").alias("line"))
     body = lines.where(~F.col("line").startswith("@") & ~F.col("line").startswith("%") & F.col("line").contains(","))
     cells = F.transform(F.split("line", ","), lambda c: F.btrim(F.trim(c), F.lit("'\"")))
     rows = body.select(cells.alias("_c"))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from murkwatch.functions import labels as LB
@@ -99,6 +100,29 @@ def test_directories(spark, tmp_path):
     assert doc["e.tiff"].label == "HIGH" and doc["a.pdf"].label == "CLEAN"
 
 
+def test_receipt_labels_and_partitioned_folders(spark, tmp_path):
+    (tmp_path / "folder=genuine").mkdir()
+    for name in ("a.png", "b.png", "c.txt"):
+        (tmp_path / "folder=genuine" / name).write_bytes(b"x")
+    labels = spark.createDataFrame([("a.png", "odd", "call 987-654-3210"), ("a.png", "forged", "zz"), ("c.txt", "forged", "z")],
+                                   "file_name string, label string, note string")
+    got = {r.metadata["filename"]: r for r in datasets.receipt_directory(spark, str(tmp_path), labels).collect()}
+    assert set(got) == {"a.png", "b.png"} and got["b.png"].label == "CLEAN" and "note" not in got["b.png"].metadata
+    assert got["a.png"].label == "HIGH" and got["a.png"].metadata["note"] == "zz"  # the least of two rows
+
+
+def test_arff_header_is_read_from_the_head(spark, tmp_path):
+    (tmp_path / "a.arff").write_text("% c\n@relation r\n@ATTRIBUTE 'Two Words' {1,0}\n@attribute Result {-1,1}\n\n@data\n1,-1\n% x,y\n'0', 1\n")
+    (tmp_path / "b.arff").write_text("1, 1\n")
+    assert datasets.arff_names(spark, str(tmp_path)) == ["Two Words", "Result"]
+    rows = datasets.parse_arff(spark, str(tmp_path)).collect()
+    assert sorted((r["two words"], r.result, r.label) for r in rows) == [("0", "1", 0), ("1", "-1", 1), ("1", "1", 0)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.arff").write_text("1,2\n")
+    with pytest.raises(ValueError):
+        datasets.parse_arff(spark, str(tmp_path / "none"))
+
+
 def test_event_store(spark, tmp_path):
     row = spark.sql("SELECT 'd1' AS doc_id, 45 AS risk_score, TIMESTAMP '2024-01-01 00:00:00' AS created_at")
     stores.append_events(row, str(tmp_path / "s"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,6 +205,48 @@ def best_model(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy(F.desc("f1"), "model").limit(1)
 
 
+FOLD_METRICS = ["f1", "precision", "recall", "mcc", "auc", "log_loss"]
+
+
+def fold_metrics(df: DataFrame, key: str, features: list[str], models: dict[str, Pipeline], label: str = "label", k: int = 5,
+                 parallel: int = 5, minority: int = 1) -> DataFrame:
+    """One metric row per (model, fold): fitted on the other folds, balanced by ``smote``, scored on the fold's own rows.
+
+    Rows are scaled and dealt into folds once and stored; all fits read that table, ``parallel`` of them at a time. No
+    synthetic row is scored. The driver holds the fitted models only.
+    """
+    rows = scale(df.select(key, label, *features), features)
+    held = cut_lineage(stratified_folds(rows, key, label, k).withColumn(key, F.col(key).cast("string")))
+
+    def balanced(fold: int) -> DataFrame:
+        rest = held.where(F.col("fold") != fold)
+        return cut_lineage(smote(rest, key, label, features, minority).select(label, *features))
+
+    def fitted(name: str, fold: int, train: DataFrame):
+        own = held.where(F.col("fold") == fold)
+        return scores(models[name].copy().fit(train), own, [label]).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), label, "p")
+
+    spark = df.sparkSession
+    with ThreadPool(parallel) as pool:
+        trains = pool.map(inheritable_thread_target(spark)(balanced), range(k))
+        # The slowest kind of model first, so that the last fits are short.
+        work = [(name, fold, trains[fold]) for name in reversed(models) for fold in range(k)]
+        parts = pool.map(inheritable_thread_target(spark)(lambda one: fitted(*one)), work, chunksize=1)
+    scored = cut_lineage(reduce(DataFrame.unionByName, parts))
+    by = ["model", "fold"]
+    m = ev.confusion(scored, F.col(label) == 1, F.col("p") >= 0.5, by).withColumns(ev.metric_columns())
+    return m.join(ev.auc(scored, label, "p", by), by).join(ev.log_loss(scored, label, "p", by), by).select(*by, "support", *FOLD_METRICS)
+
+
+def fold_summary(metrics: DataFrame) -> DataFrame:
+    """Mean and population deviation of each metric per model over its folds; ``best`` marks the highest mean F1, ties by name."""
+    out = metrics.groupBy("model").agg(
+        F.count("*").alias("folds"), F.sum("support").alias("support"),
+        *[f(c).alias(c + tail) for c in FOLD_METRICS for f, tail in ((F.avg, ""), (F.stddev_pop, "_sd"))])
+    top = best_model(out).select(F.col("model").alias("_top"))
+    return out.crossJoin(F.broadcast(top)).withColumn("best", F.col("model") == F.col("_top")).drop("_top")
+
+
 def calibrate_isotonic(held_out: DataFrame, target: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """Append calibrated: isotonic fit on held-out probabilities applied to ``target``."""
     return isotonic_apply(target, isotonic_blocks(held_out, p, label), p)
@@ -249,6 +295,29 @@ def column_ablation(train: DataFrame, test: DataFrame, subsets: dict[str, list[s
         (F.col("auc") - F.col("_auc")).alias("delta_auc"), (F.col("mcc") - F.col("_mcc")).alias("delta_mcc"))
 
 
+def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
+    """All runs of ``low`` to ``high`` characters of the lower-cased text, a space at either end; null has those of the empty text."""
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+
+    def of(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substr(padded, i, F.lit(n)))
+        return F.when(F.length(padded) < n, F.array().cast("array<string>")).otherwise(runs)
+
+    return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
+
+
+def with_ngram_weights(train: DataFrame, test: DataFrame, text: str, out: str = "ngrams", slots: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Append a sparse vector of hashed character n-gram counts times inverse document frequency, which comes from ``train`` only.
+
+    Counts of n-grams in one slot add up; only ``slots`` document counts reach the driver.
+    """
+    counts = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=slots)
+    weigh = lambda df: counts.transform(df.withColumn("_grams", char_ngrams(F.col(text)))).drop("_grams")
+    left, right = weigh(train), weigh(test)
+    idf = IDF(inputCol="_counts", outputCol=out).fit(left)
+    return idf.transform(left).drop("_counts"), idf.transform(right).drop("_counts")
+
+
 def cross_grid(sets: dict[str, tuple[DataFrame, DataFrame]], features: list[str], label: str = "label") -> DataFrame:
     """Train on each set, test on each set."""
     out = None

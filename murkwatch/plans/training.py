@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as docs
 from ..operators import training as tr
+from ..operators import urls
 from ..session import cut_lineage
 from .documents import RULED
 from . import inputs  # noqa: F401
@@ -147,7 +148,20 @@ def eva21(d: Data):
 @query("eva22_feature_group_ablation")
 def eva22(d: Data):
     train, _, test = _parts(d)
-    return tr.column_ablation(train, test, {"all": FEATS, "image": FEATS[:3], "text": ["utr_valid", "ocr_confidence"]}, "all")
+    image, text = FEATS[:3] + ["font_consistent"], ["utr_valid", "ocr_confidence"]
+    return tr.column_ablation(train, test, {"all": FEATS, "image": image, "text": text}, "all")
+
+
+@query("eva22_url_group_ablation")
+def eva22_urls(d: Data):
+    """Lexical columns, character n-grams and both, on distinct URLs; the rules' verdicts are the labels."""
+    told = urls.score(urls.analyze(d.urls.select("url").distinct())).select("url", (F.col("risk_score") > 30).cast("int").alias("label"))
+    rows = cut_lineage(tr.stratified_split(urls.lexical(told), "url", "label", {"train": 0.8, "test": 0.2}))
+    lexical = [c for c in rows.columns if c not in ("url", "label", "split")]
+    rows = rows.select("url", "label", "split", *[F.col(c).cast("double").alias(c) for c in lexical])
+    train, test = tr.with_ngram_weights(rows.where("split = 'train'"), rows.where("split = 'test'"), "url")
+    return tr.column_ablation(cut_lineage(train), cut_lineage(test), {
+        "all": [*lexical, "ngrams"], "lexical": lexical, "ngram": ["ngrams"]}, "all")
 
 
 @query("eva23_class_balance_ablation")

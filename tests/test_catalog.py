@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {
     "url6_punycode_hosts", "eva11_delong_p_value", "eva12_mcnemar_p_value",
     "trn3_smote", "trn7_model_candidates", "trn8_calibration", "trn10_meta_learner", "trn11_feature_importance",
-    "eva21_module_ablation", "eva22_feature_group_ablation", "eva23_class_balance_ablation", "eva24_cross_dataset_grid", "eva29_hardening",
+    "eva21_module_ablation", "eva22_feature_group_ablation", "eva22_url_group_ablation", "eva23_class_balance_ablation", "eva24_cross_dataset_grid", "eva29_hardening",
 }
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import labels as LB
 from ..functions.exprs import clip, md5_unit, pin, safe_div
 from . import fusion
-from .ranking import quantiles, running_before
+from .ranking import add_ranges, quantiles, running_before
 
 METRICS = ["accuracy", "precision", "recall", "f1", "fpr", "fnr"]
 
@@ -237,26 +237,40 @@ def stratified_bootstrap(df: DataFrame, truth: str, pred: Column, score: str, n:
                          salt: str = "strata") -> DataFrame:
     """Intervals of F1, precision, recall, AUC and MCC that keep class sizes in every resample.
 
-    Groups are (class, decision, score); their draws are rescaled so that each class keeps its
-    size. Per resample there is one window over distinct scores.
+    Groups are (class, decision, score); their draws are rescaled so that each class keeps its size. All resamples share
+    the ranges of scores: distinct scores are dealt by (range, block of resamples) once, draws stay in their task, and
+    running sums go over a range's own scores and over the sums of ranges.
     """
     hist = df.groupBy(F.col(truth).alias("y"), pred.alias("p"), F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"))
-    w = replicates(hist, n).withColumn("w", resample_weight(F.col("n"), salt, "y", "p", "s", "rep"))
-    per_class = Window.partitionBy("rep", "y")
-    w = w.withColumn("w", F.col("w") * F.sum("n").over(per_class) / F.sum("w").over(per_class))
+    block = 250
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block)))
+    dealt = add_ranges(hist, "s").withColumn("_block", blocks).repartition("_range", "_block")
+    first = F.col("_block") * block
+    drawn = dealt.withColumn("rep", F.explode(F.sequence(first + 1, F.least(first + block, F.lit(n)))))
+    w = drawn.withColumn("w", resample_weight(F.col("n"), salt, "y", "p", "s", "rep"))
     pos, neg = F.col("y") == 1, F.col("y") == 0
-    by_score = w.groupBy("rep", "s").agg(
+    part = ["_range", "_block", "rep"]
+    cells = ("tp", "fp", "tn", "fn")
+    by_score = w.groupBy(*part, "s").agg(
         F.sum(F.when(pos & F.col("p"), F.col("w")).otherwise(0.0)).alias("tp"),
         F.sum(F.when(neg & F.col("p"), F.col("w")).otherwise(0.0)).alias("fp"),
         F.sum(F.when(neg & ~F.col("p"), F.col("w")).otherwise(0.0)).alias("tn"),
         F.sum(F.when(pos & ~F.col("p"), F.col("w")).otherwise(0.0)).alias("fn"))
-    below = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    by_score = by_score.withColumn("below", F.coalesce(F.sum(F.col("fp") + F.col("tn")).over(below), F.lit(0.0)))
-    wins = F.sum((F.col("tp") + F.col("fn")) * (F.col("below") + 0.5 * (F.col("fp") + F.col("tn"))))
-    sums = by_score.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")], wins.alias("wins"))
+    negatives, positives = F.col("fp") + F.col("tn"), F.col("tp") + F.col("fn")
+    inside = Window.partitionBy(*part).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    by_score = by_score.withColumn("below", F.coalesce(F.sum(negatives).over(inside), F.lit(0.0)))
+    by_range = by_score.groupBy(*part).agg(*[F.sum(c).alias(c) for c in cells], F.sum(
+        positives * (F.col("below") + 0.5 * negatives)).alias("wins"))
+    earlier = Window.partitionBy("rep").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    by_range = by_range.withColumn("wins", F.col("wins") + positives * F.coalesce(F.sum(negatives).over(earlier), F.lit(0.0)))
+    sums = by_range.groupBy("rep").agg(*[F.sum(c).alias(c) for c in cells], F.sum("wins").alias("wins"))
+    sums = sums.withColumn("auc", safe_div(F.col("wins"), positives * negatives))
+    sizes = hist.agg(F.sum(F.when(pos, F.col("n"))).alias("_pos"), F.sum(F.when(neg, F.col("n"))).alias("_neg"))
+    up, down = safe_div(F.col("_pos"), positives), safe_div(F.col("_neg"), negatives)
+    sums = sums.crossJoin(F.broadcast(sizes)).select("rep", "auc", *[
+        (F.col(c) * (up if c in ("tp", "fn") else down)).alias(c) for c in cells])
     m = metric_columns()
-    sums = sums.withColumns({k: m[k] for k in ("f1", "precision", "recall", "mcc")}).withColumn(
-        "auc", safe_div(F.col("wins"), (F.col("tp") + F.col("fn")) * (F.col("fp") + F.col("tn"))))
+    sums = sums.withColumns({k: m[k] for k in ("f1", "precision", "recall", "mcc")})
     names = ["f1", "precision", "recall", "auc", "mcc"]
     long = sums.unpivot(["rep"], names, "metric", "stat")
     order = Window.partitionBy("metric").orderBy("stat")  # n rows per metric

@@ -238,10 +238,11 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     shared = entries.groupBy("band").agg(
         F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("members > 1")
     buckets = cut_lineage(entries.join(shared, "band"))
-    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "rep", "set_key")
+    wanted = cut_lineage(nodes.join(buckets.select("node").distinct(), "node").select("node", "rep", "set_key"))
     sets = cut_lineage(_sets(rows, wanted, size))
 
-    labels = nodes.select("node", F.col("node").alias("component"))
+    # Nodes of no shared bucket have no links, so rounds carry labels of the others only.
+    labels = wanted.select("node", F.col("node").alias("component"))
     tested = None
 
     def confirmed(found: DataFrame) -> DataFrame:
@@ -275,7 +276,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     if rows:
         labels = _merged(labels, confirmed(_all_pairs(live, percent)))
 
-    named = nodes.join(labels, "node").select("set_key", "rep", "component")
+    named = nodes.join(labels, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     by_set = named.join(least, "component").select("set_key", "least")
     out = signed.join(by_set, "set_key", "left")

@@ -23,8 +23,8 @@ INPUTS: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Inputs whose queries do long text work per row.
-HEAVY = {"urls", "receipts", "docs", "records"}
+# Inputs whose queries do long text work per row, with the megabytes of input files a task gets; whole texts stay in their splits.
+HEAVY = {"urls": 4, "receipts": 4, "docs": None, "records": 4}
 
 _REF = re.compile(r"\{([a-z][a-z0-9_]*)\}")
 
@@ -46,7 +46,7 @@ class Data:
         if name in TABLES:
             return self.table(name)
         rows = self.sql(INPUTS[name])
-        return spread(rows) if name in HEAVY else rows
+        return spread(rows, task_mb=HEAVY[name]) if name in HEAVY else rows
 
     def sql(self, text: str) -> DataFrame:
         refs = {r: getattr(self, r) for r in dict.fromkeys(_REF.findall(text))}

@@ -39,15 +39,25 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
-def spread(df: DataFrame, few: int = 32) -> DataFrame:
+def spread(df: DataFrame, few: int = 32, task_mb: int | None = None) -> DataFrame:
     """Deal out an input of a few file splits for expensive row-wise work.
 
     Only inputs below ``few`` splits are dealt anew, a few gigabytes at most on any cluster; larger ones are read as they are.
+    With ``task_mb`` rows are dealt at any size, over one task for every ``task_mb`` of input files: rows of short texts are small next
+    to the work on them, and a row group is one task, however many splits there are beside it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if task_mb:
+        return df.repartition(max(cores, -(-_file_bytes(df) // (task_mb << 20))))
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, few) else df
 
 
+def _file_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` scans, each scan counted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; where it is unset, a folder below the warehouse."""
     sc = spark.sparkContext

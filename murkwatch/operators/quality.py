@@ -180,12 +180,20 @@ def anonymize_json(column: Column) -> Column:
     levels, whatever the depth. Text that is not JSON is redacted as a plain string, null stays null.
     """
     def literal(m: Column) -> Column:
-        own = F.try_variant_get(F.parse_json(m), "$", "string")
-        json = F.to_json(F.array(_redacted(own)))
-        return F.when(m.endswith(":"), m).otherwise(_bound(json, lambda j: F.substr(j, F.lit(2), F.length(j) - 2)))
+        # Without an escape the text stands between the quotes as it is, and redaction adds nothing to escape.
+        escaped = m.contains("\\")
+        own = F.when(escaped, F.try_variant_get(F.parse_json(m), "$", "string")).otherwise(F.substr(m, F.lit(2), F.length(m) - 2))
 
-    canonical = F.to_json(F.try_parse_json(column))
-    return F.when(canonical.isNull(), _redacted(column)).otherwise(_bound(canonical, lambda j: P.replace_matches(j, JSON_STRING, literal)))
+        def quoted(text: Column) -> Column:
+            json = _bound(F.to_json(F.array(text)), lambda j: F.substr(j, F.lit(2), F.length(j) - 2))
+            return F.when(escaped, json).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+        return F.when(m.endswith(":"), m).otherwise(_bound(_redacted(own), quoted))
+
+    def whole(canonical: Column) -> Column:
+        return F.when(canonical.isNull(), _redacted(column)).otherwise(P.replace_matches(canonical, JSON_STRING, literal))
+
+    return _bound(F.to_json(F.try_parse_json(column)), whole)
 
 
 def pii_report(fields: DataFrame, source: str = "source") -> DataFrame:

@@ -26,6 +26,8 @@ from .shared import batches_of_bytes, id_and_text, small_batches
 BANDS, ROWS = 25, 5
 #: Positions of the circulant permutations.
 POSITIONS = 1 << 20
+#: Bits that mark the ids whose texts are read again: 4 MB, whatever the input.
+MARKS = 1 << 25
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -97,9 +99,23 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"row_id long, doc_id {id_type}, n_shingles long, set_key binary, bands binary")
 
 
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id shares its bit with a rep of ``wanted``: all of the wanted ones, and few others."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)) + 1
+    at = F.bitmap_bit_position(slot("doc_id"))
+    marks = wanted.groupBy(F.bitmap_bucket_number(slot("rep")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot("rep"))).alias("_bits"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = (F.bitmap_bucket_number(slot("doc_id")) == F.col("_bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return docs.join(F.broadcast(marks), met, "left_semi")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the nodes of ``wanted`` (node, rep, set_key), made again from their documents' texts."""
-    met = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "set_key", "text")
+    """(node, shingles) of the nodes of ``wanted`` (node, rep, set_key), made again from their documents' texts.
+
+    Only texts of marked ids are exchanged.
+    """
+    met = _marked(docs, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "set_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

@@ -20,3 +20,12 @@ def test_labels_of_documents_without_a_shared_bucket_take_no_part_in_rounds(spar
     assert held and max(held) == 3
     assert [out[i].component_id for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
     assert all(out[i].component_id == i and out[i].kept for i, _ in lone)
+
+
+def test_only_texts_of_wanted_documents_are_exchanged_for_their_sets(spark):
+    docs = spark.range(20_000).selectExpr("CASE WHEN id % 5000 = 7 THEN NULL ELSE id - 100 END AS doc_id", "'a b c' AS text")
+    wanted = docs.where("doc_id IS NULL OR doc_id % 40 = 3").selectExpr("doc_id AS rep").distinct()
+    met = minhash._marked(docs, wanted)
+    assert met.where("doc_id IS NULL").count() == 4
+    assert met.where("doc_id % 40 = 3").count() == docs.where("doc_id % 40 = 3").count() == met.where("doc_id IS NOT NULL AND doc_id % 40 = 3").distinct().count()
+    assert met.count() < 600

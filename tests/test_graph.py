@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murkwatch.operators import dna, graph
+from murkwatch.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -88,6 +89,16 @@ def test_spanning_links_stay_few_in_a_hot_group(spark):
     assert len(found) < len(pairs) / 3
 
 
+def test_no_candidate_pair_is_shuffled(spark):
+    """A hot term: all its vectors meet, and only vectors are exchanged, each once per block."""
+    texts = [f"hot w{i} x{i % 7}" for i in range(1200)]
+    (vecs, _), _ = _setup(spark, texts)
+    pairs = dna.similar_pairs(cut_lineage(vecs), 0.9)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert pairs.count() == 0
+
+
 def test_dbscan_two_samples_equals_clusters(spark, texts):
     (vecs, members), _ = _setup(spark, texts)
     a = {(r.event_id, r.component) for r in dna.clusters(vecs, members, "event_id").collect()}

@@ -6,6 +6,7 @@ from ..functions import levels as L
 from ..functions import receipts as R
 from ..functions.exprs import hit_rules, pin
 from ..operators import receipts as ops
+from ..session import cut_lineage
 from . import inputs  # noqa: F401
 from .registry import Data, query, sql_array
 
@@ -145,7 +146,8 @@ def rcp11(d: Data):
   CASE WHEN length(u) <> 12 THEN 'HIGH' WHEN bad.utr IS NOT NULL THEN 'HIGH' ELSE 'CLEAN' END AS risk_level
   FROM asked LEFT JOIN bad ON asked.u = bad.utr""")
 def rcp12(d: Data):
-    rows = _scored(d).select("receipt_id", "utr", "forgery_score")
+    # Both sides read the scored rows: they are stored, not scored twice.
+    rows = cut_lineage(_scored(d).select("receipt_id", "utr", "forgery_score"))
     past = rows.select(
         F.col("utr").alias("utr_number"), F.col("forgery_score").alias("risk_score"))
     asked = rows.where(F.col("utr").isNotNull()).select("receipt_id", "utr")

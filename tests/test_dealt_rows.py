@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from murkwatch.operators import quality
-from murkwatch.plans import sources, training
+from murkwatch.plans import receipts, sources, training
 from murkwatch.plans.registry import Data
 
 
@@ -36,3 +36,9 @@ def test_json_strings_with_and_without_escapes_are_redacted_alike(spark):
     tag = rows.limit(1).select(quality._redacted(F.lit("jo@corp.example.com"))).first()[0]
     out = [r.t for r in rows.select("i", quality.anonymize_json(F.col("t")).alias("t")).orderBy("i").collect()]
     assert out == [f'{{"a":"mail {tag}","k":"","n":1}}', f'{{"a":"say \\"x\\" to {tag}\\n","b":["\\\\","é/\\u0001",null,true]}}', tag, None]
+
+
+def test_reference_lookup_scores_receipts_once(spark, tmp_path):
+    spark.range(60).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "DATE '2024-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    out = receipts.rcp12(Data(spark, str(tmp_path)))
+    assert all("/cut-" in file for file in out.inputFiles())

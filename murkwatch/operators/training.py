@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_bits, md5_unit, pin, safe_div
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from . import evaluation as ev
+from .cosine import by_cell
 from .isotonic import isotonic_apply, isotonic_blocks
 from .ranking import hash_rank
 
@@ -91,19 +92,22 @@ class PointTree:
         gap[selves[:, None] == points[None, :]] = np.inf
         return gap
 
-    def nearest(self, own: np.ndarray, k: int, selves: np.ndarray) -> list[list[int]]:
-        """For each row the indexes of its ``k`` nearest points, nearest first, ties by index. ``selves`` holds the index of a row's own
-        point, which is left out, or -1."""
-        if not self.leaves or not k:
-            return [[] for _ in own]
-        # Rounding keeps order, so a box never seems farther than a point in it.
-        box = sum(np.maximum(np.maximum(self.low[None, :, i] - own[:, i, None], own[:, i, None] - self.high[None, :, i]), 0) ** 2 for i in range(own.shape[1]))
-        first, bound = box.argmin(axis=1), np.full(len(own), np.inf)
+    def boxes_from(self, own: np.ndarray) -> np.ndarray:
+        return _box_gaps(own, self.low, self.high)
+
+    def search(self, own: np.ndarray, k: int, selves: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, squared distance, index) of each row's ``k`` nearest points, sorted, ties by index. ``selves`` holds the index of a row's
+        own point, which is left out, or -1; ``most`` bounds each row's distances."""
+        none = np.zeros(0, np.int64)
+        if not self.leaves or not k or not len(own):
+            return none, np.zeros(0), none
+        box = self.boxes_from(own)
+        first, bound = box.argmin(axis=1), np.full(len(own), np.inf) if most is None else most.copy()
         for leaf in np.unique(first):
             rows = np.flatnonzero(first == leaf)
             if len(self.leaves[leaf]) >= k:
-                bound[rows] = np.partition(self._gaps(own[rows], leaf, selves[rows]), k - 1, axis=1)[:, k - 1]
-        found = []
+                bound[rows] = np.minimum(bound[rows], np.partition(self._gaps(own[rows], leaf, selves[rows]), k - 1, axis=1)[:, k - 1])
+        found = [(none, np.zeros(0), none)]
         for leaf, points in enumerate(self.leaves):
             rows = np.flatnonzero(box[:, leaf] <= bound)
             if len(rows):
@@ -112,43 +116,171 @@ class PointTree:
                 found.append((rows[r], gap[r, c], points[c]))
         row, gap, point = (np.concatenate(parts) for parts in zip(*found))
         order = np.lexsort((point, gap, row))
-        parts = np.split(point[order], np.searchsorted(row[order], np.arange(1, len(own))))
-        return [part[:k].tolist() for part in parts]
+        row, gap, point = row[order], gap[order], point[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], gap[kept], point[kept]
+
+    def nearest(self, own: np.ndarray, k: int, selves: np.ndarray) -> list[list[int]]:
+        """For each row the indexes of its ``k`` nearest points, nearest first, ties by index."""
+        row, _, point = self.search(own, k, selves)
+        return [part.tolist() for part in np.split(point, np.searchsorted(row, np.arange(1, len(own))))] if len(own) else []
+
 
+def _box_gaps(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to each box. Rounding keeps order, so a box never seems farther than a point in it."""
+    return sum(np.maximum(np.maximum(low[None, :, i] - own[:, i, None], own[:, i, None] - high[None, :, i]), 0) ** 2 for i in range(own.shape[1]))
 
-def smote(df: DataFrame, key: str, label: str, features: list[str], minority: int = 1, k: int = 5,
-          fit_points: int = 20_000, seed: str = SEED) -> DataFrame:
+
+class Cells:
+    """Space cut into cells across the widest side of the fullest one, at the median of a few points.
+
+    Every point has a cell, so the points cut with decide only how even the cells are.
+    """
+
+    def __init__(self, at: np.ndarray, cells: int):
+        # A node is (side, cut, first child); the second child follows the first. Leaves have the side -1 and a cell.
+        self.nodes, parts, done = [[-1, 0.0, 0]], [(0, at)], []
+        while parts and len(parts) + len(done) < cells:
+            parts.sort(key=lambda part: len(part[1]))
+            node, part = parts.pop()
+            side = int(np.argmax(np.ptp(part, axis=0))) if len(part) else 0
+            if not len(part) or part[:, side].min() == part[:, side].max():
+                done.append((node, part))
+                continue
+            value = np.partition(part[:, side], len(part) // 2)[len(part) // 2]
+            if value == part[:, side].min():
+                value = part[part[:, side] > value, side].min()
+            self.nodes[node] = [side, float(value), len(self.nodes)]
+            parts += [(len(self.nodes) + i, part[below]) for i, below in enumerate((part[:, side] < value, part[:, side] >= value))]
+            self.nodes += [[-1, 0.0, 0], [-1, 0.0, 0]]
+        leaves = sorted(node for node, _ in parts + done)
+        for cell, node in enumerate(leaves):
+            self.nodes[node][2] = cell
+        self.count = len(leaves)
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        side, cut, to = (np.array(column) for column in zip(*self.nodes))
+        node = np.zeros(len(own), np.int64)
+        while (inner := np.flatnonzero(side[node] >= 0)).size:
+            at = node[inner]
+            node[inner] = to[at] + (own[inner, side[at]] >= cut[at])
+        return to[node]
+
+
+CELL = 100_000  # points per cell, at most about
+FOUND = "array<struct<gap:double,tie:bigint,pid:string,copies:bigint,x:array<double>>>"
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _found_column(tree: PointTree, own: np.ndarray, k: int, selves: np.ndarray, most: np.ndarray | None, points: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The neighbours of each row as a column of the type FOUND, and the distance of the last one, infinite where there are fewer than ``k``."""
+    row, gap, point = tree.search(own, k, selves, most)
+    ends = np.searchsorted(row, np.arange(len(own) + 1))
+    last = np.full(len(own), np.inf)
+    full = np.flatnonzero(np.diff(ends) == k)
+    last[full] = gap[ends[full + 1] - 1] if k else 0.0
+    at = pa.array(point)
+    fields = {"gap": pa.array(gap), "tie": points["_tie"].take(at), "pid": points["_pid"].take(at), "copies": points["_copies"].take(at), "x": points["_x"].take(at)}
+    one = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one), last
+
+
+def nearest_points(points: DataFrame, width: int, k: int) -> DataFrame:
+    """(_x, _found): the ``k`` nearest other points of each of the distinct ``points`` (_x, _tie, _pid, _copies) with ``width`` finite
+    coordinates, nearest first, ties by _tie and _pid.
+
+    Exact at any size: points are dealt into cells of bounded size, a task searches a cell by a k-d tree, and a point also asks the cells
+    whose bounding box is as near as its k-th neighbour so far. Only cuts and boxes of cells reach the driver.
+    """
+    n = points.count()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    wanted = max(-(-n // CELL), min(2 * cores, n // 2000), 1)
+    share = min(1.0, 200 * wanted / max(n, 1))
+    some = points.where(F.pmod(F.xxhash64("_x"), F.lit(1 << 20)) < int(share * (1 << 20))).select("_x").collect() if wanted > 1 else []
+    cells = Cells(np.array([r["_x"] for r in some], dtype=float).reshape(-1, width), wanted)
+
+    def place(batches):
+        for batch in batches:
+            yield batch.append_column("cell", pa.array(cells.of(_matrix(batch.column("_x"), width)), pa.int32()))
+
+    columns = "_x array<double>, _tie bigint, _pid string, _copies bigint"
+    placed = cut_lineage(points.select("_x", "_tie", "_pid", "_copies").mapInArrow(place, f"{columns}, cell int"))
+    sides = placed.groupBy("cell").agg(*[f(F.get("_x", i)) for f in (F.min, F.max) for i in range(width)]).collect()
+    numbers = np.array([r[0] for r in sides], dtype=np.int64)
+    low, high = (np.array([r[start:start + width] for r in sides], dtype=float).reshape(-1, width) for start in (1, 1 + width))
+    tasks = 2 * cells.count
+    order = ["cell", "_tie", "_pid", "_x"]
+
+    def at_home(batches):
+        for table in by_cell(batches):
+            table = table.combine_chunks()
+            own, home = _matrix(table["_x"].combine_chunks(), width), table["cell"][0].as_py()
+            tree = PointTree(own)
+            for start in range(0, len(own), 2048):
+                part, selves = own[start:start + 2048], np.arange(start, min(start + 2048, len(own)))
+                found, last = _found_column(tree, part, k, selves, None, table)
+                near = (_box_gaps(part, low, high) <= last[:, None]) & (numbers != home)[None, :]
+                row, cell = np.nonzero(near)
+                ends = np.searchsorted(row, np.arange(len(part) + 1))
+                others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers[cell], pa.int32()))
+                yield pa.RecordBatch.from_arrays([table["_x"].slice(start, 2048).combine_chunks(), found, others, pa.array(last)], names=["_x", "_found", "_cells", "_most"])
+
+    home = cut_lineage(placed.repartition(tasks, "cell").sortWithinPartitions(*order).mapInArrow(
+        at_home, f"_x array<double>, _found {FOUND}, _cells array<int>, _most double"))
+    asks = home.select(F.explode("_cells").alias("cell"), "_x", "_most")
+
+    def abroad(batches):
+        held, tree, points_, where = [], None, None, None
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            asking = batch.column("_most").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(asking.astype(np.int8)) != 0)) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if where != cell[a]:
+                    held, tree, where = [], None, cell[a]
+                if not asking[a]:
+                    held.append(part)
+                    continue
+                if tree is None:
+                    points_ = pa.Table.from_batches(held).combine_chunks()
+                    tree = PointTree(_matrix(points_["_x"].combine_chunks(), width))
+                for start in range(0, len(part), 2048):
+                    some_ = part.slice(start, 2048)
+                    found, _ = _found_column(tree, _matrix(some_.column("_x"), width), k, np.full(len(some_), -1), some_.column("_most").to_numpy(), points_)
+                    yield pa.RecordBatch.from_arrays([some_.column("_x"), found], names=["_x", "_found"])
+
+    # A cell's points come first, then the rows that ask there, which are read batch by batch.
+    sent = placed.withColumn("_most", F.lit(None).cast("double")).unionByName(asks, allowMissingColumns=True)
+    away = sent.repartition(tasks, "cell").sortWithinPartitions("cell", "_most", *order[1:]).mapInArrow(abroad, f"_x array<double>, _found {FOUND}")
+    asked = F.size("_cells") > 0
+    both = home.where(asked).select("_x", "_found").unionByName(away).groupBy("_x").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("_found"))), 1, k).alias("_found"))
+    return home.where(~asked).select("_x", "_found").unionByName(both)
+
+
+def smote(df: DataFrame, key: str, label: str, features: list[str], minority: int = 1, k: int = 5, seed: str = SEED) -> DataFrame:
     """Append synthetic minority rows until both classes are equal.
 
-    Each minority row is interpolated with one of its ``k`` nearest among at most ``fit_points`` distinct labelled points,
-    drawn by hash where there are more; within them the search is exact. That bound is also what is broadcast. A row
-    without another point is interpolated with itself. Each base row is used floor or ceil of (missing / minority) times.
+    Each minority row is interpolated with one of its ``k`` nearest among all others of its label, found exactly (``nearest_points``). A row
+    without another point, or with a value that is null or not finite, is interpolated with itself. Each base row is used floor or ceil of
+    (missing / minority) times.
     """
     rows = df.where(F.col(label) == minority).select(
         F.col(key).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
     # Equal rows are one point with a count.
     points = cut_lineage(rows.groupBy("_x").agg(F.count("*").alias("_copies"), F.min(F.col("_id").cast("string")).alias("_pid")))
-    drawn = points.orderBy(md5_bits("fit" + seed, "_pid"), "_pid").limit(fit_points).select("_pid", "_x", "_copies").collect()
-    known = df.sparkSession.sparkContext.broadcast((
-        np.array([r["_x"] for r in drawn]).reshape(-1, len(features)), [r["_pid"] for r in drawn], [r["_copies"] for r in drawn]))
-
-    def nearest(batches):
-        at, names, copies = known.value
-        place = {name: i for i, name in enumerate(names)}
-        tree, spots = PointTree(at), at.tolist()
-        for batch in batches:
-            near = []
-            for start in range(0, batch.num_rows, 2048):
-                ids = batch.column(0).slice(start, 2048).to_pylist()
-                own = batch.column(1).slice(start, 2048).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
-                selves = np.array([place.get(name, -1) for name in ids])
-                near += [[spots[i] for i in line for _ in range(min(copies[i], k))] for line in tree.nearest(own, k, selves)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.list_(pa.list_(pa.float64())))], names=["_pid", "_others"])
-
-    # The table of points is small next to the search, so it is dealt over tasks.
-    others = spread(points.select("_pid", "_x"), task_mb=1).mapInArrow(nearest, "_pid string, _others array<array<double>>")
+    finite = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    known = points.where(finite).withColumn("_tie", md5_bits("fit" + seed, "_pid"))
+    near = F.flatten(F.transform("_found", lambda p: F.array_repeat(p["x"], F.least(p["copies"], F.lit(k)).cast("int"))))
+    others = nearest_points(known, len(features), k).select("_x", near.alias("_others"))
     own = F.array_repeat("_x", F.least(F.col("_copies") - 1, F.lit(k)).cast("int"))
-    hoods = points.select("_x", "_copies", "_pid").join(others, "_pid", "left").select("_x", F.slice(F.concat(
+    hoods = points.select("_x", "_copies").join(others, "_x", "left").select("_x", F.slice(F.concat(
         own, F.coalesce("_others", F.array().cast("array<array<double>>"))), 1, k).alias("_near"))
     counts = df.agg(F.count_if(F.col(label) == minority).alias("_m"), F.count_if(F.col(label) != minority).alias("_o"))
     ranked = hash_rank(rows.select("_id", "_x").withColumn("_one", F.lit(1)), ["_one"], md5_bits(f"smote{seed}", "_id"), "_id")

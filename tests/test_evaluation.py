@@ -112,6 +112,36 @@ def test_nearest_points_equal_full_sort():
             assert tr.PointTree(at, leaf).nearest(own, k, np.array(selves)) == want
 
 
+def test_smote_neighbours_are_true_ones_among_all_points(spark):
+    n = 25_000  # on a line, so the five nearest are at most three steps away (five at the ends)
+    df = spark.range(3 * n).select(F.col("id").cast("string").alias("id"), (F.col("id") < n).cast("int").alias("label"), F.col("id").cast("double").alias("x"))
+    out = tr.smote(df, "id", "label", ["x"]).where("synthetic").withColumn("base", F.split("id", "-")[1].cast("double"))
+    assert out.count() == n
+    step = F.when(F.col("base").between(3, n - 4), 3).otherwise(5)
+    assert out.where(F.abs(F.col("x") - F.col("base")) > step + 1e-9).count() == 0
+
+
+@pytest.mark.parametrize("cell", [15, 100_000])
+def test_nearest_points_over_cells_equal_full_sort(spark, cell, monkeypatch):
+    monkeypatch.setattr(tr, "CELL", cell)
+    rng = np.random.default_rng(4)
+    at = np.unique(np.concatenate([rng.integers(0, 5, (300, 3)).astype(float), rng.normal(size=(80, 3)) / 9, [[900.0, 0, 0]]]), axis=0)
+    rows = [(x.tolist(), i * 7 % 10, f"p{i:03d}", 1) for i, x in enumerate(at)]
+    df = spark.createDataFrame(rows, "_x array<double>, _tie bigint, _pid string, _copies bigint")
+    got = {tuple(r._x): [p.pid for p in r._found] for r in tr.nearest_points(df, 3, 4).collect()}
+    assert len(got) == len(rows)
+    for x, _, pid, _ in rows:
+        gaps = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), tie, other) for y, tie, other, _ in rows if other != pid)
+        assert got[tuple(x)] == [other for _, _, other in gaps[:4]]
+
+
+def test_smote_keeps_rows_without_a_distance_apart(spark):
+    rows = [(f"n{i}", 0, 0.0) for i in range(9)] + [("a", 1, 1.0), ("b", 1, 2.0), ("c", 1, None), ("d", 1, float("nan"))]
+    out = tr.smote(spark.createDataFrame(rows, "id string, label int, x double"), "id", "label", ["x"]).where("synthetic").collect()
+    assert len(out) == 5 and all(1 <= r.x <= 2 for r in out if r.id.split("-")[1] in "ab")
+    assert all(r.x is None or np.isnan(r.x) for r in out if r.id.split("-")[1] in "cd")
+
+
 @pytest.mark.parametrize("rise, n, least", [(0.2, 2000, 40), (-1.0, 800, 4096), (0.0, 0, 4096)])
 def test_isotonic_blocks_equal_the_sequential_rule(spark, monkeypatch, rise, n, least):
     monkeypatch.setattr(isotonic, "RANGE", least)  # small ranges: borders must be settled

@@ -1,11 +1,16 @@
 """Source and sink queries. Each writes files from the given tables first, then reads them back."""
 
+import hashlib
+import os
 import uuid
+from collections import Counter
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..session import ensure_checkpoint_dir, spread
+from ..session import cut_lineage, ensure_checkpoint_dir, spread
 from ..sources import datasets, manifests, stores
 from .evaluation import M, P, T, cells
 from .quality import BINARY, STRICT, chain
@@ -48,10 +53,39 @@ def src2(d: Data):
 def _one_file_each(rows, path: str, extension: str) -> None:
     """A file of one line for each row (folder, line), in a folder of that name.
 
-    Creating a file costs more than its row, so a row group is dealt over tasks. On a local disk no checksum file goes beside each.
+    Creating a file costs more than its row, so a row group is dealt over tasks. In a folder of the local file system tasks create the
+    files themselves, without a process for each file's mode and without a rename by the driver; a task that runs again gives its files
+    the same names. Elsewhere Spark's writer does.
     """
-    local = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-    spread(rows, task_mb=4).write.options(**local).partitionBy("folder").option("maxRecordsPerFile", 1).option("extension", extension).option("quote", "").csv(path)
+    dealt = spread(rows, task_mb=4).select("folder", "line")
+    jvm = rows.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(target)
+    top = datasets.local_folder(rows.sparkSession, path)
+    if top is None:
+        dealt.write.mode("append").partitionBy("folder").option("maxRecordsPerFile", 1).option("extension", extension).option("quote", "").csv(path)
+        return
+    blank = "".join(map(chr, range(33)))
+
+    def make(batches):
+        task, met = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            for folder, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met[folder, line] += 1
+                at = f"{top}/folder={_escaped(folder)}"
+                os.makedirs(at, exist_ok=True)
+                name = hashlib.md5(repr((top, folder, line, met[folder, line])).encode()).hexdigest()
+                with open(f"{at}/part-{task:05d}-{name}.{extension}", "w", encoding="utf-8", newline="") as f:
+                    f.write("" if line is None else f"{line.strip(blank)}\n")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    dealt.mapInArrow(make, "n bigint").agg(F.sum("n")).collect()
+
+
+def _escaped(folder: str | None) -> str:
+    """A partition's value in the name of its folder, as Spark writes it."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or 0 < ord(c) < 32 else c for c in folder) if folder else "__HIVE_DEFAULT_PARTITION__"
 
 
 # One file for each document; the folder is the label. Names of files are Spark's own, so keys that contain them stay out.
@@ -85,8 +119,7 @@ def src7(d: Data):
     rows = d.sql(_RECEIPT)
     for folder in ("genuine", "forged_font", "tampered", "unsorted"):  # a job each, so no two files have one name
         _one_file_each(rows.where(F.col("folder") == folder).selectExpr("folder", "CAST(page_id AS STRING) AS line"), f"{path}/{folder}", "png")
-    files = d.spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("value").cast("long").alias("page_id"))
+    files = cut_lineage(datasets.file_lines(d.spark, path).select("file_name", F.col("value").cast("long").alias("page_id")))
     named = files.join(rows.where("page_id % 3 <> 0").select("page_id", "label", F.col("ocr").alias("ocr_text")), "page_id")
     out = datasets.receipt_directory(d.spark, path, named.select("file_name", "label", "ocr_text"))
     return out.withColumn("file_name", F.element_at("metadata", "filename")).join(files.select("file_name", "page_id"), "file_name").select(

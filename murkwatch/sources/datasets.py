@@ -6,11 +6,16 @@ come from ``operators.quality.ingestion_summary`` over the same rows.
 
 from __future__ import annotations
 
+import itertools
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as LB
 from ..operators import quality
+from ..session import cut_lineage
 
 IMAGE_TYPES = ["png", "jpg", "jpeg", "webp"]
 DOCUMENT_TYPES = ["pdf", "doc", "docx", "txt"]
@@ -85,12 +90,80 @@ def read_lines_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("file", F.when(F.col("_latin"), F.col("line")).otherwise(F.decode("_bytes", "UTF-8")).alias("line"))
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder on the file systems of driver and executors that ``path`` names; None for other stores, patterns and what is no folder."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    own = fs.makeQualified(target).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+    return own if own and os.path.isdir(own) else None
+
+
+def _shown(entry: os.DirEntry) -> bool:
+    """Whether Spark's readers take this file or folder: neither hidden nor an empty file."""
+    hidden = (entry.name.startswith("_") and "=" not in entry.name) or entry.name.startswith(".") or entry.name.endswith("._COPYING_")
+    return not hidden and (entry.is_dir() or entry.stat().st_size > 0)
+
+
+def _scanned(batches):
+    """(path, size, folder) of what stands in each folder, in batches of bounded size."""
+    kind = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+    for batch in batches:
+        for top in batch.column(0).to_pylist():
+            with os.scandir(top) as entries:
+                shown = filter(_shown, entries)
+                while rows := [(e.path, 0 if e.is_dir() else e.stat().st_size, e.is_dir()) for e in itertools.islice(shown, 10_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kind)], schema=kind)
+
+
+def _listed(spark: SparkSession, top: str) -> DataFrame:
+    """(path, size) of all files below a folder of the local file system: one table a level, no entry reaches the driver."""
+    level, out = spark.range(1).select(F.lit(top.rstrip("/") or "/").alias("path")), None
+    while True:
+        seen = cut_lineage(level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_scanned, "path string, size bigint, folder boolean"))
+        files = seen.where("NOT folder").select("path", "size")
+        out = files if out is None else out.unionByName(files)
+        level = seen.where("folder").select("path")
+        if level.isEmpty():
+            return out
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, value): the lines of all text files below ``path``."""
+    top = local_folder(spark, path)
+    if top is None:
+        return spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), "value")
+
+    def read(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                names, lines = [], []
+                for file in batch.column(0).slice(start, 1000).to_pylist():
+                    with open(file, "rb") as f:
+                        own = f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n")
+                    own = own.split("\n")
+                    names += [os.path.basename(file)] * len(own)
+                    lines += own
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lines, pa.string())], names=["file_name", "value"])
+
+    return _dealt(_listed(spark, top).select("path")).mapInArrow(read, "file_name string, value string")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, parent, extension, size) of all files below ``path``; contents are not read.
 
-    Of a folder written as key=value, as partitioned tables have, the parent is the value.
+    Of a folder written as key=value, as partitioned tables have, the parent is the value. On the local file system tasks list the
+    folders; of other stores Spark's index is taken, which the driver holds.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
+    top = local_folder(spark, path)
+    if top is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
+    else:
+        files = _listed(spark, top).select(F.concat(F.lit("file:"), "path").alias("path"), "size")
     name = F.substring_index("path", "/", -1)
     return files.select(
         "path", "size", name.alias("name"),

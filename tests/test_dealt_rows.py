@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from murkwatch.operators import quality
 from murkwatch.plans import receipts, sources, training
 from murkwatch.plans.registry import Data
+from murkwatch.session import cut_lineage
+from murkwatch.sources import datasets
 
 
 def test_training_rows_are_dealt_over_tasks(spark, tmp_path):
@@ -30,6 +32,35 @@ def test_files_are_made_by_several_tasks_without_checksum_files(spark, tmp_path)
     assert sorted(p.read_text().strip() for p in Path(tmp_path, "out").rglob("*txt")) == sorted(f"file-{i}" for i in range(40))
 
 
+def test_folders_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f, f"{f}-{i}") for f in ("clean", "a b:c", None) for i in range(30)] + [("clean", None), ("clean", " x \t")], "folder string, line string")
+    rows = cut_lineage(rows)
+    sources._one_file_each(rows, str(tmp_path / "top"), "txt")
+    (tmp_path / "top" / ".hidden").write_text("x")
+    (tmp_path / "top" / "_logs").mkdir()
+    (tmp_path / "top" / "_logs" / "y.txt").write_text("y")
+    tasks = datasets.list_files(spark, str(tmp_path / "top"))
+    assert "binaryFile" not in tasks._jdf.queryExecution().optimizedPlan().toString()
+    lines = datasets.file_lines(spark, str(tmp_path / "top")).collect()
+    monkeypatch.setattr(datasets, "local_folder", lambda *a: None)
+    index = datasets.list_files(spark, str(tmp_path / "top"))
+    assert tasks.schema.names == index.schema.names
+    assert sorted(map(tuple, tasks.collect())) == sorted(map(tuple, index.collect())) and tasks.count() == 91
+    assert sorted(map(tuple, lines)) == sorted(map(tuple, datasets.file_lines(spark, str(tmp_path / "top")).collect()))
+    sources._one_file_each(rows, str(tmp_path / "other"), "txt")  # by Spark's writer
+    monkeypatch.undo()
+    other = datasets.list_files(spark, str(tmp_path / "other"))
+    assert sorted(map(tuple, other.select("parent", "size").collect())) == sorted(map(tuple, tasks.select("parent", "size").collect()))
+
+
+def test_a_task_that_runs_again_leaves_no_second_file(spark, tmp_path):
+    rows = cut_lineage(spark.createDataFrame([("clean", "x"), ("clean", "x"), ("forged", "x")], "folder string, line string").coalesce(1))
+    sources._one_file_each(rows, str(tmp_path / "out"), "txt")
+    first = sorted(p.name for p in Path(tmp_path, "out").rglob("*txt"))
+    sources._one_file_each(rows, str(tmp_path / "out"), "txt")
+    assert sorted(p.name for p in Path(tmp_path, "out").rglob("*txt")) == first and len(first) == 3
+
+
 def test_json_strings_with_and_without_escapes_are_redacted_alike(spark):
     texts = ['{"a":"mail jo@corp.example.com","k":"","n":1}', '{"a":"say \\"x\\" to jo@corp.example.com\\n","b":["\\\\", "é/\\u0001", null, true]}', "jo@corp.example.com", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels as LB
 from ..functions import privacy as P
 from ..functions.exprs import lit_array, pin
-from ..session import cut_lineage
 
 
 def normalize_labels(df: DataFrame, raw: str = "raw_label") -> tuple[DataFrame, DataFrame]:
@@ -89,22 +93,36 @@ def text_fields(df: DataFrame, record: str, value: str, metadata: str) -> DataFr
         F.col("text").isNotNull() & (F.col("text") != ""))
 
 
+def _strings(value) -> Iterator[tuple[str, str]]:
+    """(field, text) of every string inside a JSON value, with its path."""
+    left = [("metadata", value)]
+    while left:
+        field, v = left.pop()
+        if isinstance(v, str):
+            yield field, v
+        elif isinstance(v, dict):
+            left += [(f"{field}.{key}", own) for key, own in v.items()]
+        elif isinstance(v, list):
+            left += [(f"{field}[{i}]", own) for i, own in enumerate(v)]
+
+
 def flatten_json(df: DataFrame, record: str, column: str) -> DataFrame:
-    """Rows (record_id, field, text) for every string inside a JSON column, at any depth, with its path."""
-    level = df.select(F.col(record).alias("record_id"), F.lit("metadata").alias("field"), F.parse_json(column).alias("v"))
-    out = None
-    while True:
-        # One table a level: the next one reads it, and the loop ends with the deepest container.
-        kinds = cut_lineage(level.select(
-            "record_id", "field", F.schema_of_variant("v").alias("kind"), F.to_json("v").alias("json"), F.col("v").try_cast("string").alias("text")))
-        leaves = kinds.where("kind = 'STRING'").select("record_id", "field", "text")
-        out = leaves if out is None else out.unionByName(leaves)
-        inner = kinds.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"))
-        if inner.isEmpty():
-            return out
-        level = df.sparkSession.sql(
-            "SELECT record_id, field || CASE WHEN key IS NULL THEN '[' || pos || ']' ELSE '.' || key END AS field, value AS v "
-            "FROM {inner}, LATERAL variant_explode(parse_json(json))", inner=inner)
+    """Rows (record_id, field, text) for every string inside a JSON column, at any depth, with its path. One narrow pass.
+
+    Texts are parsed and brought into canonical form by the JVM, so what is no JSON raises there.
+    """
+    def flat(batches):
+        for batch in batches:
+            # Numbers are of no interest, whatever their length.
+            found = ((i, field, own) for i, text in enumerate(batch.column(1).to_pylist()) if text is not None
+                     for field, own in _strings(json.loads(text, parse_int=float, parse_float=float)))
+            while rows := list(itertools.islice(found, 20_000)):
+                at, fields, texts = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(fields), pa.array(texts)], names=["record_id", "field", "text"])
+
+    rows = df.select(F.col(record).alias("record_id"), F.to_json(F.parse_json(column)).alias("json"))
+    kind = T.StructType([rows.schema["record_id"], T.StructField("field", T.StringType()), T.StructField("text", T.StringType())])
+    return rows.mapInArrow(flat, kind)
 
 
 def leak_issues(fields: DataFrame) -> DataFrame:

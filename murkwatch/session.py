@@ -48,7 +48,8 @@ def spread(df: DataFrame, few: int = 32, task_mb: int | None = None) -> DataFram
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if task_mb:
-        return df.repartition(max(cores, -(-_file_bytes(df) // (task_mb << 20))))
+        tasks = -(-_file_bytes(df) // (task_mb << 20))
+        return df.repartition(max(1, -(-tasks // cores)) * cores)  # whole rounds of tasks
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, few) else df
 
 

@@ -59,6 +59,18 @@ def test_nested_metadata_redaction(spark):
     assert got[10] == f"not json {tag}" and got[11] is None and got[12] == "" and json.loads(got[13]) == {"a": tag, "b": "x:y"}
 
 
+def test_json_is_flattened_in_one_narrow_pass(spark):
+    deep = "[" * 60 + '"x"' + "]" * 60
+    rows = [(1, '{"b":[1,"t\\u00e9 \\"q\\"",{"k.l":"","n":null}],"a":true}'), (2, '"alone"'), (3, None), (4, "null"), (5, deep), (6, '[%s,"%s"]' % ("9" * 30, "w" * 9))]
+    out = quality.flatten_json(spark.createDataFrame(rows, "id int, meta string"), "id", "meta")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan" not in plan
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted([(1, "metadata.b[1]", 't\u00e9 "q"'), (1, "metadata.b[2].k.l", ""), (2, "metadata", "alone"), (5, "metadata" + "[0]" * 60, "x"), (6, "metadata[1]", "w" * 9)])
+    with pytest.raises(Exception, match="MALFORMED"):
+        quality.flatten_json(spark.createDataFrame([(1, "{")], "id int, meta string"), "id", "meta").collect()
+
+
 def test_user_paths(spark):
     df = spark.createDataFrame([("1", "f", "/home/alice/x"), ("2", "f", "C:\\Users\\Public\\x"), ("3", "f", "c:\\users\\bob\\x")], "record_id string, field string, text string")
     assert {r.record_id for r in quality.leak_issues(df).where("code = 'LEAK_USERNAME'").collect()} == {"1", "3"}

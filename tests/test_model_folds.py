@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -26,6 +26,18 @@ def test_folds_score_each_real_row_once(spark):
     assert out["good"].f1 == pytest.approx(sum(r.f1 for r in rows if r.model == "good") / 3)
 
 
+@pytest.mark.parametrize("kept", [True, False])
+def test_forest_keeps_node_ids_where_they_are_small(spark, kept, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") * 37 % 101).cast("double").alias("a"), (F.col("id") * 17 % 50).cast("double").alias("b"))
+    plain = tr.candidates(["a", "b"], trees=4)["RF"]
+    plain.setStages([*plain.getStages()[:-1], RandomForestClassifier(labelCol="label", numTrees=4, maxDepth=15, seed=42)])
+    if not kept:
+        monkeypatch.setattr(tr, "NODE_IDS_MB", 0)
+    model = tr.candidates(["a", "b"], trees=4)["RF"].copy().fit(df)
+    assert model.stages[-1].getOrDefault("cacheNodeIds") is kept
+    assert model.stages[-1].toDebugString.split("\n", 1)[1] == plain.fit(df).stages[-1].toDebugString.split("\n", 1)[1]
+
+
 def test_char_ngrams(spark):
     df = spark.createDataFrame([("Ab",), ("",), (None,)], "t string").select(tr.char_ngrams(F.col("t")).alias("g"))
     got = [r.g for r in df.collect()]
